@@ -191,12 +191,13 @@ def any_of(c: Column, keywords) -> Column:
 
 def first_keyword(text: Column, keywords) -> Column:
     """First keyword of the list that occurs in the text, trimmed."""
-    return F.trim(F.get(F.filter(strings(keywords), lambda k: F.contains(text, k)), F.lit(0)))
+    ks = keywords if isinstance(keywords, Column) else strings(keywords)
+    return F.trim(F.get(F.filter(ks, lambda k: F.contains(text, k)), F.lit(0)))
 
 
 def first_segment_keyword(segs: Column, keywords) -> Column:
     """First keyword hit, by segment first and list order second."""
-    ks = strings(keywords)
+    ks = keywords if isinstance(keywords, Column) else strings(keywords)
     hits = F.flatten(F.transform(segs, lambda s: F.filter(ks, lambda k: F.contains(s, k))))
     return F.trim(F.get(hits, F.lit(0)))
 

@@ -37,18 +37,37 @@ RULE_TABLE = _rule_table()
 RULE_INDEX = {row[0]: i + 1 for i, row in enumerate(RULE_TABLE)}
 
 
+# Keywords to name in the result: rule -> (list for the file name, list for folders).
+_NAMED_KEYWORDS = {
+    "web_folder": ([], K.FOLDER_KEYWORDS["web"]),
+    "branding": (K.NAME_KEYWORDS["branding"], K.NAME_KEYWORDS["branding"]),
+    "design_folder": ([], K.FOLDER_KEYWORDS["design"]),
+    "design_document": ([], K.FOLDER_KEYWORDS["design"]),
+    "photo_folder": ([], K.FOLDER_KEYWORDS["photo"]),
+    "photo_hint": ([], K.FOLDER_KEYWORDS["photo"]),
+    "video_hint": ([], K.FOLDER_KEYWORDS["video"]),
+    "audio_hint": ([], K.FOLDER_KEYWORDS["audio"]),
+    **{f"{topic}_{form}": (K.NAME_KEYWORDS[topic], K.FOLDER_KEYWORDS[topic] if topic in K.FOLDER_KEYWORDS else [])
+       for topic, *_ in K.DOCUMENT_TOPICS for form in ("document", "no_extension")},
+}
+
+
 def _text(v) -> Column:
     return F.lit(v).cast("string")
 
 
 def _rule_structs() -> Column:
-    return F.array(*[
-        F.struct(F.lit(key).alias("key"), F.lit(cat).alias("category"), _text(sub).alias("subcategory"),
-                 F.lit(conf).alias("confidence"), _text(dest).alias("destination"),
-                 F.lit(action).alias("suggested_action"), F.lit(rec).alias("action"),
-                 F.lit(reason).alias("reason"), F.lit(safe).alias("safe"),
-                 F.lit(why).alias("explanation"), strings(tags).alias("tags"))
-        for key, cat, sub, conf, dest, action, rec, reason, safe, why, tags in RULE_TABLE])
+    def one(key, cat, sub, conf, dest, action, rec, reason, safe, why, tags):
+        in_name, in_folder = _NAMED_KEYWORDS.get(key, ([], []))
+        return F.struct(
+            F.lit(key).alias("key"), F.lit(cat).alias("category"), _text(sub).alias("subcategory"),
+            F.lit(conf).alias("confidence"), _text(dest).alias("destination"),
+            F.lit(action).alias("suggested_action"), F.lit(rec).alias("action"),
+            F.lit(reason).alias("reason"), F.lit(safe).alias("safe"), F.lit(why).alias("explanation"),
+            strings(tags).alias("tags"), strings(in_name).alias("name_keywords"),
+            strings(in_folder).alias("folder_keywords"))
+
+    return F.array(*[one(*row) for row in RULE_TABLE])
 
 
 def _with_parts(df: DataFrame) -> DataFrame:
@@ -111,26 +130,15 @@ def rule_id() -> Column:
 
 
 def _keyword(rule: Column) -> Column:
-    """The keyword that fired, looked up only for the rule that was chosen."""
-    name, segs = F.col("_name"), F.split("_dir", "/")
-
-    def in_folder(topic):
-        return first_segment_keyword(segs, K.FOLDER_KEYWORDS[topic])
-
-    out = F.when(rule == RULE_INDEX["web_folder"], in_folder("web"))
-    out = out.when(rule == RULE_INDEX["branding"],
-                   F.coalesce(first_keyword(name, K.NAME_KEYWORDS["branding"]),
-                              first_segment_keyword(segs, K.NAME_KEYWORDS["branding"])))
-    out = out.when(rule.isin(RULE_INDEX["design_folder"], RULE_INDEX["design_document"]), in_folder("design"))
-    out = out.when(rule.isin(RULE_INDEX["photo_folder"], RULE_INDEX["photo_hint"]), in_folder("photo"))
-    out = out.when(rule == RULE_INDEX["video_hint"], in_folder("video"))
-    out = out.when(rule == RULE_INDEX["audio_hint"], in_folder("audio"))
-    for topic, *_ in K.DOCUMENT_TOPICS:
-        kw = first_keyword(name, K.NAME_KEYWORDS[topic])
-        if topic in K.FOLDER_KEYWORDS:
-            kw = F.coalesce(kw, in_folder(topic))
-        out = out.when(rule.isin(RULE_INDEX[f"{topic}_document"], RULE_INDEX[f"{topic}_no_extension"]), kw)
-    return out
+    """The keyword that fired, from the lists of the chosen rule."""
+    return F.coalesce(first_keyword(F.col("_name"), rule["name_keywords"]),
+                      first_segment_keyword(F.split("_dir", "/"), rule["folder_keywords"]))
+
+
+def with_rule(df: DataFrame) -> DataFrame:
+    """Add the chosen rule ``_r``, its keyword ``_kw`` and the working columns."""
+    return (_with_parts(df).withColumn("_r", F.element_at(_rule_structs(), rule_id()))
+            .withColumn("_kw", _keyword(F.col("_r"))))
 
 
 def classify(df: DataFrame) -> DataFrame:
@@ -142,9 +150,7 @@ def classify(df: DataFrame) -> DataFrame:
     if "beside_project" not in df.columns:
         df = df.withColumn("beside_project", F.lit(False))
     keep = [c for c in df.columns if c != "beside_project"]
-    work = (_with_parts(df).withColumn("_rule", rule_id())
-            .withColumn("_kw", _keyword(F.col("_rule")))
-            .withColumn("_r", F.element_at(_rule_structs(), F.col("_rule"))))
+    work = with_rule(df)
     ext, no_dot, r = F.col("_ext"), F.regexp_replace("_ext", r"^([^.]*)\.", "$1"), F.col("_r")
     why = F.call_function("format_string", r["explanation"], ext, F.col("name"),
                           half_up_div(F.col("size_bytes"), 1048576),

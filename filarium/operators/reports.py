@@ -20,12 +20,11 @@ def _percent(part: Column, whole: Column) -> Column:
 
 
 def one_row(*parts: DataFrame) -> DataFrame:
-    """Put single-row totals side by side."""
-    tagged = [p.withColumn("_one", F.lit(1)) for p in parts]
-    out = tagged[0]
-    for p in tagged[1:]:
-        out = out.join(F.broadcast(p), "_one")
-    return out.drop("_one")
+    """Put single-row totals side by side, as scalar subqueries of the first."""
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.withColumn("_p", p.select(F.struct("*")).scalar()).select("*", "_p.*").drop("_p")
+    return out
 
 
 def file_counts(files: DataFrame) -> DataFrame:

@@ -46,9 +46,20 @@ def re2_regex(pattern: str, ignore_case: bool = False) -> str:
     return ("(?i)" if ignore_case else "") + pattern.replace("@", r"\b")
 
 
+def sql_literal(v) -> str:
+    """A Python constant as SQL text."""
+    if v is None:
+        return "CAST(NULL AS STRING)"
+    if isinstance(v, str):
+        return "'" + v.replace("\\", "\\\\").replace("'", "\\'") + "'"
+    if isinstance(v, (list, tuple)):
+        return "array(" + ", ".join(map(sql_literal, v)) + ")" if v else "CAST(array() AS ARRAY<STRING>)"
+    return str(v).lower() if isinstance(v, bool) else repr(v)
+
+
 def strings(values) -> Column:
-    """Constant array<string>."""
-    return F.array(*[F.lit(v) for v in values]) if values else F.array().cast("array<string>")
+    """Constant array<string>, parsed as one expression instead of one per element."""
+    return F.expr(sql_literal(list(values)))
 
 
 def trim_ws(c: Column) -> Column:
@@ -139,8 +150,8 @@ def plural(word: str, n: Column) -> Column:
 
 def lookup(c: Column, table: dict, default: Column | None = None) -> Column:
     """Constant dictionary lookup."""
-    pairs = [F.lit(x) for kv in table.items() for x in kv]
-    hit = F.try_element_at(F.create_map(*pairs), c)
+    pairs = ", ".join(sql_literal(x) for kv in table.items() for x in kv)
+    hit = F.try_element_at(F.expr(f"map({pairs})"), c)
     return hit if default is None else F.coalesce(hit, default)
 
 

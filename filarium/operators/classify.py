@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from filarium import constants as K
 from filarium.functions import (any_of, ext_norm, first_keyword, first_segment_keyword,
-                                half_up_div, parent, segments, strings)
+                                half_up_div, parent, segments, sql_literal)
 from filarium.operators import rules as R
 from filarium.operators.skew import join_hot
 
@@ -52,22 +52,13 @@ _NAMED_KEYWORDS = {
 }
 
 
-def _text(v) -> Column:
-    return F.lit(v).cast("string")
-
-
 def _rule_structs() -> Column:
-    def one(key, cat, sub, conf, dest, action, rec, reason, safe, why, tags):
-        in_name, in_folder = _NAMED_KEYWORDS.get(key, ([], []))
-        return F.struct(
-            F.lit(key).alias("key"), F.lit(cat).alias("category"), _text(sub).alias("subcategory"),
-            F.lit(conf).alias("confidence"), _text(dest).alias("destination"),
-            F.lit(action).alias("suggested_action"), F.lit(rec).alias("action"),
-            F.lit(reason).alias("reason"), F.lit(safe).alias("safe"), F.lit(why).alias("explanation"),
-            strings(tags).alias("tags"), strings(in_name).alias("name_keywords"),
-            strings(in_folder).alias("folder_keywords"))
-
-    return F.array(*[one(*row) for row in RULE_TABLE])
+    """The rule table as one constant array of structs."""
+    fields = ["key", "category", "subcategory", "confidence", "destination", "suggested_action", "action",
+              "reason", "safe", "explanation", "tags", "name_keywords", "folder_keywords"]
+    rows = [(*row, *_NAMED_KEYWORDS.get(row[0], ([], []))) for row in RULE_TABLE]
+    structs = ("named_struct(" + ", ".join(f"'{f}', {sql_literal(v)}" for f, v in zip(fields, row)) + ")" for row in rows)
+    return F.expr("array(" + ", ".join(structs) + ")")
 
 
 def _with_parts(df: DataFrame) -> DataFrame:

@@ -9,12 +9,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from filarium import constants as K
-from filarium.functions import (any_of, ext_norm, first_keyword, first_segment_keyword,
-                                half_up_div, parent, segments, sql_literal)
+from filarium.functions import (any_of, first_keyword, first_segment_keyword, half_up_div, parent,
+                                sql_literal)
 from filarium.operators import rules as R
 from filarium.operators.skew import join_hot
 
-AI_SCHEMA = ("struct<rule:string,category:string,subcategory:string,confidence:int,"
+AI_SCHEMA = ("struct<rule:string,keyword:string,category:string,subcategory:string,confidence:int,"
              "explanation:string,tags:array<string>,suggested_destination:string,"
              "suggested_action:string,recommendation:struct<action:string,reason:string,"
              "safe:boolean,reversible:boolean,requires_confirmation:boolean>,provider:string>")
@@ -126,10 +126,31 @@ def _keyword(rule: Column) -> Column:
                       first_segment_keyword(F.split("_dir", "/"), rule["folder_keywords"]))
 
 
-def with_rule(df: DataFrame) -> DataFrame:
-    """Add the chosen rule ``_r``, its keyword ``_kw`` and the working columns."""
-    return (_with_parts(df).withColumn("_r", F.element_at(_rule_structs(), rule_id()))
-            .withColumn("_kw", _keyword(F.col("_r"))))
+def _let(value: Column, use) -> Column:
+    """Bind a value to a lambda variable, so that it is computed once per row and
+    not once for every place where the optimizer would copy it to."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def _result(r: Column, kw: Column) -> Column:
+    """Classification struct of rule struct ``r`` and keyword ``kw``."""
+    ext = F.col("_ext")
+    shown = F.coalesce(F.nullif(ext, F.lit("")), F.lit("no extension"))
+    why = F.call_function("format_string", r["explanation"], ext, F.col("name"),
+                          half_up_div(F.col("size_bytes"), 1048576), F.coalesce(kw, F.lit("")),
+                          F.coalesce(F.nullif(ext, F.lit("")), F.col("_name")), shown)
+    no_dot = F.regexp_replace(ext, r"^([^.]*)\.", "$1")
+    tags = F.transform(r["tags"], lambda t: F.when(t == "{ext}", no_dot).when(t == "{kw}", kw).otherwise(t))
+    return F.struct(
+        r["key"].alias("rule"), kw.alias("keyword"), r["category"].alias("category"),
+        r["subcategory"].alias("subcategory"),
+        F.least(F.lit(100), F.greatest(F.lit(0), r["confidence"])).alias("confidence"),
+        why.alias("explanation"), tags.alias("tags"),
+        r["destination"].alias("suggested_destination"), r["suggested_action"].alias("suggested_action"),
+        F.struct(r["action"].alias("action"), r["reason"].alias("reason"), r["safe"].alias("safe"),
+                 (r["action"] != "delete").alias("reversible"),
+                 F.lit(True).alias("requires_confirmation")).alias("recommendation"),
+        F.lit("local-rule").alias("provider"))
 
 
 def classify(df: DataFrame) -> DataFrame:
@@ -141,25 +162,8 @@ def classify(df: DataFrame) -> DataFrame:
     if "beside_project" not in df.columns:
         df = df.withColumn("beside_project", F.lit(False))
     keep = [c for c in df.columns if c != "beside_project"]
-    work = with_rule(df)
-    ext, no_dot, r = F.col("_ext"), F.regexp_replace("_ext", r"^([^.]*)\.", "$1"), F.col("_r")
-    why = F.call_function("format_string", r["explanation"], ext, F.col("name"),
-                          half_up_div(F.col("size_bytes"), 1048576),
-                          F.coalesce("_kw", F.lit("")),
-                          F.coalesce(F.nullif(ext, F.lit("")), F.col("_name")),
-                          F.coalesce(F.nullif(ext, F.lit("")), F.lit("no extension")))
-    tags = F.transform(r["tags"], lambda t: F.when(t == "{ext}", no_dot)
-                       .when(t == "{kw}", F.col("_kw")).otherwise(t))
-    ai = F.struct(
-        r["key"].alias("rule"), r["category"].alias("category"), r["subcategory"].alias("subcategory"),
-        F.least(F.lit(100), F.greatest(F.lit(0), r["confidence"])).alias("confidence"),
-        why.alias("explanation"), tags.alias("tags"),
-        r["destination"].alias("suggested_destination"), r["suggested_action"].alias("suggested_action"),
-        F.struct(r["action"].alias("action"), r["reason"].alias("reason"), r["safe"].alias("safe"),
-                 (r["action"] != "delete").alias("reversible"),
-                 F.lit(True).alias("requires_confirmation")).alias("recommendation"),
-        F.lit("local-rule").alias("provider"))
-    return work.select(*keep, ai.alias("ai"))
+    ai = _let(F.element_at(_rule_structs(), rule_id()), lambda r: _let(_keyword(r), lambda kw: _result(r, kw)))
+    return _with_parts(df).select(*keep, ai.alias("ai"))
 
 
 def beside_project(entries: DataFrame) -> DataFrame:
@@ -193,6 +197,3 @@ def semantic_tags(classified: DataFrame, key: str = "finding_id") -> DataFrame:
     """Distinct (key, tag) rows (C12). Tags sit in one row, so no shuffle is needed."""
     return classified.select(key, F.explode(F.array_distinct("ai.tags")).alias("tag"))
 
-
-__all__ = ["AI_SCHEMA", "RULE_TABLE", "beside_project", "classify", "classify_with",
-           "semantic_tags", "ext_norm", "segments"]

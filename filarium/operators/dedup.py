@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from filarium.operators.skew import join_hot
+from filarium.session import cut_lineage
 
 
 def size_groups(entries: DataFrame) -> DataFrame:
@@ -45,6 +46,15 @@ def hash_contents(entries: DataFrame) -> DataFrame:
     return entries.withColumn("hash", content_hash(F.col("content"))).drop("content")
 
 
+def hash_table(entries: DataFrame) -> DataFrame:
+    """Hashed files written once to the checkpoint folder.
+
+    Groups, members and counts all start from the hashes; from this table none of
+    them reads the contents again.
+    """
+    return cut_lineage(hash_contents(entries.filter("size_bytes > 0")))
+
+
 def hash_files(candidates: DataFrame, contents: DataFrame) -> DataFrame:
     """Hash the contents of candidates only, read from another source (D3).
 

@@ -38,7 +38,7 @@ def review_audit(events: DataFrame, slice_seconds: int = SLICE_SECONDS) -> DataF
     within a time slice, and for the first event of a slice from the last event of
     the finding's slice before it, so one busy finding is not sorted in one task.
     """
-    slot = F.floor(F.unix_seconds("ts") / slice_seconds)
+    slot = F.floor(F.unix_seconds(F.col("ts").cast("timestamp")) / slice_seconds)
     e = events.withColumn("new_status", review_status(F.col("action"))).withColumn("_slot", slot)
     within = Window.partitionBy("finding_id", "_slot").orderBy("ts", "event_id")
     ends = e.groupBy("finding_id", "_slot").agg(F.max_by("new_status", F.struct("ts", "event_id")).alias("_last"))
@@ -53,9 +53,8 @@ def proposed_actions(findings: DataFrame, events: DataFrame, dismissals: DataFra
     """One proposed action per accepted recommendation."""
     accepted = events.filter("action = 'accept_recommendation'").select("event_id", "finding_id", "ts")
     counts = accepted.groupBy("finding_id").agg(F.count("*").alias("_n"))
-    advice = (findings.filter("suggested_action <> ''")
-              .select("finding_id", "suggested_action", "suggested_destination").join(counts, "finding_id"))
-    queue = (join_hot(accepted, advice, ["finding_id"], "_n", ["event_id"])
+    advice = findings.filter("suggested_action <> ''").select("finding_id", "suggested_action", "suggested_destination")
+    queue = (join_hot(accepted, advice, ["finding_id"], "_n", ["event_id"], weights=counts)
              .select(F.col("event_id").alias("action_id"), "finding_id", F.col("ts").alias("created_at"),
                      F.when(F.coalesce("suggested_destination", F.lit("")) != "", "move").otherwise("archive").alias("action_type"),
                      F.nullif("suggested_destination", F.lit("")).alias("proposed_destination"),

@@ -7,7 +7,7 @@ from datetime import datetime
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from filarium import constants as K
-from filarium.functions import SPACE_CLASS, ext_norm, lookup, sql_like, strings, trim_ws
+from filarium.functions import SPACE_CLASS, ext_norm, sql_like, strings, trim_ws
 from filarium.operators.nlquery import interpret_queries
 
 LIST_FIELDS = ("extensions", "tags", "finding_types")
@@ -343,7 +343,3 @@ def batch_search(interpreted: DataFrame, findings: DataFrame, entities: DataFram
     return (scored.withColumn("position", F.row_number().over(w)).filter(F.col("position") <= limit)
             .drop(*[c for c in scored.columns if c.startswith("q_")]))
 
-
-__all__ = ["apply_filters", "batch_matches", "batch_search", "lookup", "list_files", "list_findings",
-           "mentioning", "most_recent", "page", "plain_text_fallback", "rank_results",
-           "resolve_filters", "row_predicate", "score_findings", "search", "with_any_tag"]

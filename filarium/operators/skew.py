@@ -11,24 +11,27 @@ SALTS = 64
 
 
 def join_hot(rows: DataFrame, stats: DataFrame, keys: list[str], weight: str,
-             row_id: list[str], how: str = "inner") -> DataFrame:
-    """Join ``rows`` with ``stats`` (one row per key, ``weight`` = rows per key).
-
-    Rows of hot keys are spread over SALTS sub-keys and the one matching stats
-    row is repeated for each, so no task gets a whole hot key. The sub-key is a
-    hash of ``row_id`` and not random: a recomputed task sends every row to the
-    same place again.
+             row_id: list[str], how: str = "inner", weights: DataFrame | None = None) -> DataFrame:
+    """Join ``rows`` with ``stats``, which has one row per key.
+
+    ``weight`` counts the rows of a key; it is a column of ``weights`` if given,
+    else of ``stats``. Rows of hot keys are spread over SALTS sub-keys and the one
+    matching stats row is repeated for each, so no task gets a whole hot key. The
+    sub-key is a hash of ``row_id`` and not random: a recomputed task sends every
+    row to the same place again.
     """
-    total = stats.agg(F.coalesce(F.sum(weight), F.lit(0)).alias("t")).scalar()
-    hot = F.broadcast(stats.filter(F.col(weight) * HOT_SHARE >= total)
+    sizes = (stats if weights is None else weights).select(*keys, weight)
+    total = sizes.agg(F.coalesce(F.sum(weight), F.lit(0)).alias("t")).scalar()
+    hot = F.broadcast(sizes.filter(F.col(weight) * HOT_SHARE >= total)
                       .select(*keys, F.lit(True).alias("_hot")))
     salted = (rows.join(hot, keys, "left")
               .withColumn("_salt", F.when(F.col("_hot"), F.pmod(F.xxhash64(*row_id), F.lit(SALTS)))
                           .otherwise(F.lit(0)).cast("int"))
               .drop("_hot"))
-    spread = (stats.withColumn("_salt", F.explode(
-        F.when(F.col(weight) * HOT_SHARE >= total, F.sequence(F.lit(0), F.lit(SALTS - 1)))
-        .otherwise(F.array(F.lit(0))))))
+    spread = (stats.join(hot, keys, "left")
+              .withColumn("_salt", F.explode(F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(SALTS - 1)))
+                                             .otherwise(F.array(F.lit(0)))))
+              .drop("_hot"))
     return salted.join(spread, keys + ["_salt"], how).drop("_salt")
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from filarium import constants as K
-from filarium.functions import SPACE_CLASS, java_regex, trim_ws, words
+from filarium.functions import SPACE_CLASS, java_regex, trim_ws
 from filarium.operators.skew import latest
 from filarium.sources.files import extract_text
 
@@ -149,7 +149,3 @@ def extraction_job(files: DataFrame) -> DataFrame:
             .withColumn("entities", entity_arrays(F.col("text")))
             .withColumn("skip_reason", F.when(F.col("extractor").isNull(), "no extractor for this file type")))
 
-
-__all__ = ["chunk_text", "detect_sensitive", "entity_arrays", "extract_entities", "extraction_job",
-           "latest_extraction", "pack", "rank_ratio", "split_paragraphs", "split_sentences",
-           "summarize", "summary_of", "top_chunks", "with_overlap", "words"]

@@ -26,6 +26,10 @@ def hashed(spark, sf) -> DataFrame:
     return D.hash_contents(views.files_v(spark, sf).filter("size_bytes > 0"))
 
 
+def hash_table(spark, sf) -> DataFrame:
+    return D.hash_table(views.files_v(spark, sf))
+
+
 def report(spark, sf) -> DataFrame:
     return D.duplicate_report(views.files_v(spark, sf))
 
@@ -103,7 +107,7 @@ def _(spark, sf):
 
 @query("J5_group_members", with_(*DUP_SQL, body="SELECT h.path, hash, file_count, h.path = canonical_path AS is_canonical FROM hashed h JOIN dups USING (hash)"))
 def _(spark, sf):
-    h = hashed(spark, sf)
+    h = hash_table(spark, sf)
     return D.group_members(D.duplicate_groups(h), h).select("path", "hash", "file_count", "is_canonical")
 
 
@@ -133,8 +137,9 @@ verdict AS (SELECT *, CASE WHEN action = 'burn' THEN 'unknown action' WHEN actio
 
 
 def decisions(spark, sf):
-    h = hashed(spark, sf)
-    groups = report(spark, sf)
+    h = hash_table(spark, sf)
+    groups = (D.duplicate_groups(h).withColumn("status", F.lit("pending"))
+              .withColumn("saved_bytes", F.lit(0).cast("bigint")))
     last = h.groupBy("hash").agg(F.max("path").alias("_p"))
     a = F.ascii("hash") % 4
     d = groups.join(last, "hash").select(
@@ -185,7 +190,7 @@ _DUPFOUND = f"""dupfound AS (SELECT h.finding_id, h.scan_id, h.path, h.name, h.e
 
 
 def dup_findings(spark, sf):
-    h = hashed(spark, sf)
+    h = hash_table(spark, sf)
     return FN.duplicate_findings(D.group_members(D.duplicate_groups(h), h))
 
 
@@ -242,8 +247,7 @@ def _(spark, sf):
 
 @query("C8_C9_keyword_hits", with_(V.FILES, V.TYPED, V.ruled("typed"), body="SELECT finding_id, kw AS keyword FROM ruled WHERE kw IS NOT NULL"))
 def _(spark, sf):
-    work = C.with_rule(typed(spark, sf).withColumn("beside_project", F.lit(False)))
-    return work.select("finding_id", F.col("_kw").alias("keyword")).filter("keyword is not null")
+    return classified(spark, sf).select("finding_id", "ai.keyword").filter("keyword is not null")
 
 
 @query("C10_recommendations", with_(V.FILES, V.TYPED, V.ruled("typed"), body="""SELECT finding_id, rec_action AS action, rec_action <> 'delete' AS reversible,
@@ -260,7 +264,7 @@ def _(spark, sf):
 def _(spark, sf):
     t = typed(spark, sf)
     model = F.when(F.col("path").like("/%/en/%"), F.struct(
-        F.lit("model").alias("rule"), F.lit("Model").alias("category"), F.lit(None).cast("string").alias("subcategory"),
+        F.lit("model").alias("rule"), F.lit(None).cast("string").alias("keyword"), F.lit("Model").alias("category"), F.lit(None).cast("string").alias("subcategory"),
         F.lit(50).alias("confidence"), F.lit("").alias("explanation"), F.array(F.lit("m")).alias("tags"),
         F.lit(None).cast("string").alias("suggested_destination"), F.lit("").alias("suggested_action"),
         F.struct(F.lit("review").alias("action"), F.lit("").alias("reason"), F.lit(False).alias("safe"),

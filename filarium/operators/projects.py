@@ -22,6 +22,8 @@ from filarium.session import cut_lineage
 
 SIGNALS = list(K.SIGNAL_WEIGHTS)
 TILE_ROWS = 512
+# Small tiles are scored together until they hold this many rows.
+SMALL_TILES = 128
 
 
 # ---- features and pair signals -----------------------------------------------------
@@ -153,39 +155,42 @@ def _shared(sets) -> np.ndarray:
     return inc @ inc.T
 
 
-def tile_signals(rows: pd.DataFrame) -> list[np.ndarray]:
+def _lengths(sets) -> np.ndarray:
+    return np.fromiter((len(x) for x in sets), dtype=float, count=len(sets))
+
+
+def _ratio(top: np.ndarray, bottom: np.ndarray) -> np.ndarray:
+    return np.divide(top, bottom, out=np.zeros_like(bottom), where=bottom > 0)
+
+
+def tile_signals(cols: dict) -> list[np.ndarray]:
     """The seven signals between all rows of a tile, as matrices."""
-    n = len(rows)
-
-    def dice_of(col):
-        size = rows[col].map(len).to_numpy(dtype=float)
-        total = size[:, None] + size[None, :]
-        return np.divide(2.0 * _shared(rows[col].tolist()), total, out=np.zeros((n, n)), where=total > 0)
-
-    prefixes = rows["prefixes"].tolist()
-    depth = np.array([len(p) for p in prefixes], dtype=float)
-    common = _shared(prefixes).astype(float)  # prefixes nest, so shared ones count the common depth
-    shorter = np.minimum(depth[:, None], depth[None, :])
-    folder = np.divide(common, shorter, out=np.zeros((n, n)), where=shorter > 0)
-    tok = rows["toks"].map(len).to_numpy(dtype=float)
-    inter = _shared(rows["toks"].tolist()).astype(float)
-    union = tok[:, None] + tok[None, :] - inter
-    name = np.divide(inter, union, out=np.zeros((n, n)), where=union > 0)
-    has, cat = rows["has_cat"].to_numpy(dtype=bool), rows["cat"].to_numpy()
+    n = len(cols["id"])
+
+    def dice_of(name):
+        size = _lengths(cols[name])
+        return _ratio(2.0 * _shared(cols[name]), size[:, None] + size[None, :])
+
+    depth = _lengths(cols["prefixes"])
+    # prefixes nest, so the number of shared ones is the common depth
+    folder = _ratio(_shared(cols["prefixes"]).astype(float), np.minimum(depth[:, None], depth[None, :]))
+    tok = _lengths(cols["toks"])
+    inter = _shared(cols["toks"]).astype(float)
+    name = _ratio(inter, tok[:, None] + tok[None, :] - inter)
+    has, cat = cols["has_cat"].astype(bool), cols["cat"]
     same_cat = ((cat[:, None] == cat[None, :]) & has[:, None] & has[None, :]).astype(float)
-    ms = rows["ms"].to_numpy(dtype=float)
+    ms = cols["ms"].astype(float)
     days = np.abs(ms[:, None] - ms[None, :]) / 86400000.0
     date = np.zeros((n, n))
     for limit, value in reversed(K.DATE_STEPS):
         date[days <= limit] = value
     sem = np.zeros((n, n))
-    lengths = rows["vector"].map(lambda v: 0 if v is None else len(v)).to_numpy()
+    lengths = np.array([0 if v is None else len(v) for v in cols["vector"]])
     for dim in set(lengths[lengths > 0]):
         at = np.flatnonzero(lengths == dim)
-        mat = np.vstack([np.asarray(v, dtype=np.float64) for v in rows["vector"].iloc[at]])
+        mat = np.vstack(cols["vector"][at]).astype(np.float64)
         norm = np.sqrt((mat * mat).sum(axis=1))
-        den = norm[:, None] * norm[None, :]
-        cos = np.divide(mat @ mat.T, den, out=np.zeros_like(den), where=den > 0)
+        cos = _ratio(mat @ mat.T, norm[:, None] * norm[None, :])
         sem[np.ix_(at, at)] = np.clip(cos, 0.0, 1.0)
     return [folder, dice_of("tags"), dice_of("ents"), name, same_cat, date, sem]
 
@@ -195,43 +200,57 @@ _TILE_OUT = T.StructType([T.StructField("id", T.LongType()), T.StructField("rep"
                          + [T.StructField(s, T.DoubleType()) for s in SIGNALS])
 
 
-def _score_tile(rows: pd.DataFrame) -> list[tuple]:
-    """Local groups and signal sums of one tile."""
-    rows = rows.sort_values("id", ignore_index=True)
-    signals = tile_signals(rows)
+def _score_tiles(rows: pd.DataFrame) -> list[tuple]:
+    """Local groups and signal sums of one or several whole tiles."""
+    cols = {c: rows[c].to_numpy() for c in rows.columns}
+    ids, key = cols["id"], cols["key"]
+    signals = tile_signals(cols)
     score = np.zeros_like(signals[0])
     for weight, s in zip(K.SIGNAL_WEIGHTS.values(), signals):
         score += s * weight
-    limit = np.where(_shared(rows["rejected"].tolist()) > 0, K.LINK_THRESHOLD + K.REJECTED_EXTRA, K.LINK_THRESHOLD)
-    link = (np.minimum(score, 1.0) >= limit) & (_shared(rows["approved"].tolist()) == 0)
-    np.fill_diagonal(link, False)
-    key, lo, hi = rows["key"].iloc[0], rows["lo"].iloc[0], rows["hi"].iloc[0]
-    if lo != hi:
-        side = rows["side"].to_numpy()
-        link &= side[:, None] != side[None, :]
+    limit = np.where(_shared(cols["rejected"]) > 0, K.LINK_THRESHOLD + K.REJECTED_EXTRA, K.LINK_THRESHOLD)
+    link = (np.minimum(score, 1.0) >= limit) & (_shared(cols["approved"]) == 0)
+    for c in ("key", "lo", "hi"):
+        link &= cols[c][:, None] == cols[c][None, :]
+    # off the diagonal of the tile grid only pairs across the two sides count
+    across = (cols["lo"] != cols["hi"])[:, None]
+    link &= ~across | (cols["side"][:, None] != cols["side"][None, :])
+    link &= ids[:, None] != ids[None, :]
     if not link.any():
         return []
-    ids = rows["id"].to_numpy()
-    label = np.arange(len(ids))
+    n = len(ids)
+    rank = np.argsort(np.argsort(ids, kind="stable"), kind="stable")
+    label = rank.copy()
     while True:
-        best = np.minimum(label, np.where(link, label[None, :], len(ids)).min(axis=1))
+        best = np.minimum(label, np.where(link, label[None, :], n).min(axis=1))
         if (best == label).all():
             break
         label = best
-    out = [(int(ids[i]), int(ids[label[i]]), 0) + (0.0,) * len(SIGNALS) for i in np.flatnonzero(label != np.arange(len(ids)))]
+    by_rank = np.sort(ids, kind="stable")
+    rep = by_rank[label]
+    none = (0.0,) * len(SIGNALS)
+    out = [(int(ids[i]), int(rep[i]), 0) + none for i in np.flatnonzero(rep != ids)]
     # a pair in several blocks counts in the block with its smallest shared key
-    earlier = _shared([[k for k in ks if k < key] for ks in rows["keys"]]) > 0
-    own = np.triu(link & ~earlier, 1)
-    if own.any():
-        at, _ = np.nonzero(own)
-        group = label[at]
-        counts = np.bincount(group, minlength=len(ids))
-        sums = [np.bincount(group, weights=s[own], minlength=len(ids)) for s in signals]
-        out += [(int(ids[g]), int(ids[g]), int(counts[g])) + tuple(float(s[g]) for s in sums)
+    earlier = _shared([ks[ks < k] for ks, k in zip(map(np.asarray, cols["keys"]), key)]) > 0
+    at, to = np.nonzero(link & ~earlier & (ids[:, None] < ids[None, :]))
+    if len(at):
+        counts = np.bincount(label[at], minlength=n)
+        sums = [np.bincount(label[at], weights=s[at, to], minlength=n) for s in signals]
+        out += [(int(by_rank[g]), int(by_rank[g]), int(counts[g])) + tuple(float(s[g]) for s in sums)
                 for g in np.flatnonzero(counts)]
     return out
 
 
+def _whole_tiles(rows: pd.DataFrame, at_least: int):
+    """Cut rows sorted by tile into pieces of whole tiles of about ``at_least`` rows."""
+    change = np.flatnonzero((rows[["key", "lo", "hi"]].to_numpy()[1:] != rows[["key", "lo", "hi"]].to_numpy()[:-1]).any(axis=1)) + 1
+    start = 0
+    for end in [*change, len(rows)]:
+        if end - start >= at_least or end == len(rows):
+            yield rows.iloc[start:end]
+            start = end
+
+
 def link_groups(aug: DataFrame, projects: DataFrame | None = None, rejected: DataFrame | None = None,
                 per_scan: bool = True, tile_rows: int = TILE_ROWS) -> DataFrame:
     """Local groups of linked findings: (id, rep, links, signal sums).
@@ -243,10 +262,27 @@ def link_groups(aug: DataFrame, projects: DataFrame | None = None, rejected: Dat
     """
     tiles = _tiles(_features(aug, projects, rejected, per_scan), tile_rows)
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame(_score_tile(pdf), columns=[f.name for f in _TILE_OUT])
-
-    return tiles.groupBy("key", "lo", "hi").applyInPandas(run, _TILE_OUT)
+    def run(batches):
+        # tiles arrive sorted; the last tile of a batch may go on in the next
+        waiting = None
+        for batch in batches:
+            rows = batch if waiting is None else pd.concat([waiting, batch], ignore_index=True)
+            if len(rows) == 0:
+                continue
+            tail = rows[["key", "lo", "hi"]].to_numpy()
+            same = (tail == tail[-1]).all(axis=1)
+            waiting = rows[same]
+            yield from emit(rows[~same])
+        if waiting is not None:
+            yield from emit(waiting)
+
+    def emit(rows):
+        if len(rows):
+            for piece in _whole_tiles(rows, SMALL_TILES):
+                yield pd.DataFrame(_score_tiles(piece), columns=[f.name for f in _TILE_OUT])
+
+    return (tiles.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi")
+            .mapInPandas(run, _TILE_OUT))
 
 
 # ---- components ----------------------------------------------------------------------
@@ -260,33 +296,33 @@ def components(edges: DataFrame, a: str = "id", b: str = "rep") -> DataFrame:
     e = (edges.filter(F.col(a) != F.col(b))
          .select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct())
     e = cut_lineage(e)
-    previous = None
+    previous, size = None, e.count()
     while True:
-        e = cut_lineage(_small_star(_large_star(e)))
+        e = cut_lineage(_small_star(_large_star(e, size), size))
         state = e.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
         if (state["n"], state["h"]) == previous:
             break
-        previous = (state["n"], state["h"])
+        previous, size = (state["n"], state["h"]), state["n"]
     roots = e.select(F.col("v").alias("node")).distinct()
     return (e.select(F.col("u").alias("node"), F.col("v").alias("component"))
             .unionByName(roots.select("node", F.col("node").alias("component"))))
 
 
-def _relink(pairs: DataFrame) -> DataFrame:
+def _relink(pairs: DataFrame, total: int) -> DataFrame:
     """Join each (node, neighbour) with the least of node and its neighbours."""
     least = pairs.groupBy("node").agg(F.least(F.min("other"), F.col("node")).alias("m"), F.count("*").alias("n"))
-    return join_hot(pairs, least, ["node"], "n", ["other"])
+    return join_hot(pairs, least, ["node"], "n", ["other"], total=max(total, 1))
 
 
-def _large_star(e: DataFrame) -> DataFrame:
+def _large_star(e: DataFrame, size: int) -> DataFrame:
     both = e.select(F.col("u").alias("node"), F.col("v").alias("other")).unionByName(
         e.select(F.col("v").alias("node"), F.col("u").alias("other")))
-    j = _relink(both).filter("other > node")
+    j = _relink(both, 2 * size).filter("other > node")
     return j.select(F.col("other").alias("u"), F.col("m").alias("v")).distinct()
 
 
-def _small_star(e: DataFrame) -> DataFrame:
-    j = _relink(e.select(F.col("u").alias("node"), F.col("v").alias("other")))
+def _small_star(e: DataFrame, size: int) -> DataFrame:
+    j = _relink(e.select(F.col("u").alias("node"), F.col("v").alias("other")), size)
     moved = j.select(F.col("other").alias("u"), F.col("m").alias("v")).unionByName(
         j.select(F.col("node").alias("u"), F.col("m").alias("v")))
     return moved.filter("u <> v").distinct()

@@ -11,17 +11,19 @@ SALTS = 64
 
 
 def join_hot(rows: DataFrame, stats: DataFrame, keys: list[str], weight: str,
-             row_id: list[str], how: str = "inner", weights: DataFrame | None = None) -> DataFrame:
+             row_id: list[str], how: str = "inner", weights: DataFrame | None = None,
+             total: int | None = None) -> DataFrame:
     """Join ``rows`` with ``stats``, which has one row per key.
 
     ``weight`` counts the rows of a key; it is a column of ``weights`` if given,
     else of ``stats``. Rows of hot keys are spread over SALTS sub-keys and the one
     matching stats row is repeated for each, so no task gets a whole hot key. The
     sub-key is a hash of ``row_id`` and not random: a recomputed task sends every
-    row to the same place again.
+    row to the same place again. ``total`` is the number of rows, if known.
     """
     sizes = (stats if weights is None else weights).select(*keys, weight)
-    total = sizes.agg(F.coalesce(F.sum(weight), F.lit(0)).alias("t")).scalar()
+    if total is None:
+        total = sizes.agg(F.coalesce(F.sum(weight), F.lit(0)).alias("t")).scalar()
     hot = F.broadcast(sizes.filter(F.col(weight) * HOT_SHARE >= total)
                       .select(*keys, F.lit(True).alias("_hot")))
     salted = (rows.join(hot, keys, "left")

@@ -231,3 +231,35 @@ def _(spark, sf):
     e = views.load(spark, sf, "events")
     return e.select("event_id", F.get_json_object("props", "$.k").cast("bigint").alias("k"),
                     F.try_parse_json("props").isNotNull().alias("valid"))
+
+
+@query("F7_F11_text_predicates", """SELECT doc_id, regexp_matches(text, 'er[aeiou]{2}n') AS has_match, regexp_extract(text, '([A-Z][a-z]+)[.,]', 1) AS first_word,
+  len(regexp_extract_all(text, '[0-9]+')) AS numbers, upper(trim(lang)) AS lang, starts_with(source, 'src1') AS early FROM documents""")
+def _(spark, sf):
+    d, t = views.load(spark, sf, "documents"), F.col("text")
+    return d.select("doc_id", t.rlike("er[aeiou]{2}n").alias("has_match"), F.regexp_extract(t, "([A-Z][a-z]+)[.,]", 1).alias("first_word"),
+                    F.size(F.regexp_extract_all(t, F.lit("[0-9]+"), F.lit(0))).cast("bigint").alias("numbers"),
+                    F.upper(X.trim_ws(F.col("lang"))).alias("lang"), F.col("source").startswith("src1").alias("early"))
+
+
+@query("F16_F19_numbers_and_nulls", """SELECT o_orderkey AS k, CAST(floor(o_totalprice / 1000) AS BIGINT) AS thousands, round(sqrt(o_totalprice), 4) AS root,
+  greatest(100, least(400000, o_totalprice)) AS clamped, CASE WHEN o_orderkey % 11 <> 0 THEN o_orderpriority ELSE 'none' END AS priority, o_orderkey % 11 = 0 AS missing FROM orders""")
+def _(spark, sf):
+    o, k, v = views.load(spark, sf, "orders"), F.col("o_orderkey"), F.col("o_totalprice")
+    p = F.when(k % 11 != 0, F.col("o_orderpriority"))
+    return o.select(k.alias("k"), F.floor(v / 1000).alias("thousands"), F.round(F.sqrt(v), 4).alias("root"),
+                    F.greatest(F.lit(100.0), F.least(F.lit(400000.0), v)).alias("clamped"), F.coalesce(p, F.lit("none")).alias("priority"),
+                    p.eqNullSafe(F.lit(None)).alias("missing"))
+
+
+@query("F16_parse_number", """SELECT p_partkey AS k, CAST(p_size * 1234.5::DOUBLE AS DOUBLE) AS n FROM part""")
+def _(spark, sf):
+    text = F.format_number(F.col("p_size") * 1234.5, 1)  # with thousands commas
+    return views.load(spark, sf, "part").select(F.col("p_partkey").alias("k"), X.parse_number(text).alias("n"))
+
+
+@query("F22_counter_map", """SELECT l_returnflag, string_agg(l_linestatus || '=' || n, ',' ORDER BY l_linestatus) AS counts FROM (SELECT l_returnflag, l_linestatus, count(*) AS n FROM lineitem GROUP BY ALL) GROUP BY 1""")
+def _(spark, sf):
+    per = views.load(spark, sf, "lineitem").groupBy("l_returnflag", "l_linestatus").agg(F.count("*").alias("n"))
+    m = per.groupBy("l_returnflag").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("l_linestatus", "n")))).alias("m"))
+    return m.select("l_returnflag", F.array_join(F.transform(F.map_entries("m"), lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string"))), ",").alias("counts"))

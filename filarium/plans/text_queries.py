@@ -52,7 +52,28 @@ def _(spark, sf):
     return docs(spark, sf).select("doc_id", F.size(X.split_paragraphs(F.col("text"))).cast("bigint").alias("paragraphs"))
 
 
-@query("X6_X7_W7_UD4_chunk_text")
+_WS = "e' \\t\\n\\r'"
+_STEP = """CASE WHEN length(CASE WHEN split_part(acc, chr(1), 2) = '' THEN s ELSE split_part(acc, chr(1), 2) || ' ' || s END) <= 512
+    THEN split_part(acc, chr(1), 1) || chr(1) || CASE WHEN split_part(acc, chr(1), 2) = '' THEN s ELSE split_part(acc, chr(1), 2) || ' ' || s END
+  WHEN length(s) > 512 THEN split_part(acc, chr(1), 1) || CASE WHEN length(split_part(acc, chr(1), 2)) >= 20 THEN split_part(acc, chr(1), 2) || chr(2) ELSE '' END
+    || array_to_string(list_transform(list_filter(list_transform(range(0, (length(s) + 511) // 512), lambda i: trim(substr(s, CAST(i * 512 + 1 AS BIGINT), 512), WS)), lambda x: length(x) >= 20), lambda x: x || chr(2)), '') || chr(1)
+  ELSE split_part(acc, chr(1), 1) || CASE WHEN length(split_part(acc, chr(1), 2)) >= 20 THEN split_part(acc, chr(1), 2) || chr(2) ELSE '' END || chr(1) || s END""".replace("WS", _WS)
+
+
+def chunk_ctes(source: str, key: str) -> str:
+    """CTE ``ck`` with (key, chunk_index, chunk_text) of the texts of ``source``."""
+    return f"""par AS (SELECT {key}, unnest(paras) AS p, generate_subscripts(paras, 1) AS pi FROM (
+    SELECT {key}, list_filter(list_transform(regexp_split_to_array(text, '\\n{{2,}}'), lambda x: trim(x, {_WS})), lambda x: x <> '') AS paras FROM {source})),
+sen AS (SELECT *, list_filter(list_transform(regexp_split_to_array(regexp_replace(p, '([.!?])\\s+', '\\1' || chr(3), 'g'), '[\\x03\\n]'), lambda x: trim(x, {_WS})), lambda x: x <> '') AS ss FROM par),
+packed AS (SELECT *, list_reduce(ss, lambda acc, s: {_STEP}, chr(1)) AS st FROM sen),
+pcs AS (SELECT {key}, pi, CASE WHEN length(p) <= 512 THEN [p] ELSE list_filter(string_split(split_part(st, chr(1), 1), chr(2)), lambda x: x <> '')
+   || CASE WHEN length(split_part(st, chr(1), 2)) >= 20 THEN [split_part(st, chr(1), 2)] ELSE [] END END AS pieces FROM packed),
+raw AS (SELECT {key}, flatten(list(pieces ORDER BY pi)) AS r FROM pcs GROUP BY {key}),
+ck0 AS (SELECT {key}, unnest(range(0, len(r))) AS chunk_index, r FROM raw),
+ck AS (SELECT {key}, CAST(chunk_index AS INTEGER) AS chunk_index, substr(trim(CASE WHEN chunk_index = 0 THEN r[1] ELSE right(r[chunk_index], 80) || ' ' || r[chunk_index + 1] END, {_WS}), 1, 512) AS chunk_text FROM ck0)"""
+
+
+@query("X6_X7_W7_UD4_chunk_text", with_(chunk_ctes("documents", "doc_id"), body="SELECT doc_id, chunk_index, chunk_text FROM ck WHERE length(chunk_text) >= 20"))
 def _(spark, sf):
     return X.chunk_text(docs(spark, sf))
 
@@ -112,20 +133,36 @@ def _(spark, sf):
     return E.term_frequency(c, "k")
 
 
-@query("E3_UD2_embed_text")
+# FNV-1a of each feature and of the feature followed by "_b", then the two buckets
+_EMBED = f"""et AS (SELECT doc_id, chunk_index, {_TOK.replace('text', 'chunk_text')} AS toks FROM ck WHERE length(chunk_text) >= 20),
+ef AS (SELECT doc_id, chunk_index, toks || list_transform(range(1, len(toks)), lambda i: toks[i] || ':' || toks[i + 1]) AS feats FROM et),
+eu AS (SELECT doc_id, chunk_index, len(feats) AS n, unnest(feats) AS f FROM ef),
+words0 AS (SELECT DISTINCT f FROM eu),
+hashes AS (SELECT f, list_reduce(list_prepend({K.FNV_OFFSET}::BIGINT, list_transform(string_split(f, ''), lambda c: ascii(c)::BIGINT)), lambda h, c: (xor(h, c) * {K.FNV_PRIME}) % 4294967296) AS h FROM words0),
+buck AS (SELECT f, h % 128 AS b1, ((xor((xor(h, 95::BIGINT) * {K.FNV_PRIME}) % 4294967296, 98::BIGINT) * {K.FNV_PRIME}) % 4294967296) % 128 AS b2 FROM hashes),
+ew AS (SELECT doc_id, chunk_index, b1 AS b, 1.0::DOUBLE / n AS w FROM eu JOIN buck USING (f) UNION ALL SELECT doc_id, chunk_index, b2, 0.5::DOUBLE / n FROM eu JOIN buck USING (f)),
+ev AS (SELECT doc_id, chunk_index, b, sum(w) AS v FROM ew GROUP BY ALL)"""
+
+
+@query("E3_UD2_embed_text", with_(chunk_ctes("documents", "doc_id"), _EMBED, body="""SELECT doc_id, chunk_index, array_to_string(list_sort(list(b)), ',') AS buckets, round(max(v) / sqrt(sum(v * v)), 2) AS largest
+  FROM ev GROUP BY ALL UNION ALL SELECT doc_id, chunk_index, '', 0.0 FROM et WHERE len(toks) = 0"""))
 def _(spark, sf):
     c = X.chunk_text(docs(spark, sf))
     e = E.embed_with(c, E.embed_text(F.col("chunk_text")), K.EMBED_MODEL)
-    length = F.aggregate("vector", F.lit(0.0), lambda s, x: s + x * x)
-    return e.select("doc_id", "chunk_index", "model", "dimensionality", F.round(length, 4).alias("squared_norm"))
+    used = F.filter(F.transform("vector", lambda x, i: F.when(x > 0, i)), lambda i: i.isNotNull())
+    return e.select("doc_id", "chunk_index", F.array_join(F.array_sort(F.transform(used, lambda i: i.cast("string").cast("bigint"))), ",").alias("buckets"),
+                    F.round(F.array_max("vector").cast("double"), 2).alias("largest"))
+
+
+_LAST = "lastx AS (SELECT conv_id AS finding_id, turn AS extracted_id, text FROM conversations QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) = 1)"
 
 
-@query("E6_build_index")
+@query("E6_build_index", with_(_LAST, chunk_ctes("lastx", "finding_id"), body=f"SELECT finding_id, chunk_index, extracted_id, '{K.EMBED_MODEL}' AS model, 128 AS dimensionality FROM ck JOIN lastx USING (finding_id) WHERE length(chunk_text) >= 20"))
 def _(spark, sf):
     return E.build_index(views.extracted_v(spark, sf)).select("finding_id", "chunk_index", "extracted_id", "model", "dimensionality")
 
 
-@query("E6_index_coverage")
+@query("E6_index_coverage", with_(_LAST, chunk_ctes("lastx", "finding_id"), body="SELECT count(DISTINCT k.finding_id) AS indexed, (SELECT count(*) FROM lastx) - count(DISTINCT k.finding_id) AS skipped FROM ck k WHERE length(chunk_text) >= 20"))
 def _(spark, sf):
     x = views.extracted_v(spark, sf)
     return E.index_coverage(x, E.build_index(x))
@@ -167,7 +204,7 @@ def semantic(spark, sf):
     return E.semantic_search(views.chunks_v(spark, sf), query_vectors(spark, sf))
 
 
-@query("E4_dot_product", with_(V.CHUNKS, body="SELECT finding_id, round(list_inner_product(CAST(a.vector AS DOUBLE[]), CAST(b.vector AS DOUBLE[])), 6) AS dot, round(greatest(0, least(1, list_cosine_similarity(CAST(a.vector AS DOUBLE[]), CAST(b.vector AS DOUBLE[])))), 6) AS cosine FROM chunks a JOIN chunks b USING (finding_id) WHERE a.chunk_index = 0 AND b.chunk_index = 1"))
+@query("E4_E5_dot_product", with_(V.CHUNKS, body="SELECT finding_id, round(list_inner_product(CAST(a.vector AS DOUBLE[]), CAST(b.vector AS DOUBLE[])), 6) AS dot, round(greatest(0, least(1, list_cosine_similarity(CAST(a.vector AS DOUBLE[]), CAST(b.vector AS DOUBLE[])))), 6) AS cosine FROM chunks a JOIN chunks b USING (finding_id) WHERE a.chunk_index = 0 AND b.chunk_index = 1"))
 def _(spark, sf):
     from filarium.functions import cosine01, dot
     c = views.chunks_v(spark, sf)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, functions as F
 
 from filarium import constants as K
@@ -13,11 +15,16 @@ SPACES = "".join(map(chr, _SPACE_CODES))
 SPACE_CLASS = "[" + "".join(rf"\x{{{code:X}}}" for code in _SPACE_CODES) + "]"
 _SPACE_BODY = SPACE_CLASS[1:-1]
 # ASCII word boundary, whatever the JDK takes \b to mean.
-_EDGE = r"(?:(?<=[A-Za-z0-9_])(?![A-Za-z0-9_])|(?<![A-Za-z0-9_])(?=[A-Za-z0-9_]))"
+_EDGES = {
+    "<": r"(?<![A-Za-z0-9_])",
+    ">": r"(?![A-Za-z0-9_])",
+    "@": r"(?:(?<=[A-Za-z0-9_])(?![A-Za-z0-9_])|(?<![A-Za-z0-9_])(?=[A-Za-z0-9_]))",
+}
 
 
 def java_regex(pattern: str, ignore_case: bool = False) -> str:
-    """Spell a pattern for Java: ``@`` is an ASCII word edge, ``\\s`` any white space."""
+    """Spell a pattern for Java: ``<``, ``>`` and ``@`` are the start, the end and any
+    edge of an ASCII word, ``\\s`` is any white space."""
     out, in_class, i = [], False, 0
     while i < len(pattern):
         two = pattern[i:i + 2]
@@ -36,14 +43,14 @@ def java_regex(pattern: str, ignore_case: bool = False) -> str:
                 in_class = True
             elif ch == "]":
                 in_class = False
-            out.append(_EDGE if ch == "@" and not in_class else ch)
+            out.append(ch if in_class else _EDGES.get(ch, ch))
             i += 1
     return ("(?i)" if ignore_case else "") + "".join(out)
 
 
 def re2_regex(pattern: str, ignore_case: bool = False) -> str:
     """The same pattern for an RE2 engine, whose ``\\b`` is ASCII already."""
-    return ("(?i)" if ignore_case else "") + pattern.replace("@", r"\b")
+    return ("(?i)" if ignore_case else "") + re.sub("[@<>]", lambda m: r"\b", pattern)
 
 
 def sql_literal(v) -> str:

@@ -10,18 +10,53 @@ from filarium.operators.skew import latest
 from filarium.sources.files import extract_text
 
 
+# A text without any of these cannot match the pattern at the same place of the
+# list; the plain substring search spares most texts the regular expression.
+_SENSITIVE_HINTS = [
+    ["agreement", "contract", "plaintiff", "defendant", "whereas", "indemnif", "non-disclosure", "nda"],
+    ["routing number", "account number", "iban", "swift code", "bank statement"],
+    r"\d{4}[ -]?\d{4}[ -]?\d{4}[ -]?\d{4}",
+    ["diagnosis", "prescription", "patient", "physician", "medical record", "hipaa"],
+    r"\d{3}-\d{2}-\d{4}",
+    ["passport number", "social security", "ssn", "license"],
+    ["sk-", "api"],
+    ["password", "passwd", "pwd"],
+    ["PRIVATE KEY"],
+]
+_ENTITY_HINTS = {
+    "date": r"\d[-/]\d|\s\d",
+    "invoice_number": ["inv"],
+    "case_reference": ["case", "matter", "docket"],
+    "amount": ["$"],
+    "organization": ["Inc", "LLC", "Ltd", "Corp", "Company", "Co"],
+    "person": r"[a-z] [A-Z][a-z]|[a-z]\s[A-Z][a-z]",
+}
+
+
+def _hinted(text: Column, low: Column, hint, ignore_case: bool) -> Column:
+    if isinstance(hint, str):
+        return text.rlike(java_regex(hint))
+    out = F.lit(False)
+    for word in hint:
+        out = out | F.contains(low if ignore_case else text, F.lit(word))
+    return out
+
+
 def detect_sensitive(text: Column) -> Column:
     """Distinct sensitive labels in pattern order."""
-    hits = F.array(*[F.when(text.rlike(java_regex(p, ic)), F.lit(label))
-                     for label, p, ic in K.SENSITIVE_PATTERNS])
+    low = F.lower(text)
+    hits = F.array(*[F.when(_hinted(text, low, hint, ic) & text.rlike(java_regex(p, ic)), F.lit(label))
+                     for (label, p, ic), hint in zip(K.SENSITIVE_PATTERNS, _SENSITIVE_HINTS)])
     return F.array_distinct(F.filter(hits, lambda x: x.isNotNull()))
 
 
 def entity_arrays(text: Column) -> Column:
     """array<struct(type, value)>: distinct per type, by first occurrence."""
+    low, none = F.lower(text), F.array().cast("array<string>")
     found = {}
     for kind, pattern, group, ic in K.ENTITY_PATTERNS:
         raw = F.regexp_extract_all(text, F.lit(java_regex(pattern, ic)), F.lit(group))
+        raw = F.when(_hinted(text, low, _ENTITY_HINTS[kind], ic), raw).otherwise(none)
         found[kind] = F.array_distinct(F.filter(F.transform(raw, trim_ws), lambda v: v != ""))
     orgs = found["organization"]
     found["person"] = F.filter(found["person"], lambda p: ~F.exists(orgs, lambda o: F.contains(o, p)))

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import re
-from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -44,35 +43,59 @@ _NOT_TOKEN = re.compile(r"[^a-z0-9'-]+")
 _STOPS = frozenset(K.STOP_WORDS)
 
 
-@lru_cache(maxsize=1 << 18)
-def _buckets(feature: str) -> tuple[int, int]:
-    """First and second bucket of a feature."""
-    h = K.FNV_OFFSET
-    for ch in feature:
-        h = ((h ^ ord(ch)) * K.FNV_PRIME) & 0xFFFFFFFF
-    first = h
-    for ch in "_b":
-        h = ((h ^ ord(ch)) * K.FNV_PRIME) & 0xFFFFFFFF
-    return first % K.EMBED_DIM, h % K.EMBED_DIM
+def _tokens(text: str | None) -> list[str]:
+    return [t for t in (p.strip("'-") for p in _NOT_TOKEN.split((text or "").lower()))
+            if len(t) >= 2 and t not in _STOPS]
 
 
-def embed_one(text: str | None) -> np.ndarray:
-    """Unit vector of one text; all zeros when it has no tokens."""
-    toks = [t for t in (p.strip("'-") for p in _NOT_TOKEN.split((text or "").lower()))
-            if len(t) >= 2 and t not in _STOPS]
-    if not toks:
-        return np.zeros(K.EMBED_DIM, dtype=np.float32)
-    feats = toks + [f"{a}:{b}" for a, b in zip(toks, toks[1:])]
-    hashed = np.array([_buckets(f) for f in feats])
-    raw = (np.bincount(hashed[:, 0], minlength=K.EMBED_DIM)
-           + 0.5 * np.bincount(hashed[:, 1], minlength=K.EMBED_DIM)) / len(feats)
-    return (raw / np.sqrt(raw @ raw)).astype(np.float32)
+def _hash_on(state: np.ndarray, code: np.ndarray, chars: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """Carry FNV states on over the characters of the words ``code``."""
+    state, live, prime = state.copy(), np.arange(len(code)), np.uint32(K.FNV_PRIME)
+    for j in range(chars.shape[1]):
+        live = live[length[code[live]] > j]
+        if len(live) == 0:
+            break
+        state[live] = (state[live] ^ chars[code[live], j]) * prime
+    return state
+
+
+def embed_batch(texts) -> np.ndarray:
+    """Unit vectors of a batch of texts; a text without tokens has a zero vector."""
+    per_text = [_tokens(t) for t in texts]
+    count = np.array([len(t) for t in per_text], dtype=np.int64)
+    out = np.zeros((len(per_text), K.EMBED_DIM))
+    if count.sum() == 0:
+        return out.astype(np.float32)
+    code, vocabulary = pd.factorize(np.array([w for t in per_text for w in t], dtype=object))
+    packed = np.array(vocabulary, dtype="S")
+    chars = packed.view(np.uint8).reshape(len(packed), -1).astype(np.uint32)
+    length = np.array([len(w) for w in vocabulary])
+    start = np.full(len(packed), K.FNV_OFFSET, dtype=np.uint32)
+    word = _hash_on(start, np.arange(len(packed)), chars, length)
+    owner = np.repeat(np.arange(len(count)), count)
+    pair = np.flatnonzero(owner[1:] == owner[:-1])  # neighbours within a text
+    colon = (word[code[pair]] ^ np.uint32(ord(":"))) * np.uint32(K.FNV_PRIME)
+    first = np.concatenate([word[code], _hash_on(colon, code[pair + 1], chars, length)])
+    owner = np.concatenate([owner, owner[pair]])
+    second = first
+    for ch in "_b":
+        second = (second ^ np.uint32(ord(ch))) * np.uint32(K.FNV_PRIME)
+    size = len(count) * K.EMBED_DIM
+    for bucket, weight in ((first, 1.0), (second, 0.5)):
+        at = owner * K.EMBED_DIM + bucket % K.EMBED_DIM
+        out += weight * np.bincount(at, minlength=size).reshape(out.shape)
+    norm = np.sqrt((out * out).sum(axis=1, keepdims=True))
+    return np.divide(out, norm, out=out, where=norm > 0).astype(np.float32)
 
 
 @F.pandas_udf(T.ArrayType(T.FloatType()))
 def embed_text(texts: pd.Series) -> pd.Series:
-    """Hash embedding of a text, one Arrow batch at a time."""
-    return texts.map(embed_one)
+    """Hash embedding of a text, one Arrow batch at a time.
+
+    The term-frequency weight is the same for a whole text up to its length, which
+    the normalisation takes out again, so plain counts are enough.
+    """
+    return pd.Series(list(embed_batch(texts)), index=texts.index)
 
 
 def embed_with(chunks: DataFrame, embedder: Column, model: str) -> DataFrame:

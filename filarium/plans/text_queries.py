@@ -14,7 +14,7 @@ from filarium.sources import files as S, views
 
 
 def docs(spark, sf):
-    return views.load(spark, sf, "documents").select("doc_id", "text")
+    return S.spread(views.load(spark, sf, "documents").select("doc_id", "text"))
 
 
 _LABELS = ", ".join(f"CASE WHEN regexp_matches(text, {q(re2_regex(p, ic))}) THEN {q(label)} END" for label, p, ic in K.SENSITIVE_PATTERNS)

@@ -17,6 +17,16 @@ def load(spark: SparkSession, folder: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{table}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Give every core a share of a small input before heavy work on it.
+
+    An input with fewer splits than cores is redistributed; a large one already
+    has many more splits than cores and is left alone, without a shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def file_inventory(spark: SparkSession, root: str, scan_id: int = 1) -> DataFrame:
     """Every file below a root (S1). File contents are never read: the column is pruned."""
     listing = (spark.read.format("binaryFile").option("recursiveFileLookup", "true")

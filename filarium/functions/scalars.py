@@ -197,14 +197,22 @@ def sql_like(c: Column, term: Column | str) -> Column:
     """Case-insensitive substring match; % and _ in the term stay wildcards."""
     if isinstance(term, str):
         return c.ilike("%" + term.replace("\\", "\\\\") + "%")
+    low, term = F.lower(c), F.lower(term)
     safe = F.replace(term, F.lit("\\"), F.lit("\\\\"))
-    return F.call_function("like", F.lower(c), F.concat(F.lit("%"), F.lower(safe), F.lit("%")))
+    wild = F.contains(term, F.lit("%")) | F.contains(term, F.lit("_"))
+    # a pattern that differs per row is compiled per row, so only where it is one
+    return (F.when(wild, F.call_function("like", low, F.concat(F.lit("%"), safe, F.lit("%"))))
+            .otherwise(F.contains(low, term)))
+
+
+def any_pattern(keywords) -> str:
+    """Pattern that finds any of the keywords."""
+    return "|".join(k.replace("-", r"\-").replace(".", r"\.") for k in keywords)
 
 
 def any_of(c: Column, keywords) -> Column:
     """True if any keyword occurs in the text."""
-    esc = [k.replace("-", r"\-").replace(".", r"\.") for k in keywords]
-    return c.rlike("|".join(esc))
+    return c.rlike(any_pattern(keywords))
 
 
 def first_keyword(text: Column, keywords) -> Column:

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from filarium import constants as K
-from filarium.functions import (any_of, first_keyword, first_segment_keyword, half_up_div, parent,
+from filarium.functions import (any_pattern, first_keyword, first_segment_keyword, half_up_div, parent,
                                 sql_literal)
 from filarium.operators import rules as R
 from filarium.operators.skew import join_hot
@@ -69,55 +69,66 @@ def _with_parts(df: DataFrame) -> DataFrame:
             .withColumn("_dir", folder))
 
 
+def _one_of(column: str, values) -> str:
+    return f"{column} IN ({', '.join(map(sql_literal, values))})"
+
+
+def _contains(column: str, keywords) -> str:
+    return f"{column} RLIKE {sql_literal(any_pattern(keywords))}"
+
+
 def rule_id() -> Column:
-    """Ordered CASE over the working columns; value is a 1-based rule index."""
-    name, ext, folder, kind = F.col("_name"), F.col("_ext"), F.col("_dir"), F.col("finding_type")
-    inside = {t: any_of(folder, kws) for t, kws in K.FOLDER_KEYWORDS.items()}
-    named = {t: any_of(name, kws) for t, kws in K.NAME_KEYWORDS.items()}
-    segs = F.concat(F.lit("/"), folder, F.lit("/"))
-    is_doc = ext.isin(K.DOC_EXTS + K.SHEET_EXTS)
-    web_file = name.isin(K.WEB_NAMES) | ext.isin(K.WEB_EXTS)
-
-    steps: list[tuple[Column, str]] = [
-        (kind == "duplicate", "duplicate"),
-        (kind == "idlk_file", "lock_indesign"),
-        (ext.isin(K.LOCK_EXTS) | name.endswith(".lock"), "lock_application"),
-        (kind == "locked_file", "locked"),
-        (ext.isin(K.IMAGE_EXTS) & name.rlike(K.SCREENSHOT_PREFIX), "screenshot"),
-        (kind == "zero_byte", "zero_byte"),
-        (kind == "empty_folder", "empty_folder"),
-        (kind == "installer", "installer"),
-        (kind == "archive", "archive"),
-        (ext.isin(K.TEMP_EXTS), "temporary"),
-        ((ext == ".log") & (name.contains("log") | segs.contains("/log/") | segs.contains("/logs/")), "log"),
-        (web_file & inside["web"], "web_folder"),
+    """Ordered CASE over the working columns; value is a 1-based rule index.
+
+    Written as SQL text and parsed once: as Column calls it takes over a thousand.
+    """
+    def ext(values):
+        return _one_of("_ext", values)
+
+    inside = {t: _contains("_dir", kws) for t, kws in K.FOLDER_KEYWORDS.items()}
+    named = {t: _contains("_name", kws) for t, kws in K.NAME_KEYWORDS.items()}
+    web_file = f"({_one_of('_name', K.WEB_NAMES)} OR {ext(K.WEB_EXTS)})"
+    brand = f"({named['branding']} OR {_contains('_dir', K.NAME_KEYWORDS['branding'])})"
+
+    steps = [
+        ("finding_type = 'duplicate'", "duplicate"),
+        ("finding_type = 'idlk_file'", "lock_indesign"),
+        (f"{ext(K.LOCK_EXTS)} OR endswith(_name, '.lock')", "lock_application"),
+        ("finding_type = 'locked_file'", "locked"),
+        (f"{ext(K.IMAGE_EXTS)} AND _name RLIKE {sql_literal(K.SCREENSHOT_PREFIX)}", "screenshot"),
+        ("finding_type = 'zero_byte'", "zero_byte"),
+        ("finding_type = 'empty_folder'", "empty_folder"),
+        ("finding_type = 'installer'", "installer"),
+        ("finding_type = 'archive'", "archive"),
+        (ext(K.TEMP_EXTS), "temporary"),
+        ("_ext = '.log' AND (contains(_name, 'log') OR concat(_dir, '/') RLIKE '/logs?/')", "log"),
+        (f"{web_file} AND {inside['web']}", "web_folder"),
         (web_file, "web"),
-        ((ext == ".zip") & F.col("beside_project"), "web_zip"),
-        (ext.isin(K.VECTOR_EXTS) & (named["branding"] | any_of(folder, K.NAME_KEYWORDS["branding"])), "branding"),
-        (ext.isin(K.DESIGN_EXTS) & inside["design"], "design_folder"),
-        (ext.isin(K.DESIGN_EXTS), "design"),
-        (ext.isin(K.DOC_EXTS) & inside["design"], "design_document"),
-        (ext.isin(K.RAW_EXTS), "photo_raw"),
-        (ext.isin(K.IMAGE_EXTS) & inside["photo"], "photo_folder"),
-        (ext.isin(K.IMAGE_EXTS), "photo"),
-        (ext.isin(K.VIDEO_EXTS), "video"),
-        (ext.isin(K.AUDIO_EXTS), "audio"),
-        (ext.isin(K.CODE_EXTS), "code"),
+        ("_ext = '.zip' AND beside_project", "web_zip"),
+        (f"{ext(K.VECTOR_EXTS)} AND {brand}", "branding"),
+        (f"{ext(K.DESIGN_EXTS)} AND {inside['design']}", "design_folder"),
+        (ext(K.DESIGN_EXTS), "design"),
+        (f"{ext(K.DOC_EXTS)} AND {inside['design']}", "design_document"),
+        (ext(K.RAW_EXTS), "photo_raw"),
+        (f"{ext(K.IMAGE_EXTS)} AND {inside['photo']}", "photo_folder"),
+        (ext(K.IMAGE_EXTS), "photo"),
+        (ext(K.VIDEO_EXTS), "video"),
+        (ext(K.AUDIO_EXTS), "audio"),
+        (ext(K.CODE_EXTS), "code"),
     ]
     for topic, *_ in K.DOCUMENT_TOPICS:
-        hit = named[topic] | inside[topic] if topic in inside else named[topic]
-        steps += [(is_doc & hit, f"{topic}_document"), ((ext == "") & hit, f"{topic}_no_extension")]
+        hit = f"({named[topic]} OR {inside[topic]})" if topic in inside else named[topic]
+        steps += [(f"{ext(K.DOC_EXTS + K.SHEET_EXTS)} AND {hit}", f"{topic}_document"),
+                  (f"_ext = '' AND {hit}", f"{topic}_no_extension")]
     steps += [
         (inside["video"], "video_hint"),
         (inside["audio"], "audio_hint"),
         (inside["photo"], "photo_hint"),
-        ((kind == "large_file") & ext.isin(K.VIDEO_EXTS + K.DISK_IMAGE_EXTS), "large_image"),
-        (kind == "large_file", "large"),
+        (f"finding_type = 'large_file' AND {ext(K.VIDEO_EXTS + K.DISK_IMAGE_EXTS)}", "large_image"),
+        ("finding_type = 'large_file'", "large"),
     ]
-    case = F.when(steps[0][0], RULE_INDEX[steps[0][1]])
-    for cond, key in steps[1:]:
-        case = case.when(cond, RULE_INDEX[key])
-    return case.otherwise(RULE_INDEX["unknown"])
+    whens = " ".join(f"WHEN {cond} THEN {RULE_INDEX[key]}" for cond, key in steps)
+    return F.expr(f"CASE {whens} ELSE {RULE_INDEX['unknown']} END")
 
 
 def _keyword(rule: Column) -> Column:
@@ -195,5 +206,5 @@ def classify_with(df: DataFrame, model: Column) -> DataFrame:
 
 def semantic_tags(classified: DataFrame, key: str = "finding_id") -> DataFrame:
     """Distinct (key, tag) rows (C12). Tags sit in one row, so no shuffle is needed."""
-    return classified.select(key, F.explode(F.array_distinct("ai.tags")).alias("tag"))
-
+    # the outer form adds no filter on the array, which would compute it again
+    return classified.select(key, F.explode_outer(F.array_distinct("ai.tags")).alias("tag")).filter("tag is not null")

@@ -8,8 +8,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, functions as F
 
 from filarium import constants as K
-from filarium.functions import (any_of, approx_bytes, capitalise, java_regex, lookup, parse_number,
-                                slug, strings, trim_ws, words)
+from filarium.functions import (any_pattern, approx_bytes, capitalise, java_regex, lookup, parse_number,
+                                slug, sql_literal, strings, trim_ws, words)
 
 
 def _matches(q: Column, pattern: str) -> Column:
@@ -25,19 +25,25 @@ def _flat(*items: Column) -> Column:
     return F.flatten(F.filter(F.array(*items), lambda x: x.isNotNull()))
 
 
-def categories(q: Column) -> Column:
+def _named_hits(q: str, pairs) -> Column:
+    """Names whose pattern occurs in column ``q``, in list order; parsed as one expression."""
+    cases = ", ".join(f"CASE WHEN {q} RLIKE {sql_literal(p)} THEN {sql_literal(v)} END" for v, p in pairs)
+    return F.expr(f"filter(array({cases}), x -> x IS NOT NULL)")
+
+
+def categories(q: str) -> Column:
     """Categories with a synonym in the text, in list order."""
-    return _present(*[F.when(any_of(q, kws), F.lit(cat)) for cat, kws in K.QUERY_CATEGORIES])
+    return _named_hits(q, [(cat, any_pattern(kws)) for cat, kws in K.QUERY_CATEGORIES])
 
 
-def finding_types(q: Column) -> Column:
+def finding_types(q: str) -> Column:
     """Finding types named in the text."""
-    return _present(*[F.when(any_of(q, kws), F.lit(t)) for t, kws in K.QUERY_TYPES])
+    return _named_hits(q, [(t, any_pattern(kws)) for t, kws in K.QUERY_TYPES])
 
 
-def statuses(q: Column) -> Column:
+def statuses(q: str) -> Column:
     """Statuses named in the text."""
-    return _present(*[F.when(_matches(q, p), F.lit(s)) for s, p in K.QUERY_STATUSES])
+    return _named_hits(q, [(s, java_regex(p)) for s, p in K.QUERY_STATUSES])
 
 
 def _unit_bytes(unit: Column) -> Column:
@@ -58,14 +64,14 @@ def size_bounds(q: Column) -> tuple[Column, Column]:
     return F.coalesce(explicit, vague), F.least(*[_bound(q, p) for p in K.SIZE_MAX_PATTERNS])
 
 
-def extension_labels(q: Column) -> Column:
+def extension_labels(q: str) -> Column:
     """Labels of the extension shortcuts that apply (X11e)."""
-    return _present(*[F.when(_matches(q, p), F.lit(label)) for p, _, label in K.QUERY_EXTENSIONS])
+    return _named_hits(q, [(label, java_regex(p)) for p, _, label in K.QUERY_EXTENSIONS])
 
 
-def extensions(q: Column) -> Column:
+def extensions(q: str) -> Column:
     """Distinct extensions of those shortcuts (X11e)."""
-    return F.array_distinct(_flat(*[F.when(_matches(q, p), strings(exts)) for p, exts, _ in K.QUERY_EXTENSIONS]))
+    return F.array_distinct(F.flatten(_named_hits(q, [(exts, java_regex(p)) for p, exts, _ in K.QUERY_EXTENSIONS])))
 
 
 def date_range(q: Column, now: Column) -> Column:
@@ -120,15 +126,14 @@ def interpret_queries(queries: DataFrame, now: datetime | Column) -> DataFrame:
     base = queries.withColumn("_q", F.lower(trim_ws(F.col("query")))).withColumn("_words", words(F.col("_q")))
     q = F.col("_q")
     low, high = size_bounds(q)
-    df = (base.withColumn("categories", categories(q)).withColumn("finding_types", finding_types(q))
-          .withColumn("statuses", statuses(q)).withColumn("min_size_bytes", low).withColumn("max_size_bytes", high)
-          .withColumn("extensions", extensions(q)).withColumn("_ext_labels", extension_labels(q))
-          .withColumn("_d", date_range(q, now)).withColumn("mentioned_entity", mention(F.col("query")))
-          .withColumn("tags", F.transform("categories", slug))
-          .withColumn("date_from", F.col("_d.date_from")).withColumn("date_to", F.col("_d.date_to"))
-          .withColumn("date_label", F.col("_d.label")))
-    df = (df.withColumn("applied_filters", _applied()).withColumn("explanation", _explanation())
-          .withColumn("confidence", _confidence()).withColumn("unrecognized_terms", _unrecognised()))
+    df = base.withColumns({
+        "categories": categories("_q"), "finding_types": finding_types("_q"), "statuses": statuses("_q"),
+        "min_size_bytes": low, "max_size_bytes": high, "extensions": extensions("_q"),
+        "_ext_labels": extension_labels("_q"), "_d": date_range(q, now), "mentioned_entity": mention(F.col("query"))})
+    df = df.withColumns({"tags": F.transform("categories", slug), "date_from": F.col("_d.date_from"),
+                         "date_to": F.col("_d.date_to"), "date_label": F.col("_d.label")})
+    df = df.withColumns({"applied_filters": _applied(), "explanation": _explanation(), "confidence": _confidence(),
+                         "unrecognized_terms": _unrecognised()})
     return df.drop("_q", "_words", "_ext_labels", "_d")
 
 

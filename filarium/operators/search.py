@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from filarium import constants as K
 from filarium.functions import SPACE_CLASS, ext_norm, sql_like, strings, trim_ws
 from filarium.operators.nlquery import interpret_queries
+from filarium.session import cut_lineage
 
 LIST_FIELDS = ("extensions", "tags", "finding_types")
 # Interpreted queries up to this many are copied to every task.
@@ -182,9 +183,8 @@ def score_findings(df: DataFrame, q: str | Column | None, f: dict) -> DataFrame:
     """
     raw = q if isinstance(q, Column) else F.lit(q or "")
     cols = f if isinstance(f.get("extensions"), Column) else _filter_columns(f)
-    df = (df.withColumn("_ql", F.lower(trim_ws(raw)))
+    df = (df.withColumns({"_ql": F.lower(trim_ws(raw)), "_nl": F.lower("name"), "_pl": F.lower("path")})
           .withColumn("_terms", F.filter(F.split("_ql", SPACE_CLASS + "+"), lambda t: F.length(t) >= 2))
-          .withColumn("_nl", F.lower("name")).withColumn("_pl", F.lower("path"))
           .withColumn("_hits", F.filter("_terms", lambda t: F.contains(F.col("_nl"), t))))
     asked = F.col("_ql") != ""
     n_hits = F.size("_hits")
@@ -311,7 +311,7 @@ def batch_matches(interpreted: DataFrame, findings: DataFrame, entities: DataFra
     extensions, else its types, else the common key. Queries about a name start
     from the entity matches. The full filter then decides.
     """
-    queries = resolved_queries(interpreted)
+    queries = cut_lineage(resolved_queries(interpreted))  # read three times below
     small = queries.count() <= BROADCAST_QUERIES
 
     def key(kind, value):

@@ -29,7 +29,7 @@ _ENTITY_HINTS = {
     "case_reference": ["case", "matter", "docket"],
     "amount": ["$"],
     "organization": ["Inc", "LLC", "Ltd", "Corp", "Company", "Co"],
-    "person": r"[a-z] [A-Z][a-z]|[a-z]\s[A-Z][a-z]",
+    "person": r"[a-z]\s[A-Z][a-z]",
 }
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from filarium import constants as K
 from filarium.operators import dedup as D, projects as P
+from filarium.operators.classify import semantic_tags
 from filarium.plans import sqlviews as V
 from filarium.plans.file_queries import classified, hash_table
 from filarium.plans.registry import q, query, with_
@@ -19,7 +20,7 @@ def inputs(spark, sf):
     """(findings, tags, entities, chunks) of the classified files."""
     c = cut_lineage(classified(spark, sf).drop("content"))
     findings = c.select("finding_id", "scan_id", "path", "name", "modified_at", "size_bytes", F.col("ai.category").alias("ai_category"))
-    tags = c.select("finding_id", F.explode("ai.tags").alias("tag"))
+    tags = semantic_tags(c)
     i = F.col("finding_id")
     ents = c.filter("finding_id % 3 <> 0").select("finding_id", F.explode(F.array(
         F.concat(F.lit("Client "), (i % 37).cast("string")), F.concat(F.lit("Site "), (i % 11).cast("string")))).alias("value"))

@@ -9,9 +9,11 @@ from pyspark.sql import functions as F
 from filarium import constants as K
 from filarium.functions import re2_regex
 from filarium.operators import nlquery as N, search as S
+from filarium.operators.classify import semantic_tags
 from filarium.plans import sqlviews as V
 from filarium.plans.file_queries import classified
 from filarium.plans.registry import lst, q, query, with_
+from filarium.session import cut_lineage
 from filarium.sources import views
 
 NOW = datetime(2024, 7, 16, 10, 0, 0)
@@ -98,8 +100,13 @@ def _(spark, sf):
 
 # ---- the searched table: classified files ------------------------------------------------
 
-def searchable(spark, sf):
-    c = classified(spark, sf)
+def stored(spark, sf):
+    """The classified files as a written table, the way searches find them."""
+    return cut_lineage(classified(spark, sf).drop("content"))
+
+
+def searchable(spark, sf, table=None):
+    c = stored(spark, sf) if table is None else table
     kind = F.coalesce("finding_type", F.lit("none"))
     from filarium.operators.findings import risk_level
     return c.select("finding_id", "scan_id", "path", "name", "extension", "size_bytes", "modified_at", "created_at", kind.alias("type"),
@@ -107,8 +114,10 @@ def searchable(spark, sf):
                     F.col("ai.category").alias("ai_category"), F.col("ai.confidence").alias("ai_confidence"))
 
 
-def tags(spark, sf):
-    return classified(spark, sf).select("finding_id", F.explode("ai.tags").alias("tag"))
+def tables(spark, sf):
+    """(findings, tags, entities)"""
+    t = stored(spark, sf)
+    return searchable(spark, sf, t), semantic_tags(t), entities(spark, sf)
 
 
 def entities(spark, sf):
@@ -131,7 +140,7 @@ se AS (SELECT doc_id AS finding_id, 'Bank of Nation ' || doc_id % 25 || ' Ltd' A
 def _(spark, sf):
     f = {"path": " /SRC1 ", "extensions": [".pdf", "docx", "txt", "zip", "csv"], "min_size_bytes": 100000, "max_size_bytes": 30000000,
          "date_from": "2024-01-01 02:00:00", "date_to": "2024-01-01 15:00:00", "tags": ["doc", "arch"], "mentioned_entity": "nation 1"}
-    return S.apply_filters(searchable(spark, sf), tags(spark, sf), entities(spark, sf), f).select("finding_id")
+    return S.apply_filters(*tables(spark, sf), f).select("finding_id")
 
 
 @query("P4_sql_like", "SELECT doc_id FROM documents WHERE text ILIKE '%er_th%' OR text ILIKE '%éé%'")
@@ -143,12 +152,13 @@ def _(spark, sf):
 
 @query("P6_category_types", _SEARCH + "SELECT finding_id FROM sr WHERE type = 'installer' AND risk_level = 'medium'")
 def _(spark, sf):
-    return S.apply_filters(searchable(spark, sf), tags(spark, sf), entities(spark, sf), {"category": "Installers", "risk_level": "medium"}).select("finding_id")
+    return S.apply_filters(*tables(spark, sf), {"category": "Installers", "risk_level": "medium"}).select("finding_id")
 
 
 @query("J3_with_any_tag", _SEARCH + "SELECT DISTINCT finding_id FROM st WHERE tag ILIKE '%photo%' OR tag ILIKE '%design%'")
 def _(spark, sf):
-    return S.with_any_tag(searchable(spark, sf).select("finding_id"), tags(spark, sf), ["photo", "Design"])
+    findings, tags, _ = tables(spark, sf)
+    return S.with_any_tag(findings.select("finding_id"), tags, ["photo", "Design"])
 
 
 @query("J4_mentioning", _SEARCH + "SELECT DISTINCT finding_id FROM se WHERE value ILIKE '%of nation 2%'")
@@ -189,7 +199,7 @@ _FINAL2, _RAW2 = _score("'invoices over 1 MB'", "'Invoices'", "NULL", "[]::VARCH
 @query("E11_T5_search", _SEARCH + f""", s AS (SELECT *, {_RAW2} AS s0 FROM sr WHERE ai_category = 'Invoices' AND size_bytes >= 1048576)
   SELECT finding_id, {_FINAL2} AS relevance_score, (SELECT count(*) FROM s) AS total FROM s ORDER BY 2 DESC, created_at, finding_id LIMIT 25""")
 def _(spark, sf):
-    top, total = S.search(searchable(spark, sf), tags(spark, sf), entities(spark, sf), "invoices over 1 MB", NOW, limit=25)
+    top, total = S.search(*tables(spark, sf), "invoices over 1 MB", NOW, limit=25)
     return top.select("finding_id", "relevance_score").withColumn("total", total.scalar())
 
 

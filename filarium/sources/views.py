@@ -28,9 +28,7 @@ def files_v(spark: SparkSession, sf: str, content: bool = True) -> DataFrame:
         F.concat(_nth(STEMS, i), F.lit("-"), i.cast("string"), _nth(EXTS, i)))
     path = F.concat(F.lit("/"), F.col("source"), F.lit("/"), F.col("lang"), F.lit("/"),
                     _nth(FOLDERS, F.floor(i / 7)), F.lit("/"), name)
-    d = load(spark, sf, "documents").select("doc_id", "source", "lang", "n_chars", *(["text"] if content else []))
-    if content:
-        d = spread(d)
+    d = spread(load(spark, sf, "documents").select("doc_id", "source", "lang", "n_chars", *(["text"] if content else [])))
     cols = [i.alias("finding_id"), (F.floor(i / 250) + 1).alias("scan_id"), name.alias("name"), path.alias("path"),
             F.when(i % 97 == 0, F.lit(0)).otherwise(F.col("n_chars") * 4096).cast("bigint").alias("size_bytes"),
             F.timestamp_add("MINUTE", i % 525600, F.lit("2024-01-01").cast("timestamp")).alias("modified_at")]

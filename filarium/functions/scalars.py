@@ -265,7 +265,8 @@ def cosine01(a: Column, b: Column) -> Column:
     """Cosine held to [0, 1]; 0 for missing, mismatched or zero vectors."""
     den = norm2(a) * norm2(b)
     cos = F.when((F.size(a) == F.size(b)) & (den > 0), dot(a, b) / den)
-    return F.coalesce(F.greatest(F.lit(0.0), F.least(F.lit(1.0), cos)), F.lit(0.0))
+    # coalesce first: least and greatest pass over nulls
+    return F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce(cos, F.lit(0.0))))
 
 
 # ---- path similarity (G1, G2, G4) ----------------------------------------------

@@ -69,8 +69,9 @@ def entity_arrays(text: Column) -> Column:
 
 def extract_entities(docs: DataFrame, key: str = "doc_id") -> DataFrame:
     """(key, type, value) rows (X2, UD4)."""
-    return (docs.select(key, F.explode(entity_arrays(F.col("text"))).alias("e"))
-            .select(key, "e.type", "e.value"))
+    # the outer form adds no filter on the array, which would run all patterns again
+    return (docs.select(key, F.explode_outer(entity_arrays(F.col("text"))).alias("e"))
+            .select(key, "e.type", "e.value").filter("type is not null"))
 
 
 _SENTENCE = rf"(?<=[.!?]){SPACE_CLASS}+|\n"
@@ -129,8 +130,8 @@ def chunk_text(docs: DataFrame, key: str = "doc_id") -> DataFrame:
     keep = [key] + [c for c in ("extracted_id",) if c in docs.columns]
     pieces = F.flatten(F.transform(split_paragraphs(F.col("text")), pack))
     staged = docs.select(*keep, pieces.alias("_pieces"))
-    return (staged.filter(F.size("_pieces") > 0)
-            .select(*keep, F.posexplode(with_overlap(F.col("_pieces"))).alias("chunk_index", "chunk_text"))
+    # outer for the same reason; texts without pieces drop out by their length
+    return (staged.select(*keep, F.posexplode_outer(with_overlap(F.col("_pieces"))).alias("chunk_index", "chunk_text"))
             .filter(F.length("chunk_text") >= K.CHUNK_MIN))
 
 

@@ -32,7 +32,8 @@ def stage_candidates(entries: DataFrame, split_threshold: int | None = None) ->
         return staged.withColumn("bucket", F.col("size_bytes").cast("string")).drop("same_size")
     bucket = F.concat(F.col("size_bytes").cast("string"),
                       F.when(F.col("same_size") > split_threshold, F.col("extension")).otherwise(""))
-    staged = staged.withColumn("bucket", bucket).drop("same_size")
+    # written once: the second count and its join would each repeat the first
+    staged = cut_lineage(staged.withColumn("bucket", bucket).drop("same_size"))
     kept = staged.groupBy("bucket").agg(F.count("*").alias("_n")).filter("_n > 1")
     return join_hot(staged, kept, ["bucket"], "_n", ["path"]).drop("_n")
 
@@ -100,6 +101,7 @@ def canonical_of() -> Column:
 def duplicate_groups(hashed: DataFrame) -> DataFrame:
     """One row per content hash with two or more members."""
     if "bucket" in hashed.columns:
+        hashed = cut_lineage(hashed)
         pairs = (hashed.filter("hash is not null").groupBy("bucket", "hash")
                  .agg(F.count("*").alias("_n")).filter("_n > 1"))
         hashed = join_hot(hashed, pairs, ["bucket", "hash"], "_n", ["path"]).drop("_n")

@@ -260,7 +260,8 @@ def link_groups(aug: DataFrame, projects: DataFrame | None = None, rejected: Dat
     (group_id, finding_id): pairs in a common project are left alone, pairs in a
     common rejected candidate need a higher score.
     """
-    tiles = _tiles(_features(aug, projects, rejected, per_scan), tile_rows)
+    # the features feed the block counts, the hot-key test and the tiles
+    tiles = _tiles(cut_lineage(_features(aug, projects, rejected, per_scan)), tile_rows)
 
     def run(batches):
         # tiles arrive sorted; the last tile of a batch may go on in the next

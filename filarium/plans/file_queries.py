@@ -71,7 +71,7 @@ def _(spark, sf):
 @query("D5_duplicate_groups_split", with_(V.FILES, _STAGED, """pairs AS (SELECT *, count(*) OVER (PARTITION BY bucket, hash) AS m
   FROM cand QUALIFY m > 1)""", body="SELECT hash, count(*) AS file_count, CAST(sum(size_bytes) AS BIGINT) AS total_size_bytes FROM pairs GROUP BY hash"))
 def _(spark, sf):
-    staged = D.stage_candidates(D.hash_contents(views.files_v(spark, sf)), split_threshold=2)
+    staged = D.stage_candidates(hash_table(spark, sf), split_threshold=2)
     return D.duplicate_groups(staged).select("hash", "file_count", "total_size_bytes")
 
 

@@ -18,7 +18,7 @@ def load(spark: SparkSession, folder: str, table: str) -> DataFrame:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Give every core a share of a small input before heavy work on it.
+    """Give every core a share of a small scan before heavy work on it.
 
     An input with fewer splits than cores is redistributed; a large one already
     has many more splits than cores and is left alone, without a shuffle.

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import quality_rules
+from . import line_dedup, ngram_join, quality_rules
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -22,3 +22,13 @@ def query(fn):
 def op1_quality_rules(spark, sf_dir):
     return quality_rules.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).select(
         "doc_id", *quality_rules.COUNTS, "base_failed", "kept", "rule")
+
+
+@query
+def op5_line_dedup(spark, sf_dir):
+    return line_dedup.line_classes(table(spark, sf_dir, "documents"))
+
+
+@query
+def op10_ngram_join(spark, sf_dir):
+    return ngram_join.join_groups(table(spark, sf_dir, "documents"))

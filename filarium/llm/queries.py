@@ -4,11 +4,21 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import line_dedup, ngram_join, quality_rules
+from . import ann, bpe, line_dedup, ngram_join, packing, pii, quality_rules, secret_scan, url_filter
 from .common import table
 
+#: Key of the pseudonyms over the test tables; a real one comes from a secret store.
+TEST_KEY = b"test tables"
+
+
+def tokenizer_path() -> str:
+    """File of the public tokenizer that the queries use."""
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
@@ -32,3 +42,38 @@ def op5_line_dedup(spark, sf_dir):
 @query
 def op10_ngram_join(spark, sf_dir):
     return ngram_join.join_groups(table(spark, sf_dir, "documents"))
+
+
+@query
+def op2_bpe(spark, sf_dir):
+    return bpe.encode_table(table(spark, sf_dir, "documents"), tokenizer_path())
+
+
+@query
+def op4_secret_scan(spark, sf_dir):
+    found = secret_scan.scan(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return found.select("doc_id", "place", F.sha2("value", 256).alias("value_sha256"), "length", "score", "is_secret")
+
+
+@query
+def op6_url_filter(spark, sf_dir):
+    # the number in a page's path is the document it was made from
+    labels = table(spark, sf_dir, "labels").select(
+        F.col("doc_id").alias("number"), ((F.col("quality") <= 0) | (F.col("toxic") >= 1)).cast("int").alias("poor"))
+    return url_filter.judge(table(spark, sf_dir, "pages"), labels)
+
+
+@query
+def op7_packing(spark, sf_dir):
+    return packing.pack(packing.pieces(table(spark, sf_dir, "documents"), tokenizer_path()))
+
+
+@query
+def op8_pii(spark, sf_dir):
+    return pii.pseudonymise(table(spark, sf_dir, "documents"), TEST_KEY)
+
+
+@query
+def op9_ann(spark, sf_dir):
+    vectors = table(spark, sf_dir, "embeddings")
+    return ann.search(vectors, vectors.where("vec_id % 20 = 0"))

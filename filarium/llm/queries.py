@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import ann, bpe, line_dedup, ngram_join, packing, pii, quality_rules, secret_scan, url_filter
+from . import ann, bpe, line_dedup, ngram_join, packing, pii, quality_rules, secret_scan, url_filter, warc_zip
 from .common import table
 
 #: Key of the pseudonyms over the test tables; a real one comes from a secret store.
@@ -77,3 +77,19 @@ def op8_pii(spark, sf_dir):
 def op9_ann(spark, sf_dir):
     vectors = table(spark, sf_dir, "embeddings")
     return ann.search(vectors, vectors.where("vec_id % 20 = 0"))
+
+
+@query
+def op3_warc(spark, sf_dir):
+    found = warc_zip.round_trip(table(spark, sf_dir, "pages"))
+    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+SQL["op3_warc"] = """
+WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages),
+g AS (SELECT payload_digest, max(page_id) AS last FROM p WHERE payload_bytes >= 1000 GROUP BY payload_digest)
+SELECT p.page_id, p.payload_bytes, p.payload_digest,
+       CASE WHEN p.page_id < g.last THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN p.page_id < g.last THEN g.last END AS refers_to
+FROM p LEFT JOIN g ON p.payload_digest = g.payload_digest AND p.payload_bytes >= 1000
+"""

@@ -1,19 +1,41 @@
-"""Training-data pipeline: documents in, packed sequences out."""
+"""Training-data pipeline: documents in, packed token sequences out."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from filarium.llm import quality_rules
+from filarium.llm import line_dedup, ngram_join, packing, quality_rules, secret_scan
 from filarium.llm.common import new_path, table
+from filarium.llm.queries import tokenizer_path
 
 
 def drop_poor(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that base rules and the learned decision list keep."""
+    """Documents that the base rules and the learned decision list keep."""
     return quality_rules.keep_good(docs, table(spark, sf_dir, "labels"))
 
 
-STAGES = [("quality_rules", drop_poor)]
+def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without lines that repeat an earlier one; those left without a line go."""
+    return line_dedup.drop_repeated_lines(docs)
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The first document of each group of near copies."""
+    return ngram_join.keep_one(docs)
+
+
+def hide_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with their secrets replaced by a mark."""
+    return secret_scan.redact(docs, table(spark, sf_dir, "labels"))
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token pieces of the documents with their places in sequences."""
+    return packing.pack(packing.pieces(docs, tokenizer_path()))
+
+
+STAGES = [("quality_rules", drop_poor), ("line_dedup", drop_lines), ("ngram_join", drop_near_copies),
+          ("secret_scan", hide_secrets), ("packing", pack)]
 
 #: Decision lists, MinHash, forests and packing are not SQL; the tests compare with brute force.
 ORACLE_SQL = None

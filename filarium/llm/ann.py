@@ -8,7 +8,8 @@ double precision. The number of parts that queries visit is the least that reach
 on sample queries that the classifiers did not see.
 
 Equal vectors count once: of a group only the smallest ids can be among the nearest, so a group
-holds that many rows, and equal queries are searched once. Large parts are cut into tiles.
+holds that many rows, and equal queries are searched once. A task takes a block of queries and a
+slice of all vectors, part by part, and keeps the best so far, so only those leave it.
 """
 
 from __future__ import annotations
@@ -20,9 +21,9 @@ from pyspark.sql import DataFrame, Window, functions as F
 from .common import stored
 
 SAMPLE = 8192
-#: Vectors to a part, about, and the most parts that a sample of that size can teach.
-PART, PARTS = 1600, 64
-TILE = 2048
+PARTS = 16
+#: Queries of a block; vectors of a slice, about, with the least and most slices.
+BLOCK, SLICE, SLICES = 2048, 16_384, (4, 64)
 RECALL = 0.97
 GRAPH = 12
 
@@ -161,7 +162,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20) -> DataFrame:
     one = Window.partitionBy("h", "v").orderBy("vec_id")
     sample = (first.withColumn("r", F.row_number().over(one)).where("r = 1").orderBy("h", "vec_id").limit(SAMPLE)
               .select("v").toArrow())
-    model = Partitions(_matrix(sample.column(0).combine_chunks(), sample.num_rows), min(PARTS, -(-total // PART) + 1), k)
+    model = Partitions(_matrix(sample.column(0).combine_chunks(), sample.num_rows), PARTS, k)
     shared = vectors.sparkSession.sparkContext.broadcast(vars(model))  # two matrices of PARTS columns
 
     def place(batches):
@@ -176,30 +177,30 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20) -> DataFrame:
                 routes = Partitions.of(shared.value).routes(_matrix(t.column(2), t.num_rows)).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([*t.columns, pa.array(list(routes), pa.list_(pa.int32()))], names=["h", "vec_id", "v", "parts"])
 
-    placed = stored(first.select("h", "vec_id", "v").mapInArrow(place, "h long, vec_id long, v array<double>, part int"), "placed")
-    routed = stored(once.select("h", "vec_id", "v").mapInArrow(route, "h long, vec_id long, v array<double>, parts array<int>")
-                    .select("h", "vec_id", "v", F.explode("parts").alias("part")), "routed")
-    # a part of b and q times the rows of a tile is b * q tiles
-    blocks = placed.groupBy("part").agg(F.ceil(F.count("*") / TILE).cast("int").alias("nb")).join(
-        routed.groupBy("part").agg(F.ceil(F.count("*") / TILE).cast("int").alias("nq")), "part")
-    spread = lambda df, own, other: (
-        df.join(F.broadcast(blocks), "part")  # one row for each of at most PARTS parts
-        .withColumn("mine", F.pmod(F.xxhash64("vec_id", "h"), own).cast("int")).withColumn("each", F.explode(F.sequence(F.lit(0), F.col(other) - 1))))
-    rows = (spread(placed, "nb", "nq").select("part", F.col("mine").alias("b"), F.col("each").alias("q"), F.lit(0).alias("side"), "h", "vec_id", "v")
-            .union(spread(routed, "nq", "nb").select("part", F.col("each"), F.col("mine"), F.lit(1), "h", "vec_id", "v")))
-    rows = rows.repartition("part", "b", "q").sortWithinPartitions("part", "b", "q", "side", "vec_id")
+    placed = first.select("h", "vec_id", "v").mapInArrow(place, "h long, vec_id long, v array<double>, part int")
+    routed = stored(once.select("h", "vec_id", "v").mapInArrow(route, "h long, vec_id long, v array<double>, parts array<int>"), "routed")
+    blocks = max(1, -(-routed.count() // BLOCK))
+    slices = max(SLICES[0], min(SLICES[1], -(-total // SLICE)))
+    turn = lambda n: F.pmod(F.xxhash64("vec_id", "h"), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    nothing = F.array().cast("array<int>")
+    rows = (routed.select(every(slices).alias("slice"), turn(blocks).alias("block"), F.lit(-1).alias("part"), "h", "vec_id", "v", "parts")
+            .union(placed.select(turn(slices).alias("slice"), every(blocks).alias("block"), "part", "h", "vec_id", "v", nothing)))
+    rows = rows.repartition("slice", "block").sortWithinPartitions("slice", "block", "part", "vec_id")
 
     def meet(batches):
-        now, held = None, []
+        now, best = None, None
         for t in batches:
             keys = np.stack([t.column(i).to_numpy() for i in range(3)], axis=1)
             cuts = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1).tolist(), t.num_rows] if t.num_rows else []
             for a, b in zip(cuts, cuts[1:]):
-                if tuple(keys[a]) != now:
-                    yield from _nearest(held, k)
-                    now, held = tuple(keys[a]), []
-                held.append(t.slice(a, b - a))
-        yield from _nearest(held, k)
+                if tuple(keys[a][:2]) != now:
+                    if best:
+                        yield from best.rows()
+                    now, best = tuple(keys[a][:2]), _Best(k + 1)
+                best.add(int(keys[a][2]), t.slice(a, b - a))
+        if best:
+            yield from best.rows()
 
     found = rows.mapInArrow(meet, "h long, query_first long, vec_id long, score double")
     best = Window.partitionBy("h", "query_first").orderBy(F.col("score").desc(), "vec_id")
@@ -212,29 +213,48 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20) -> DataFrame:
             .select("query_id", "rank", "vec_id", "score"))
 
 
-def _nearest(held: list[pa.RecordBatch], k: int):
-    """The k + 1 nearest vectors of a tile for each of its queries, ties to smaller ids."""
-    if not held:
-        return
-    t = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
-    side = t.column(3).to_numpy()
-    n = int((side == 0).sum())
-    if n in (0, len(side)):
-        return
-    v, ids, h = _matrix(t.column(6), len(side)), t.column(5).to_numpy(), t.column(4).to_numpy()
-    x, q = v[:n], v[n:]
-    take = min(k + 1, n)
-    for at in range(0, len(q), 256):
-        s = q[at:at + 256] @ x.T
-        least = np.partition(s, n - take, axis=1)[:, n - take]
-        # products in one fixed order for all that rounding could bring to the top
-        slack = 1e-9 * (1 + np.abs(s).max(axis=1))
-        rows, cols = np.nonzero(s >= (least - slack)[:, None])
-        exact = np.concatenate([(q[at + rows[i:i + 65536]] * x[cols[i:i + 65536]]).sum(axis=1) for i in range(0, len(rows), 65536)])
-        order = np.lexsort((ids[cols], -exact, rows))
-        rows, cols, exact = rows[order], cols[order], exact[order]
-        keep = np.arange(len(rows)) - np.searchsorted(rows, rows) < take
-        rows, cols = rows[keep], cols[keep]
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(h[n + at + rows]), pa.array(ids[n + at + rows]), pa.array(ids[cols]), pa.array(exact[keep])],
-            names=["h", "query_first", "vec_id", "score"])
+class _Best:
+    """The nearest vectors so far of a block of queries, ties to smaller ids."""
+
+    def __init__(self, k: int):
+        self.k, self.asked, self.ready = k, [], False
+        self.row, self.id, self.score = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+
+    def add(self, part: int, t: pa.RecordBatch) -> None:
+        if part < 0:
+            self.asked.append(t)
+            return
+        if not self.asked:
+            return
+        if not self.ready:
+            t0 = pa.Table.from_batches(self.asked).combine_chunks().to_batches()[0]
+            self.h, self.query, self.q = t0.column(3).to_numpy(), t0.column(4).to_numpy(), _matrix(t0.column(5), t0.num_rows)
+            self.parts = _matrix(t0.column(6), t0.num_rows)
+            self.floor, self.ready = np.full(t0.num_rows, -np.inf), True
+        ask = np.flatnonzero((self.parts == part).any(axis=1))
+        ids, x = t.column(4).to_numpy(), _matrix(t.column(5), t.num_rows)
+        for at in range(0, len(x) if len(ask) else 0, 1024):
+            y = x[at:at + 1024]
+            s = self.q[ask] @ y.T
+            own = np.partition(s, len(y) - self.k, axis=1)[:, len(y) - self.k] if len(y) > self.k else np.full(len(s), -np.inf)
+            # products in one fixed order for all that rounding could bring to the top
+            least = np.maximum(own, self.floor[ask]) - 1e-9 * (1 + np.abs(s).max(axis=1))
+            r, c = np.nonzero(s >= least[:, None])
+            exact = [(self.q[ask[r[i:i + 65536]]] * y[c[i:i + 65536]]).sum(axis=1) for i in range(0, len(r), 65536)]
+            self._merge(ask[r], ids[at + c], np.concatenate([np.zeros(0), *exact]))
+
+    def _merge(self, row, ids, score) -> None:
+        row, ids, score = np.concatenate([self.row, row]), np.concatenate([self.id, ids]), np.concatenate([self.score, score])
+        order = np.lexsort((ids, -score, row))
+        row, ids, score = row[order], ids[order], score[order]
+        rank = np.arange(len(row)) - np.searchsorted(row, row)
+        keep = rank < self.k
+        last = rank == self.k - 1
+        self.floor[row[last]] = score[last]
+        self.row, self.id, self.score = row[keep], ids[keep], score[keep]
+
+    def rows(self):
+        for at in range(0, len(self.row), 10_000):
+            r = self.row[at:at + 10_000]
+            yield pa.RecordBatch.from_arrays([pa.array(self.h[r]), pa.array(self.query[r]), pa.array(self.id[at:at + 10_000]),
+                                              pa.array(self.score[at:at + 10_000])], names=["h", "query_first", "vec_id", "score"])

@@ -37,8 +37,8 @@ _PATTERN = re.compile(r"""
       |(?P<m3>""" + "|".join(MONTHS) + r""")[ ](?P<d3>\d{1,2}),[ ](?P<y3>(?:19|20)\d\d))(?![\w/-]|\.\d))
   | (?P<ip>(?<![\w.])\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}(?!\w|\.\d))
   | (?P<ssn>(?<![\w-])\d{3}-\d\d-\d{4}(?![\w-]))
-  | (?P<phone>(?<![\w(])(?:\+?1[ .-]?)?(?:\([2-9]\d\d\)[ ]?|[2-9]\d\d[ .-])[2-9]\d\d[ .-]\d{4}(?!\w)
-      |(?<!\w)\+1[2-9]\d\d[2-9]\d{6}(?!\w)|\+[2-9]\d(?:[ .-]?\d){7,11}(?!\w))
+  | (?P<phone>(?<![\w(])(?:\+?1[ .-]?)?(?:\(\d{3}\)[ ]?|\d{3}[ .-])\d{3}[ .-]\d{4}(?!\w)
+      |(?<!\w)\+1\d{10}(?!\w)|\+[2-9]\d(?:[ .-]?\d){7,11}(?!\w))
   | (?P<card>(?<![\w.-])\d(?:[ -]?\d){12,18}(?![\w-]))
 """, re.VERBOSE | re.ASCII)
 
@@ -157,17 +157,13 @@ class Pseudonyms:
         d = re.sub(r"\D", "", m[0])
         if m[0].startswith("+") and d[0] != "1":
             return _refill(m[0], d[:2] + str(self.permute("phone" + d[:2], int(d[2:]), 10 ** (len(d) - 2))).zfill(len(d) - 2))
-        ok = lambda v: v >= 2_000_000_000 and v // 1_000_000 % 10 >= 2
-        return _refill(m[0], d[:-10] + str(self.permute("phone", int(d[-10:]), 10 ** 10, ok)))
+        return _refill(m[0], d[:-10] + str(self.permute("phone", int(d[-10:]), 10 ** 10)).zfill(10))
 
     def ip(self, m: re.Match) -> str | None:
         parts = [int(x) for x in m[0].split(".")]
         if max(parts) > 255 or any(len(x) > 1 and x[0] == "0" for x in m[0].split(".")):
             return None
-        v = int.from_bytes(bytes(parts), "big")
-        # hosts of public and private nets, but neither zero nets nor loopback nor multicast
-        ok = lambda x: 0 < x >> 24 < 224 and x >> 24 != 127
-        return ".".join(map(str, self.permute("ip", v, 1 << 32, ok).to_bytes(4, "big"))) if ok(v) else None
+        return ".".join(map(str, self.permute("ip", int.from_bytes(bytes(parts), "big"), 1 << 32).to_bytes(4, "big")))
 
     def email(self, m: re.Match) -> str | None:
         local, domain = m[0].rsplit("@", 1)

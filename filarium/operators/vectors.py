@@ -161,7 +161,7 @@ def _best(findings, chunks, vectors, query_ids, queries, min_score, k) -> pd.Dat
     out = []
     for q, qid in enumerate(query_ids):
         hit = np.flatnonzero(top[:, q] >= min_score)
-        if len(hit) > k:
+        if k is not None and len(hit) > k:
             hit = hit[np.lexsort((findings[starts[hit]], -top[hit, q]))[:k]]
         if len(hit) == 0:
             continue
@@ -173,8 +173,8 @@ def _best(findings, chunks, vectors, query_ids, queries, min_score, k) -> pd.Dat
     return pd.concat(out) if out else _EMPTY
 
 
-def score_chunks(chunks: DataFrame, queries: DataFrame, k: int, min_score: float) -> DataFrame:
-    """Scored (query, finding, chunk) candidates for the best k findings.
+def score_chunks(chunks: DataFrame, queries: DataFrame, k: int | None, min_score: float) -> DataFrame:
+    """Scored (query, finding, chunk) candidates for the best k findings (J19), or for all of them.
 
     ``chunks``: finding_id, chunk_id, vector. ``queries``: query_id, vector.
     Up to QUERY_BLOCK query vectors travel to the tasks and the chunks are not

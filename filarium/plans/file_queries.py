@@ -61,6 +61,20 @@ def _(spark, sf):
     return D.stage_candidates(views.files_v(spark, sf, False), split_threshold=2).select("path", "bucket")
 
 
+_EXACT = """staged AS (SELECT *, count(*) OVER (PARTITION BY size_bytes) AS n FROM files WHERE size_bytes > 0 QUALIFY n > 1)"""
+
+
+@query("D2_stage_candidates", with_(V.FILES, _EXACT, body="SELECT path, size_bytes FROM staged"))
+def _(spark, sf):
+    return D.stage_candidates(views.files_v(spark, sf, False)).select("path", "size_bytes")
+
+
+@query("D5_duplicate_groups", with_(V.FILES, _EXACT, """pairs AS (SELECT *, sha256(content) AS hash, count(*) OVER (PARTITION BY size_bytes, sha256(content)) AS m FROM staged QUALIFY m > 1)""",
+       body="SELECT hash, count(*) AS file_count, CAST(sum(size_bytes) AS BIGINT) AS total_size_bytes FROM pairs GROUP BY hash"))
+def _(spark, sf):
+    return D.duplicate_groups(D.stage_candidates(hash_table(spark, sf))).select("hash", "file_count", "total_size_bytes")
+
+
 @query("D3_hash_candidates", with_(V.FILES, _STAGED, body="SELECT path, sha256(content) AS hash FROM staged WHERE n > 1"))
 def _(spark, sf):
     files = views.files_v(spark, sf)
@@ -370,7 +384,7 @@ def _(spark, sf):
 def contents(spark, sf):
     """Files whose content suits their extension: show operators in PDFs, objects in JSON."""
     f = views.files_v(spark, sf)
-    pdf = F.concat(F.lit("BT ("), F.regexp_replace(F.substring("content", 1, 100000), r"[()\\]", " "), F.lit(") Tj ET (second part) Tj"))
+    pdf = F.concat(F.lit("BT ("), F.regexp_replace("content", r"[()\\]", " "), F.lit(") Tj ET (second part) Tj"))
     js = F.concat(F.lit('{"n":'), F.length("content").cast("string"), F.lit(',"scan":['), F.col("scan_id").cast("string"), F.lit("]}"))
     body = F.when(F.col("extension") == ".pdf", pdf).when((F.col("extension") == ".json") & (F.col("finding_id") % 2 == 0), js).otherwise(F.col("content"))
     return f.withColumn("content", F.encode(body, "UTF-8"))
@@ -389,11 +403,12 @@ def _(spark, sf):
     return t.select("finding_id", "extractor", F.md5("text").alias("digest"), F.length("text").cast("bigint").alias("chars"))
 
 
-@query("S5_pdf_text", with_(V.FILES, body="""SELECT finding_id, length(trim(regexp_replace(substr(content, 1, 100000), '[()\\\\]', ' ', 'g') || ' second part', e' \\t\\n\\r')) >= 13 AS has_text
+@query("S5_pdf_text", with_(V.FILES, body="""SELECT finding_id, octet_length(encode(CASE WHEN length(content) >= 2 THEN trim(regexp_replace(content, '[()\\\\]', ' ', 'g') || ' second part', e' \\t\\n\\r') ELSE 'second part' END)) AS chars
   FROM files WHERE extension = '.pdf'"""))
 def _(spark, sf):
     t = S.extract_text(contents(spark, sf)).filter("extractor = 'pdf'")
-    return t.select("finding_id", (F.col("text").endswith("second part") & (F.length("text") >= 13)).alias("has_text"))
+    # the show operators are read byte for byte, so characters are bytes
+    return t.select("finding_id", F.length("text").cast("bigint").alias("chars"))
 
 
 @query("S7_clip_text", f"SELECT doc_id, length(repeat(text, 8)) > {K.MAX_TEXT_CHARS} AS truncated, least(length(repeat(text, 8)), {K.MAX_TEXT_CHARS}) AS chars FROM documents")

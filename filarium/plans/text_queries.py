@@ -219,10 +219,10 @@ def _(spark, sf):
     return semantic(spark, sf).select("query_id", "finding_id", "chunk_id", F.round("score", 6).alias("score"), F.col("rank").cast("bigint"))
 
 
-@query("W2_best_chunk", with_(V.CHUNKS, _QV, _HITS, body="SELECT query_id, finding_id, chunk_id, round(score, 6) AS score FROM best QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, finding_id) <= 50"))
+@query("W2_best_chunk", with_(V.CHUNKS, _QV, _HITS, body="SELECT query_id, finding_id, chunk_id, round(score, 6) AS score FROM best WHERE score >= 0.05"))
 def _(spark, sf):
-    scored = E.score_chunks(views.chunks_v(spark, sf), query_vectors(spark, sf), 50, 0.05)
-    return E.top_hits(E.best_chunk(scored), 50).select("query_id", "finding_id", "chunk_id", F.round("score", 6).alias("score"))
+    scored = E.score_chunks(views.chunks_v(spark, sf), query_vectors(spark, sf), None, 0.05)
+    return E.best_chunk(scored).select("query_id", "finding_id", "chunk_id", F.round("score", 6).alias("score"))
 
 
 # lexical list of each query: its label's findings, longest id first

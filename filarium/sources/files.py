@@ -51,10 +51,11 @@ def extractor_for(ext: Column) -> Column:
     return lookup(ext_norm(ext), {e: kind for kind, exts in K.EXTRACTOR_KINDS.items() for e in exts})
 
 
-def clip_text(text: Column) -> Column:
-    """Struct(text, truncated): the stored text length is limited."""
-    return F.struct(F.substring(text, 1, K.MAX_TEXT_CHARS).alias("text"),
-                    (F.length(text) > K.MAX_TEXT_CHARS).alias("truncated"))
+def clip_text(text: Column, limit: int | None = K.MAX_TEXT_CHARS) -> Column:
+    """Struct(text, truncated): a display form of limited length (S7); whole without a limit."""
+    if limit is None:
+        return F.struct(text.alias("text"), F.when(text.isNotNull(), F.lit(False)).alias("truncated"))
+    return F.struct(F.substring(text, 1, limit).alias("text"), (F.length(text) > limit).alias("truncated"))
 
 
 def pdf_text(raw: Column) -> Column:
@@ -91,9 +92,11 @@ def pretty_json(texts: pd.Series) -> pd.Series:
     return texts.map(one)
 
 
-def extract_text(files: DataFrame) -> DataFrame:
+def extract_text(files: DataFrame, limit: int | None = None) -> DataFrame:
     """Add extractor, text and truncated to files with ``content``.
 
+    Texts stay whole unless a limit in characters is given.
+
     Files no extractor can read keep a null extractor and text. Only JSON files
     pass through Python; everything else stays in one JVM projection.
     """
@@ -104,7 +107,7 @@ def extract_text(files: DataFrame) -> DataFrame:
         .when(F.col("extractor").isNotNull(), F.decode(F.col("content").cast("binary"), "UTF-8")))
     as_json = raw.filter("extractor = 'json'").withColumn(
         "_t", pretty_json(F.decode(F.col("content").cast("binary"), "UTF-8")))
-    both = plain.unionByName(as_json).drop("content").withColumn("_c", clip_text(F.col("_t")))
+    both = plain.unionByName(as_json).drop("content").withColumn("_c", clip_text(F.col("_t"), limit))
     return both.select("*", "_c.text", "_c.truncated").drop("_t", "_c")
 
 
@@ -121,14 +124,18 @@ def extract_with(files: DataFrame, reader: Column) -> DataFrame:
 
 
 def write_scan(out: str, findings: DataFrame, classifications: DataFrame, tags: DataFrame,
-               files: DataFrame, mode: str = "append") -> None:
-    """Write the tables of a scan, partitioned by scan."""
+               files: DataFrame, mode: str = "overwrite") -> None:
+    """Write the tables of a scan, partitioned by scan.
+
+    A scan written again replaces its own partitions and leaves those of other scans; tables
+    without a scan are replaced as a whole, or grow with ``mode="append"``.
+    """
     tables = {"findings": findings, "ai_classifications": classifications,
               "semantic_tags": tags.dropDuplicates(["finding_id", "tag"]), "files": files}
     for name, df in tables.items():
         writer = df.write.mode(mode)
         if "scan_id" in df.columns:
-            writer = writer.partitionBy("scan_id")
+            writer = writer.partitionBy("scan_id").option("partitionOverwriteMode", "dynamic")
         writer.parquet(f"{out}/{name}")
 
 

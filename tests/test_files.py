@@ -218,3 +218,26 @@ def test_validation_splits_rows(spark):
     df = spark.createDataFrame([("a", "review"), ("b", "nope"), (None, "review")], "path string, finding_status string")
     good, bad = FN.split_valid(df, {"finding_status": "finding_status"}, ["path"])
     assert good.count() == 1 and sorted(e for r in bad.collect() for e in r.errors) == ["finding_status not allowed: nope", "path is required"]
+
+
+def test_long_texts_stay_whole(spark):
+    """A text beyond the display limit keeps its end; the limit is a choice."""
+    text = "word " * 60_000 + "last@end.org"
+    files = spark.createDataFrame([(1, ".txt", text.encode()), (2, ".pdf", f"BT ({text}) Tj ET".encode()), (3, ".txt", None)],
+                                  "finding_id long, extension string, content binary")
+    whole = {r.finding_id: r for r in S.extract_text(files).collect()}
+    assert whole[1].text == whole[2].text == text and not whole[1].truncated and whole[3].text is None
+    cut = {r.finding_id: r for r in S.extract_text(files, limit=200_000).collect()}
+    assert len(cut[1].text) == 200_000 and cut[1].truncated
+
+
+def test_scan_written_again_replaces_itself(spark, tmp_path):
+    found = spark.createDataFrame([(1, 10), (1, 11), (2, 20)], "scan_id long, finding_id long")
+    tags = spark.createDataFrame([(1, 10, "a"), (1, 10, "a"), (2, 20, "b")], "scan_id long, finding_id long, tag string")
+    out = str(tmp_path / "scans")
+    for part in (found, found.where("scan_id = 1")):
+        keep = tags.join(part, ["scan_id", "finding_id"], "left_semi")
+        S.write_scan(out, part, part, keep, part)
+    got = spark.read.parquet(f"{out}/findings")
+    assert sorted((r.scan_id, r.finding_id) for r in got.collect()) == [(1, 10), (1, 11), (2, 20)]
+    assert spark.read.parquet(f"{out}/semantic_tags").count() == 2

@@ -77,7 +77,8 @@ def statistics(docs: DataFrame, keep: list[str | Column]) -> DataFrame:
         "places", F.struct(F.lit(0).alias("n"), F.lit(0).alias("end")),
         lambda acc, p: F.struct((acc["n"] + p + WINDOW - F.greatest(p, acc["end"])).alias("n"), (p + WINDOW).alias("end")),
         lambda acc: acc["n"])
-    d = d.select(*rest, F.coalesce(covered, F.lit(0)).cast("long").alias("n_repeat_words"))
+    # exploded, the count is not put in place of its name in filters above, where its parts would repeat
+    d = d.select(*rest, F.explode(F.array(F.coalesce(covered, F.lit(0)).cast("long"))).alias("n_repeat_words"))
     return d.withColumn("base_failed", (F.col("n_words") < 20) | (F.col("n_repeat_words") * 100 > F.col("n_words") * 30))
 
 
@@ -220,7 +221,9 @@ def keep_good(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
     Texts are not shuffled: the list is learned from narrow statistics and the rules are
     evaluated again where the documents are read.
     """
-    narrow = docs.select("doc_id", "text")
-    rules = learn(labelled_statistics(statistics(narrow, ["doc_id"]), labels), **options)
+    stats = stored(statistics(docs.select("doc_id", "text"), ["doc_id"]), "statistics")
+    rules = learn(labelled_statistics(stats, labels), **options)
     wide = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("text").alias("text"))
-    return judge(statistics(wide, ["row"]), rules).where("kept").select("row.*")
+    judged = judge(statistics(wide, ["row"]), rules)
+    # exploded, the verdict is not merged into a filter on the text, which would repeat its parts
+    return judged.select("row", F.explode(F.array("kept")).alias("stays")).where("stays").select("row.*")

@@ -27,10 +27,11 @@ NAMES = r"(?i)(passw(or)?d|passwd|pwd|secret|token|api[_-]?key|access[_-]?key|pr
 PLACEHOLDERS = r"(?i)(example|sample|dummy|changeme|your[_-]|placeholder|xxxx|\*\*\*|redacted)"
 TEST_PATHS = r"(?i)(test|spec|fixture|mock|sample|example|docs?)(/|_|-|\.|$)"
 
-#: A run of key characters; only runs with a digit count.
-RUN = r"(?=[A-Za-z_+/=-]*[0-9])[A-Za-z0-9_+/=.-]{12,}"
-#: The value of an assignment.
-VALUE = r"[A-Za-z0-9_-]+[=:][\"']?([^\"'\s]{6,})"
+#: A run of key characters; only runs with a digit count. It starts where no such run goes on, so long runs are read once.
+RUN = r"(?<![A-Za-z0-9_+/=.-])(?=[A-Za-z_+/=.-]*+[0-9])[A-Za-z0-9_+/=.-]{12,}"
+#: The value of an assignment, and one to a credential name.
+SET = r"[=:][\"']?([^\"'\s]{6,})"
+VALUE = r"(?<![A-Za-z0-9_-])[A-Za-z0-9_-]++" + SET
 FEATURES = ["length", "digit_share", "upper_share", "hex_share", "letter_digit_turns", "case_turns", "vowel_turns",
             "distinct_share", "coverage", "dots", "at_sign", "assigned", "named_before", "named_after", "placeholder",
             "known_format", "test_path", "path_depth"]
@@ -44,10 +45,10 @@ def findings(docs: DataFrame) -> DataFrame:
     """
     path = F.col("source") if "source" in docs.columns else F.lit(None).cast("string")
     some = docs.select("doc_id", path.cast("string").alias("path"), "text").where(
-        F.col("text").rlike(RUN) | F.col("text").rlike(NAMES + VALUE[len("[A-Za-z0-9_-]+"):]))
+        F.col("text").rlike(RUN) | F.col("text").rlike(NAMES + SET))
     words = some.select("doc_id", "path", words_of(F.col("text")).alias("words"))
     hits = F.filter(F.transform("words", lambda w, i: F.struct(i.alias("place"), w.alias("word"))),
-                    lambda p: p["word"].rlike(RUN) | p["word"].rlike(NAMES + VALUE[len("[A-Za-z0-9_-]+"):]))
+                    lambda p: p["word"].rlike(RUN) | p["word"].rlike(NAMES + SET))
     found = words.select("doc_id", "path", "words", hits.alias("hits")).select("doc_id", "path", "words", F.explode("hits").alias("hit"))
     at = F.col("hit.place")
     first = F.greatest(at - 3, F.lit(0))
@@ -56,7 +57,7 @@ def findings(docs: DataFrame) -> DataFrame:
                          F.coalesce(F.get("words", at + 1), F.lit("")).alias("after"))
     assigned = F.regexp_extract("word", VALUE, 1)
     value = F.when(assigned != "", assigned).otherwise(F.regexp_extract("word", "(" + RUN + ")", 1))
-    trimmed = F.regexp_replace(value, r"^[=/.+-]+|[=.,;:!?)\]}+/-]+$", "")
+    trimmed = F.regexp_replace(value, r"^[=/.+-]+|(?<![=.,;:!?)\]}+/-])[=.,;:!?)\]}+/-]+$", "")
     return found.withColumn("value", F.when(F.length(trimmed) >= 6, trimmed).otherwise(value)).where("value <> ''")
 
 

@@ -25,17 +25,37 @@ END = 1
 SHARE = 60_000
 
 
-def library_encoder(path: str):
-    """Encoder of pieces of text by the tokenizers library."""
+def library_encoder(path: str, group: int = 2000):
+    """Encoder of pieces of text by the tokenizers library.
+
+    Pieces go in one text, with a special token between them, whose id then parts their ids.
+    """
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(path)
     tokenizer.no_padding()
     tokenizer.no_truncation()
+    mark_id, mark = min((i, t.content) for i, t in tokenizer.get_added_tokens_decoder().items())
+
+    def ids_of(text: str) -> np.ndarray:
+        return np.array(tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
 
     def encode(pieces: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
+        out: list[bytes] = []
+        for at in range(0, len(pieces), group):
+            part = pieces[at:at + group]
+            text = mark.join(part)
+            if text.count(mark) != len(part) - 1:  # a piece holds the mark itself
+                out += [ids_of(p).tobytes() for p in part]
+                continue
+            ids = ids_of(text)
+            ends = [*(np.flatnonzero(ids == mark_id) * 4).tolist(), len(ids) * 4]
+            raw, start = ids.tobytes(), 0
+            for end in ends:
+                out.append(raw[start:end])
+                start = end + 4
+        return out
     return encode
 
 

@@ -87,52 +87,63 @@ def split_paragraphs(text: Column) -> Column:
     return F.filter(F.transform(F.split(text, r"\n{2,}"), trim_ws), lambda p: p != "")
 
 
-def _cut(sentence: Column) -> Column:
-    """A sentence in pieces of CHUNK_MAX characters, short ones dropped."""
+def _cut(sentence: Column, least: int) -> Column:
+    """A sentence in pieces of CHUNK_MAX characters, those below ``least`` dropped."""
     starts = F.sequence(F.lit(1), F.length(sentence), F.lit(K.CHUNK_MAX))
     pieces = F.transform(starts, lambda i: trim_ws(F.substring(sentence, i, F.lit(K.CHUNK_MAX))))
-    return F.filter(pieces, lambda p: F.length(p) >= K.CHUNK_MIN)
+    return F.filter(pieces, lambda p: F.length(p) >= least)
 
 
-def _keep(done: Column, piece: Column) -> Column:
-    return F.when(F.length(piece) >= K.CHUNK_MIN, F.concat(done, F.array(piece))).otherwise(done)
+def _keep(done: Column, piece: Column, least: int) -> Column:
+    return F.when(F.length(piece) >= least, F.concat(done, F.array(piece))).otherwise(done)
 
 
-def pack(paragraph: Column) -> Column:
-    """Greedy packing of a paragraph's sentences into pieces."""
+def pack(paragraph: Column, least: int = 1) -> Column:
+    """Greedy packing of a paragraph's sentences into pieces (X6); those below ``least`` characters are dropped."""
     start = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("open"))
 
     def step(acc, s):
         joined = F.when(acc["open"] == "", s).otherwise(F.concat(acc["open"], F.lit(" "), s))
-        flushed = _keep(acc["done"], acc["open"])
+        flushed = _keep(acc["done"], acc["open"], least)
         return (F.when(F.length(joined) <= K.CHUNK_MAX, F.struct(acc["done"].alias("done"), joined.alias("open")))
                 .when(F.length(s) > K.CHUNK_MAX,
-                      F.struct(F.concat(flushed, _cut(s)).alias("done"), F.lit("").alias("open")))
+                      F.struct(F.concat(flushed, _cut(s, least)).alias("done"), F.lit("").alias("open")))
                 .otherwise(F.struct(flushed.alias("done"), s.alias("open"))))
 
-    packed = F.aggregate(split_sentences(paragraph), start, step, lambda acc: _keep(acc["done"], acc["open"]))
+    packed = F.aggregate(split_sentences(paragraph), start, step, lambda acc: _keep(acc["done"], acc["open"], least))
     return F.when(F.length(paragraph) <= K.CHUNK_MAX, F.array(paragraph)).otherwise(packed)
 
 
-def with_overlap(pieces: Column) -> Column:
-    """Prefix each piece with the end of the one before it."""
+def with_overlap(pieces: Column, lossless: bool = True) -> Column:
+    """Prefix each piece with the end of the one before it.
+
+    The prefix takes the room that the piece leaves; without ``lossless`` it always has its
+    full length, and the end of the piece is cut.
+    """
     before = F.transform(F.concat(F.array(F.lit("")), F.slice(pieces, F.lit(1), F.greatest(F.size(pieces) - 1, F.lit(0)))),
                          lambda p: F.right(p, F.lit(K.CHUNK_OVERLAP)))
-    joined = F.zip_with(before, pieces, lambda b, p: F.when(b == "", p).otherwise(F.concat(b, F.lit(" "), p)))
+
+    def fitting(b: Column, p: Column) -> Column:
+        return F.right(b, F.greatest(F.lit(K.CHUNK_MAX - 1) - F.length(p), F.lit(0))) if lossless else b
+
+    joined = F.zip_with(before, pieces, lambda b, p: F.when(b == "", p).otherwise(F.concat(fitting(b, p), F.lit(" "), p)))
     return F.transform(joined, lambda t: F.substring(trim_ws(t), 1, K.CHUNK_MAX))
 
 
-def chunk_text(docs: DataFrame, key: str = "doc_id") -> DataFrame:
+def chunk_text(docs: DataFrame, key: str = "doc_id", lossless: bool = True) -> DataFrame:
     """(key, chunk_index, chunk_text) rows of the whole text.
 
-    The index is the position of the raw piece, so dropped pieces leave gaps.
+    Every word of a text is in a chunk. Without ``lossless`` pieces below CHUNK_MIN characters are
+    dropped and long pieces lose their end to the overlap; the index is the position of the raw
+    piece, so dropped ones leave gaps.
     """
+    least = 1 if lossless else K.CHUNK_MIN
     keep = [key] + [c for c in ("extracted_id",) if c in docs.columns]
-    pieces = F.flatten(F.transform(split_paragraphs(F.col("text")), pack))
+    pieces = F.flatten(F.transform(split_paragraphs(F.col("text")), lambda p: pack(p, least)))
     staged = docs.select(*keep, pieces.alias("_pieces"))
     # outer for the same reason; texts without pieces drop out by their length
-    return (staged.select(*keep, F.posexplode_outer(with_overlap(F.col("_pieces"))).alias("chunk_index", "chunk_text"))
-            .filter(F.length("chunk_text") >= K.CHUNK_MIN))
+    return (staged.select(*keep, F.posexplode_outer(with_overlap(F.col("_pieces"), lossless)).alias("chunk_index", "chunk_text"))
+            .filter(F.length("chunk_text") >= least))
 
 
 def rank_ratio(text: Column, query: Column) -> Column:

@@ -104,10 +104,10 @@ def embed_with(chunks: DataFrame, embedder: Column, model: str) -> DataFrame:
             .withColumn("dimensionality", F.size("vector")))
 
 
-def build_index(extracted: DataFrame, key: str = "finding_id", oldest: bool = False) -> DataFrame:
+def build_index(extracted: DataFrame, key: str = "finding_id", oldest: bool = False, lossless: bool = True) -> DataFrame:
     """Chunks and vectors of one extraction per finding."""
     picked = latest(extracted, [key], ["created_at", "extracted_id"], oldest=oldest)
-    chunks = chunk_text(picked, key).withColumn("chunk_id", F.xxhash64(key, "chunk_index"))
+    chunks = chunk_text(picked, key, lossless).withColumn("chunk_id", F.xxhash64(key, "chunk_index"))
     return embed_with(chunks, embed_text(F.col("chunk_text")), K.EMBED_MODEL)
 
 

@@ -60,20 +60,27 @@ _STEP = """CASE WHEN length(CASE WHEN split_part(acc, chr(1), 2) = '' THEN s ELS
   ELSE split_part(acc, chr(1), 1) || CASE WHEN length(split_part(acc, chr(1), 2)) >= 20 THEN split_part(acc, chr(1), 2) || chr(2) ELSE '' END || chr(1) || s END""".replace("WS", _WS)
 
 
-def chunk_ctes(source: str, key: str) -> str:
+def chunk_ctes(source: str, key: str, lossless: bool = False) -> str:
     """CTE ``ck`` with (key, chunk_index, chunk_text) of the texts of ``source``."""
+    least, room = (1, "least(80, greatest(0, 511 - length(r[chunk_index + 1])))") if lossless else (20, "80")
+    step = _STEP.replace(">= 20", f">= {least}")
     return f"""par AS (SELECT {key}, unnest(paras) AS p, generate_subscripts(paras, 1) AS pi FROM (
     SELECT {key}, list_filter(list_transform(regexp_split_to_array(text, '\\n{{2,}}'), lambda x: trim(x, {_WS})), lambda x: x <> '') AS paras FROM {source})),
 sen AS (SELECT *, list_filter(list_transform(regexp_split_to_array(regexp_replace(p, '([.!?])\\s+', '\\1' || chr(3), 'g'), '[\\x03\\n]'), lambda x: trim(x, {_WS})), lambda x: x <> '') AS ss FROM par),
-packed AS (SELECT *, list_reduce(ss, lambda acc, s: {_STEP}, chr(1)) AS st FROM sen),
+packed AS (SELECT *, list_reduce(ss, lambda acc, s: {step}, chr(1)) AS st FROM sen),
 pcs AS (SELECT {key}, pi, CASE WHEN length(p) <= 512 THEN [p] ELSE list_filter(string_split(split_part(st, chr(1), 1), chr(2)), lambda x: x <> '')
-   || CASE WHEN length(split_part(st, chr(1), 2)) >= 20 THEN [split_part(st, chr(1), 2)] ELSE [] END END AS pieces FROM packed),
+   || CASE WHEN length(split_part(st, chr(1), 2)) >= {least} THEN [split_part(st, chr(1), 2)] ELSE [] END END AS pieces FROM packed),
 raw AS (SELECT {key}, flatten(list(pieces ORDER BY pi)) AS r FROM pcs GROUP BY {key}),
 ck0 AS (SELECT {key}, unnest(range(0, len(r))) AS chunk_index, r FROM raw),
-ck AS (SELECT {key}, CAST(chunk_index AS INTEGER) AS chunk_index, substr(trim(CASE WHEN chunk_index = 0 THEN r[1] ELSE right(r[chunk_index], 80) || ' ' || r[chunk_index + 1] END, {_WS}), 1, 512) AS chunk_text FROM ck0)"""
+ck AS (SELECT {key}, CAST(chunk_index AS INTEGER) AS chunk_index, substr(trim(CASE WHEN chunk_index = 0 THEN r[1] ELSE right(r[chunk_index], {room}) || ' ' || r[chunk_index + 1] END, {_WS}), 1, 512) AS chunk_text FROM ck0)"""
 
 
 @query("X6_X7_W7_UD4_chunk_text", with_(chunk_ctes("documents", "doc_id"), body="SELECT doc_id, chunk_index, chunk_text FROM ck WHERE length(chunk_text) >= 20"))
+def _(spark, sf):
+    return X.chunk_text(docs(spark, sf), lossless=False)
+
+
+@query("X7_chunk_whole_text", with_(chunk_ctes("documents", "doc_id", lossless=True), body="SELECT doc_id, chunk_index, chunk_text FROM ck"))
 def _(spark, sf):
     return X.chunk_text(docs(spark, sf))
 
@@ -147,7 +154,7 @@ ev AS (SELECT doc_id, chunk_index, b, sum(w) AS v FROM ew GROUP BY ALL)"""
 @query("E3_UD2_embed_text", with_(chunk_ctes("documents", "doc_id"), _EMBED, body="""SELECT doc_id, chunk_index, array_to_string(list_sort(list(b)), ',') AS buckets, round(max(v) / sqrt(sum(v * v)), 2) AS largest
   FROM ev GROUP BY ALL UNION ALL SELECT doc_id, chunk_index, '', 0.0 FROM et WHERE len(toks) = 0"""))
 def _(spark, sf):
-    c = X.chunk_text(docs(spark, sf))
+    c = X.chunk_text(docs(spark, sf), lossless=False)
     e = E.embed_with(c, E.embed_text(F.col("chunk_text")), K.EMBED_MODEL)
     used = F.filter(F.transform("vector", lambda x, i: F.when(x > 0, i)), lambda i: i.isNotNull())
     return e.select("doc_id", "chunk_index", F.array_join(F.array_sort(F.transform(used, lambda i: i.cast("string").cast("bigint"))), ",").alias("buckets"),
@@ -159,13 +166,13 @@ _LAST = "lastx AS (SELECT conv_id AS finding_id, turn AS extracted_id, text FROM
 
 @query("E6_build_index", with_(_LAST, chunk_ctes("lastx", "finding_id"), body=f"SELECT finding_id, chunk_index, extracted_id, '{K.EMBED_MODEL}' AS model, 128 AS dimensionality FROM ck JOIN lastx USING (finding_id) WHERE length(chunk_text) >= 20"))
 def _(spark, sf):
-    return E.build_index(views.extracted_v(spark, sf)).select("finding_id", "chunk_index", "extracted_id", "model", "dimensionality")
+    return E.build_index(views.extracted_v(spark, sf), lossless=False).select("finding_id", "chunk_index", "extracted_id", "model", "dimensionality")
 
 
 @query("E6_index_coverage", with_(_LAST, chunk_ctes("lastx", "finding_id"), body="SELECT count(DISTINCT k.finding_id) AS indexed, (SELECT count(*) FROM lastx) - count(DISTINCT k.finding_id) AS skipped FROM ck k WHERE length(chunk_text) >= 20"))
 def _(spark, sf):
     x = views.extracted_v(spark, sf)
-    return E.index_coverage(x, E.build_index(x))
+    return E.index_coverage(x, E.build_index(x, lossless=False))
 
 
 @query("A15_index_stats", with_(V.CHUNKS, body="SELECT 'stored' AS model, count(*) AS total_chunks, count(DISTINCT finding_id) AS embedded_findings FROM chunks"))

@@ -89,13 +89,24 @@ def test_chunks_follow_the_rule(spark):
              "This sentence repeats itself many times over. " * 30, "y" * 1300, "short\n\ntiny\n\nA longer paragraph follows here."]
     texts += sample_texts(30)
     got = {}
-    for r in X.chunk_text(docs(spark, texts)).collect():
+    for r in X.chunk_text(docs(spark, texts), lossless=False).collect():
         got.setdefault(r.doc_id, []).append((r.chunk_index, r.chunk_text))
     for i, t in enumerate(texts):
         assert sorted(got.get(i, [])) == reference_chunks(t), t[:80]
         assert all(20 <= len(c) <= 512 for _, c in got.get(i, []))
 
 
+def test_chunks_keep_every_word(spark):
+    texts = ["tiny", "short\n\ntiny", "This sentence repeats itself many times over. " * 30 + "Last words here.", "word " * 60_000 + "end", "z" * 1300]
+    got = {}
+    for r in X.chunk_text(docs(spark, texts)).orderBy("doc_id", "chunk_index").collect():
+        assert len(r.chunk_text) <= 512
+        got.setdefault(r.doc_id, []).append(r.chunk_text)
+    for i, t in enumerate(texts):
+        assert got[i][-1].endswith(t.split()[-1][-200:]) and sum(c.count("z") for c in got[i]) >= t.count("z")
+        assert sum(len(c.split()) for c in got[i]) >= len(t.split())
+
+
 def sample_texts(n):
     import random
     rng = random.Random(7)

@@ -7,6 +7,7 @@ import brute
 import numpy as np
 import pytest
 from brute import prose
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from filarium.llm import bpe, line_dedup, ngram_join, packing, quality_rules
@@ -257,3 +258,18 @@ def test_fuzzy_lines_found(spark):
     found = {(r.doc_id, r.keeper_doc_id) for r in got.collect() if not r.kept}
     want = {(a[0], b[0]) for a, b in brute.line_keepers(rows).items() if a != b}
     assert found <= want and len(found) >= 0.97 * len(want) and len(want) > 140
+
+
+def test_every_character_of_a_line_counts(spark):
+    """A line with any one character changed has another set; lines that differ behind the 12th character of a word are kept."""
+    zh = "".join(chr(0x4E00 + i * 7919 % 20000) for i in range(300))
+    lines = ["https://example.com/a/1", "GET /api/v1/items/123456 200", "x = " + "".join(chr(97 + i * i % 23) for i in range(90)), zh]
+    rows = [(k, i, x[:i] + "§" + x[i + 1:]) for k, x in enumerate(lines) for i in range(len(x)) if x[i] != " "]
+    rows += [(k, -1, x) for k, x in enumerate(lines)]
+    sets = {(r.k, r.i): frozenset(r.s) for r in spark.createDataFrame(rows, "k int, i int, x string").select("k", "i", line_dedup.shingles(F.col("x")).alias("s")).collect()}
+    assert all(sets[k, i] != sets[k, -1] for k, i in sets if i >= 0)
+    texts = ["https://example.com/a/1", "https://example.org/zz/2?q=other", "GET /api/v1/items/123456", "GET /api/v1/items/999999",
+             zh, zh[:12] + zh[200:100:-1], zh[:150] + "一" + zh[150:]]
+    kept = [r.doc_id for r in line_dedup.line_classes(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect() if r.kept]
+    assert sorted(kept) == [0, 1, 2, 3, 4, 5]  # the last one has one character more and goes
+    assert line_dedup.line_classes(spark.createDataFrame([(0, "y" * 300_000), (1, "")], "doc_id long, text string")).count() == 1

@@ -273,3 +273,17 @@ def test_every_character_of_a_line_counts(spark):
     kept = [r.doc_id for r in line_dedup.line_classes(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect() if r.kept]
     assert sorted(kept) == [0, 1, 2, 3, 4, 5]  # the last one has one character more and goes
     assert line_dedup.line_classes(spark.createDataFrame([(0, "y" * 300_000), (1, "")], "doc_id long, text string")).count() == 1
+
+
+def test_short_lines_at_the_threshold(spark):
+    """Pairs at or just above 0.8 share a band nearly always, however short the lines are."""
+    out = []
+    for common, only in ((4, 1), (8, 2), (9, 2), (12, 3), (16, 4), (32, 8)):
+        sets = [(common, i, [hash((common, i, k)) >> 2 for k in range(common)]) for i in range(1500)]
+        out += [(c, i, s, s + [hash((c, i, -1 - k)) >> 2 for k in range(only)]) for c, i, s in sets]
+    df = spark.createDataFrame(out, "c int, i int, x array<long>, y array<long>")
+    x = line_dedup.with_bands(df.withColumn("hashes", F.col("x")), "c", "i").withColumnRenamed("bands", "p")
+    both = x.join(line_dedup.with_bands(df.withColumn("hashes", F.col("y")), "c", "i"), ["c", "i"])
+    found = {r.c: r.f for r in both.groupBy("c").agg(F.avg(F.arrays_overlap("p", "bands").cast("int")).alias("f")).collect()}
+    print("recall by common hashes:", {k: round(v, 4) for k, v in sorted(found.items())})
+    assert len(found) == 6 and min(found.values()) > 0.99, found

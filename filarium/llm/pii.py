@@ -122,27 +122,43 @@ def _refill(like: str, symbols: str) -> str:
     return "".join(next(rest) if c.isalnum() else c for c in like)
 
 
+def _start(text: str, symbols: int) -> str:
+    """The start of a text that holds so many letters and digits; the whole text if it has fewer."""
+    at = [i for i, c in enumerate(text) if c.isalnum()]
+    return text[:at[symbols - 1] + 1] if symbols <= len(at) else text
+
+
 class Pseudonyms:
     def __init__(self, key: bytes, decrypt: bool = False):
         self.permute = Feistel(key, decrypt)
 
     def card(self, m: re.Match) -> str | None:
-        d = re.sub(r"\D", "", m[0])
-        if luhn(d[:-1]) != int(d[-1]) or not int(d):
+        """New text of the shortest start of the match that is a card number and ends at a separator or with the match.
+
+        The shortest one, because what follows must not decide: a pseudonym beside other digits is found again.
+        """
+        ends = [e for e in range(13, len(m[0])) if m[0][e] in " -"] + [len(m[0])]
+        numbers = [n for n in (re.sub(r"\D", "", m[0][:e]) for e in ends) if len(n) >= 13]
+        right = lambda n: luhn(n[:-1]) == int(n[-1])
+        d = next((n for n in numbers if right(n) and int(n)), None)
+        if d is None:
             return None
-        # the first digit tells the scheme and stays
-        rest = self.permute("card" + d[0], int(d[1:-1]), 10 ** (len(d) - 2))
-        body = d[0] + str(rest).zfill(len(d) - 2)
-        return _refill(m[0], body + str(luhn(body)))
+        shorter = [len(n) for n in numbers if len(n) < len(d)]
+        # the first digit tells the scheme and stays; no shorter start of the pseudonym is a card number
+        body = lambda v: d[0] + str(v).zfill(len(d) - 2)
+        rest = self.permute("card" + d[0], int(d[1:-1]), 10 ** (len(d) - 2), lambda v: not any(right(body(v)[:n]) for n in shorter))
+        return _refill(_start(m[0], len(d)), body(rest) + str(luhn(body(rest))))
 
     def iban(self, m: re.Match) -> str | None:
-        plain = m[0].replace(" ", "")
+        """New text of the match's start of the country's length, if that is an IBAN and a word ends there."""
+        used = _start(m[0], IBAN_LENGTH.get(m[0][:2], 99))
+        plain = used.replace(" ", "")
         country, check, rest = plain[:2], plain[2:4], plain[4:]
-        if IBAN_LENGTH.get(country) != len(plain) or _iban_check(country, rest) != int(check):
+        if IBAN_LENGTH.get(country) != len(plain) or m[0][len(used):][:1].isalnum() or _iban_check(country, rest) != int(check):
             return None
         value, size = _mixed(rest)
         new = _unmixed(self.permute("iban" + country + re.sub("[A-Z]", "A", re.sub(r"\d", "0", rest)), value, size), rest)
-        return _refill(m[0], f"{country}{_iban_check(country, new):02d}{new}")
+        return _refill(used, f"{country}{_iban_check(country, new):02d}{new}")
 
     @staticmethod
     def _ssn_ok(v: int) -> bool:
@@ -185,14 +201,20 @@ class Pseudonyms:
         return f"{MONTHS[new.month - 1]} {new.day}, {new.year}"
 
     def text(self, text: str, count: dict[str, int]) -> str:
-        def swap(m: re.Match) -> str:
+        out, done, at = [], 0, 0
+        while m := _PATTERN.search(text, at):
             kind = next(k for k in KINDS if m[k] is not None)
             new = getattr(self, kind)(m)
             if new is None:
-                return m[0]
+                # what only looks like an IBAN, of no known country, does not hide what follows its first four characters
+                at = m.start() + 4 if kind == "iban" and m[0][:2] not in IBAN_LENGTH else m.end()
+                continue
+            # of cards and ibans a start of the match may be used; the search goes on after it
+            at = m.start() + len(new) if kind in ("card", "iban") else m.end()
+            out += [text[done:m.start()], new]
+            done = at
             count[kind] = count.get(kind, 0) + 1
-            return new
-        return _PATTERN.sub(swap, text)
+        return "".join([*out, text[done:]])
 
 
 def pseudonymise(docs: DataFrame, key: bytes, decrypt: bool = False) -> DataFrame:

@@ -90,6 +90,28 @@ def test_secrets_held_out(spark):
     assert sum(r.is_secret == (r.doc_id % 3 == 0) for r in held) >= 0.95 * len(held)
 
 
+def test_every_value_of_a_word(spark):
+    """All values of words without blanks, and assignments with blanks or quotes around the sign, are findings."""
+    live, key = "sk_live_" + "4eC39HqLyjWDarjtT1zd", "AKIA" + "Q4Z7M2X9K1B5D8F3"
+    texts = ['{"id":"a1b2c3d4e5f6","key":"%s"}' % live, "id12chars00x," + key, "log in with password: hunter22 today", "password = S3cr3tpw",
+             '{"password":"hunter2xyz"}', '{ "password" : "hunter2xyz" }', "token =ab12cd34ef", "u?a=abcdef1&token=xyz123456", "password=ab;cd:efgh",
+             "password=hunter77/" + key, "author: Shakespeare", "a=" * 20_000 + "x1", "k" * 100_000 + "1", None]
+    want = [{"a1b2c3d4e5f6", live}, {"id12chars00x", key}, {"hunter22"}, {"S3cr3tpw"}, {"hunter2xyz"}, {"hunter2xyz"}, {"ab12cd34ef"},
+            {"abcdef1", "xyz123456"}, {"ab;cd:efgh"}, {key}]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = secret_scan.featured(secret_scan.findings(docs), secret_scan.dictionary(docs)).collect()
+    got = {}
+    for r in rows:
+        got.setdefault(r.doc_id, {})[r.value] = r
+    for i, values in enumerate(want):
+        assert values <= set(got[i]), (i, set(got[i]))
+    assert 10 not in got and got[0]["a1b2c3d4e5f6"].known_format == 0 and got[0][live].known_format == 1
+    assert all(got[i][v].assigned and got[i][v].named_before for i, v in ((2, "hunter22"), (3, "S3cr3tpw"), (4, "hunter2xyz"), (5, "hunter2xyz"), (6, "ab12cd34ef")))
+    out = {r.doc_id: r.text for r in secret_scan.redact(docs).collect()}
+    for i in range(9):
+        assert not any(v in out[i] for v in want[i] - {"a1b2c3d4e5f6", "id12chars00x", "abcdef1"}), out[i]
+
+
 def test_secret_query(spark, sf):
     rows = QUERIES["op4_secret_scan"](spark, sf).collect()
     texts = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}

@@ -6,18 +6,20 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import ann, bpe, line_dedup, ngram_join, packing, pii, quality_rules, secret_scan, url_filter, warc_zip
+from . import (ann, bpe, hard_negatives, line_dedup, ngram_join, packing, pii, quality_rules, secret_scan, sharding, token_alignment,
+               url_filter, warc_zip)
 from .common import table
 
 #: Key of the pseudonyms over the test tables; a real one comes from a secret store.
 TEST_KEY = b"test tables"
 
 
-def tokenizer_path() -> str:
-    """File of the public tokenizer that the queries use."""
+def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
+    """File of a public tokenizer that the queries use."""
     import public_tokenizers
 
-    return public_tokenizers.path("word_bpe_49k.json")
+    return public_tokenizers.path(name)
+
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -93,3 +95,38 @@ SELECT p.page_id, p.payload_bytes, p.payload_digest,
        CASE WHEN p.page_id < g.last THEN g.last END AS refers_to
 FROM p LEFT JOIN g ON p.payload_digest = g.payload_digest AND p.payload_bytes >= 1000
 """
+
+
+@query
+def op11_sharding(spark, sf_dir):
+    return sharding.shard(table(spark, sf_dir, "documents"))
+
+
+@query
+def op12_token_alignment(spark, sf_dir):
+    return token_alignment.align(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), tokenizer_path("piece_bpe_32k.model"))
+
+
+@query
+def op13_hard_negatives(spark, sf_dir):
+    rows = table(spark, sf_dir, "embeddings").withColumn("label", F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label")))
+    return hard_negatives.mine(rows, F.col("vec_id") % 100 == 0)
+
+
+SQL["op13_hard_negatives"] = """
+WITH x AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+                  list_transform(embedding, lambda c: CAST(floor(256 * CAST(c AS DOUBLE)) AS BIGINT)) AS v
+           FROM embeddings
+           WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+             AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0),
+parts AS (SELECT vec_id, label, unnest(v) AS c, unnest(range(1, len(v) + 1)) AS i FROM x),
+scores AS (SELECT a.vec_id AS anchor_id, b.vec_id, a.label = b.label AS alike, CAST(sum(a.c * b.c) AS BIGINT) AS score
+           FROM parts a JOIN parts b ON a.i = b.i AND a.vec_id <> b.vec_id WHERE a.vec_id % 100 = 0 GROUP BY ALL),
+positives AS (SELECT * FROM scores WHERE alike QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5)
+SELECT p.anchor_id, p.vec_id AS positive_id,
+       CAST(row_number() OVER (PARTITION BY p.anchor_id, p.vec_id ORDER BY n.score DESC, n.vec_id) AS INTEGER) AS rank,
+       n.vec_id AS negative_id, p.score AS positive_score, n.score AS negative_score
+FROM positives p JOIN scores n ON n.anchor_id = p.anchor_id AND NOT n.alike
+ AND 100 * n.score BETWEEN 30 * p.score AND 90 * p.score
+QUALIFY row_number() OVER (PARTITION BY p.anchor_id, p.vec_id ORDER BY n.score DESC, n.vec_id) <= 10
+"""

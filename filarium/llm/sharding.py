@@ -111,11 +111,11 @@ def bundles(items: DataFrame, capacity: int, share: int = SHARE) -> tuple[DataFr
 
 
 def _again(placed: DataFrame, capacity: int, share: int, whole=lambda b: F.lit(False)) -> DataFrame:
-    """Packs bundles that are not whole again and again, until one share has met them all."""
-    made = placed.groupBy("bundle").agg(F.sum("bytes").alias("bytes"))
+    """Packs bundles that are not whole again and again, until one share has met them all or few go together any more."""
+    made = stored(placed.groupBy("bundle").agg(F.sum("bytes").alias("bytes")), "bundles")
     done = made.where(whole(F.col("bytes")))
     small, shares = bundles(made.where(~whole(F.col("bytes"))).withColumnRenamed("bundle", "key"), capacity, share)
-    if shares > 1:
+    if shares > 1 and small.select("bundle").distinct().count() < 0.95 * small.count():
         small = _again(small, capacity, share, whole)
     names = small.select("key", (F.col("bundle") * 2 + 1).alias("to")).union(done.select("bundle", F.col("bundle") * 2))
     return placed.join(names, placed["bundle"] == names["key"]).select(placed["key"], placed["bytes"], F.col("to").alias("bundle"))
@@ -173,11 +173,12 @@ def spread(sizes: list[int], shards: int) -> list[int]:
 def even(groups: DataFrame, shards: int, share: int = SHARE, fine: int = FINE) -> DataFrame:
     """Rows (key, bytes, shard) with shards 0 to ``shards`` - 1 of nearly equal bytes.
 
-    Groups are bundled until at most ``share`` bundles are left, each at most a ``fine``-th of a shard
+    Groups are bundled until at most about ``share`` bundles are left, each at most a ``fine``-th of a shard
     unless one group is larger; these go to shards under the least capacity that best fit needs.
+    ``share`` must be far above ``shards``.
     """
     total = groups.agg(F.sum("bytes")).first()[0] or 0
-    unit = max(1, total // (shards * fine))
+    unit = max(1, total // min(shards * fine, share // 4))
     placed, shares = bundles(groups, unit, share)
     if shares > 1:
         placed = stored(_again(placed, unit, share), "bundles")

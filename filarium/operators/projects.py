@@ -252,7 +252,7 @@ def _whole_tiles(rows: pd.DataFrame, at_least: int):
 
 
 def link_groups(aug: DataFrame, projects: DataFrame | None = None, rejected: DataFrame | None = None,
-                per_scan: bool = True, tile_rows: int = TILE_ROWS) -> DataFrame:
+                per_scan: bool = False, tile_rows: int = TILE_ROWS) -> DataFrame:
     """Local groups of linked findings: (id, rep, links, signal sums).
 
     Rows with id <> rep say the two belong together; rows with links > 0 carry the
@@ -380,7 +380,7 @@ def candidates(groups: DataFrame, comps: DataFrame, findings: DataFrame) -> tupl
 
 def generate_candidates(findings: DataFrame, tags: DataFrame, entities: DataFrame, chunks: DataFrame,
                         projects: DataFrame | None = None, rejected: DataFrame | None = None,
-                        per_scan: bool = True, limit: int | None = None) -> tuple[DataFrame, DataFrame]:
+                        per_scan: bool = False, limit: int | None = None) -> tuple[DataFrame, DataFrame]:
     """Project candidates and their members (G9, T8). Uncapped unless ``limit`` is given."""
     if limit is not None:
         findings = findings.orderBy("finding_id").limit(limit)

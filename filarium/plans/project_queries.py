@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from filarium import constants as K
 from filarium.operators import dedup as D, projects as P
 from filarium.operators.classify import semantic_tags
+from filarium.operators.textops import extract_entities
 from filarium.plans import sqlviews as V
 from filarium.plans.file_queries import classified, hash_table
 from filarium.plans.registry import q, query, with_
@@ -19,11 +20,10 @@ from filarium.sources import views
 def inputs(spark, sf):
     """(findings, tags, entities, chunks) of the classified files."""
     c = cut_lineage(classified(spark, sf).drop("content"))
+    files = views.files_v(spark, sf)
     findings = c.select("finding_id", "scan_id", "path", "name", "modified_at", "size_bytes", F.col("ai.category").alias("ai_category"))
     tags = semantic_tags(c)
-    i = F.col("finding_id")
-    ents = c.filter("finding_id % 3 <> 0").select("finding_id", F.explode(F.array(
-        F.concat(F.lit("Client "), (i % 37).cast("string")), F.concat(F.lit("Site "), (i % 11).cast("string")))).alias("value"))
+    ents = extract_entities(files.select("finding_id", F.coalesce("content", F.lit("")).alias("text")), key="finding_id")
     chunks = views.load(spark, sf, "embeddings").select(F.col("vec_id").alias("finding_id"), F.lit(0).alias("chunk_index"), F.col("embedding").alias("vector"))
     return findings, tags, ents, chunks
 
@@ -44,11 +44,12 @@ def linked(spark, sf):
     return P.link_groups(augmented(spark, sf), *corrections(spark, sf))
 
 
-_AUG = with_(V.FILES, V.TYPED, V.ruled("typed"), """aug AS (SELECT r.finding_id, scan_id, path, name, modified_at, size_bytes, ai_category, list_filter(string_split(path, '/'), lambda s: s <> '') AS segs,
+_AUG = with_(V.FILES, V.TYPED, V.ruled("typed"), V.entity_rows("files", "finding_id", "content", "mentions"),
+             "mentioned AS (SELECT finding_id, list_distinct(list(lower(value))) AS ents FROM mentions GROUP BY 1)", """aug AS (SELECT r.finding_id, scan_id, path, name, modified_at, size_bytes, ai_category, list_filter(string_split(path, '/'), lambda s: s <> '') AS segs,
    list_distinct(list_transform(ai_tags, lambda t: lower(t))) AS tags,
-   CASE WHEN r.finding_id % 3 <> 0 THEN ['client ' || r.finding_id % 37, 'site ' || r.finding_id % 11] ELSE []::VARCHAR[] END AS ents,
+   coalesce(ents, []::VARCHAR[]) AS ents,
    list_distinct(list_filter(regexp_split_to_array(regexp_replace(lower(name), '\\.[^.]+$', ''), '[\\s\\-_.]+'), lambda t: length(t) >= 2)) AS toks,
-   CAST(embedding AS DOUBLE[]) AS vec FROM ruled r LEFT JOIN embeddings e ON e.vec_id = r.finding_id)""", body="")[:-1]
+   CAST(embedding AS DOUBLE[]) AS vec FROM ruled r LEFT JOIN embeddings e ON e.vec_id = r.finding_id LEFT JOIN mentioned m ON m.finding_id = r.finding_id)""", body="")[:-1]
 _SIG = """ (CASE WHEN least(len(a.segs), len(b.segs)) = 0 THEN 0 ELSE len(list_filter(range(1, least(len(a.segs), len(b.segs)) + 1), lambda i: a.segs[1:i] = b.segs[1:i])) / least(len(a.segs), len(b.segs))::DOUBLE END) AS folder_proximity,
   CASE WHEN len(a.tags) + len(b.tags) = 0 THEN 0 ELSE 2 * len(list_intersect(a.tags, b.tags)) / (len(a.tags) + len(b.tags))::DOUBLE END AS shared_tags,
   CASE WHEN len(a.ents) + len(b.ents) = 0 THEN 0 ELSE 2 * len(list_intersect(a.ents, b.ents)) / (len(a.ents) + len(b.ents))::DOUBLE END AS shared_entities,
@@ -58,7 +59,7 @@ _SIG = """ (CASE WHEN least(len(a.segs), len(b.segs)) = 0 THEN 0 ELSE len(list_f
   CASE WHEN a.vec IS NULL OR b.vec IS NULL THEN 0 ELSE greatest(0, least(1, list_cosine_similarity(a.vec, b.vec))) END AS semantic_similarity """
 _SCORE = "least(" + " + ".join(f"{s} * {w}::DOUBLE" for s, w in K.SIGNAL_WEIGHTS.items()) + ", 1)"
 _LINKS = _AUG + f""", pr AS (SELECT a.finding_id AS aid, b.finding_id AS bid, {_SIG.replace('d IS NULL', 'false').replace('d <=', "abs(epoch_ms(a.modified_at) - epoch_ms(b.modified_at)) / 86400000.0::DOUBLE <=")}
-  FROM aug a JOIN aug b ON a.scan_id = b.scan_id AND a.finding_id < b.finding_id
+  FROM aug a JOIN aug b ON a.finding_id < b.finding_id
   WHERE NOT (a.finding_id % 17 = 0 AND b.finding_id % 17 = 0 AND a.finding_id // 200 = b.finding_id // 200)),
 lk AS (SELECT *, {_SCORE} AS score FROM pr WHERE {_SCORE} >= CASE WHEN aid % 5 = 0 AND bid % 5 = 0 AND aid // 50 = bid // 50 THEN 0.35 + 0.15 ELSE 0.35 END),
 ed AS (SELECT aid AS x, bid AS y FROM lk UNION ALL SELECT bid, aid FROM lk)"""

@@ -8,12 +8,13 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from filarium import constants as K
 from filarium.functions import SPACE_CLASS, ext_norm, sql_like, strings, trim_ws
+from filarium.operators.lookup import (RUN, asked_runs, day_keys, day_range_keys, meet, offered_runs, rarest_run, run_sizes, size_keys,
+                                       size_range_keys)
 from filarium.operators.nlquery import interpret_queries
+from filarium.operators.skew import SALTS
 from filarium.session import cut_lineage
 
 LIST_FIELDS = ("extensions", "tags", "finding_types")
-# Interpreted queries up to this many are copied to every task.
-BROADCAST_QUERIES = 100_000
 
 
 def page(df: DataFrame, order: list, limit: int, offset: int = 0) -> DataFrame:
@@ -272,17 +273,19 @@ def resolved_queries(interpreted: DataFrame) -> DataFrame:
 def mention_hits(queries: DataFrame, entities: DataFrame) -> DataFrame:
     """(query_id, finding_id) pairs whose entity contains the query's name.
 
-    A value that contains the name contains its first two or three characters,
-    so the join is on those and the substring test only confirms.
+    Values and names meet on the rarest run of up to three letters of the name; the substring test confirms.
     """
-    asked = (queries.filter("q_mention is not null")
-             .select("query_id", "q_mention", F.substring(F.lower("q_mention"), 1, 3).alias("_g")))
-    low = F.lower(F.col("value"))
-    two = F.transform(F.sequence(F.lit(1), F.greatest(F.length(low) - 1, F.lit(1))), lambda i: F.substring(low, i, F.lit(2)))
-    three = F.transform(F.sequence(F.lit(1), F.greatest(F.length(low) - 2, F.lit(1))), lambda i: F.substring(low, i, F.lit(3)))
-    values = entities.select("finding_id", "value").distinct().select(
-        "finding_id", "value", F.explode(F.array_distinct(F.concat(two, three))).alias("_g"))
-    return (values.join(asked, "_g").filter(F.contains(F.lower("value"), F.lower("q_mention")))
+    named = queries.filter("q_mention is not null").select("query_id", "q_mention")
+    low = F.lower("q_mention")
+    size = F.least(F.length(low), F.lit(RUN))
+    asked = cut_lineage(named.select("query_id", F.explode(F.array_distinct(F.transform(
+        F.sequence(F.lit(1), F.length(low) - size + 1), lambda i: F.substring(low, i, size)))).alias("run")))
+    values = entities.select("value").distinct().withColumn("value_id", F.xxhash64("value"))
+    sizes = run_sizes(asked)
+    keyed = rarest_run(asked, values, ["value"], sizes).join(named, "query_id").withColumnRenamed("run", "_key")
+    hits = (meet(values, offered_runs(["value"], sizes), keyed, "value_id")
+            .filter(F.contains(F.lower("value"), F.lower("q_mention"))))
+    return (entities.select("finding_id", "value").join(hits.select("query_id", "value"), "value")
             .select("query_id", "finding_id").distinct())
 
 
@@ -304,33 +307,74 @@ def _row_matches() -> Column:
             & (~F.col("q_dup") | (F.col("type") == "duplicate")) & plain)
 
 
-def batch_matches(interpreted: DataFrame, findings: DataFrame, entities: DataFrame) -> DataFrame:
-    """All (query, finding) matches of a table of interpreted queries.
+def _paths(queries: DataFrame) -> DataFrame:
+    """Adds the access path of each query: name, text, keys, days, sizes or all."""
+    ranged = F.col("q_from").isNotNull() | F.col("q_to").isNotNull()
+    sized = F.col("q_min").isNotNull() | F.col("q_max").isNotNull()
+    closed = F.col("q_from").isNotNull() & F.col("q_to").isNotNull()
+    return queries.withColumn("_path", F.when(F.col("q_mention").isNotNull(), "name")
+                              .when(F.size(asked_runs(F.col("q_plain"))) > 0, "text")
+                              .when(F.col("q_category").isNotNull() | (F.size("q_extensions") > 0) | (F.size("q_types") > 0) | F.col("q_dup"), "keys")
+                              .when(closed, "days").when(sized, "sizes").when(ranged, "days").otherwise("all"))
 
-    Each query is looked up by one equality key: its category, else its
-    extensions, else its types, else the common key. Queries about a name start
-    from the entity matches. The full filter then decides.
-    """
-    queries = cut_lineage(resolved_queries(interpreted))  # read three times below
-    small = queries.count() <= BROADCAST_QUERIES
 
-    def key(kind, value):
-        return F.concat(F.lit(kind), value)
+def _asked_keys() -> Column:
+    """Keys of a query: category and extension together, or category, extension, type; or buckets of its range; or all shares."""
+    def key(kind, *values):
+        return F.concat(F.lit(kind), *values)
 
-    keys = (F.when(F.col("q_category").isNotNull(), F.array(key("c:", F.col("q_category"))))
+    same = (F.when(F.col("q_category").isNotNull() & (F.size("q_extensions") > 0),
+                   F.transform("q_extensions", lambda e: key("b:", F.col("q_category"), F.lit("|"), e)))
+            .when(F.col("q_category").isNotNull(), F.array(key("c:", F.col("q_category"))))
             .when(F.size("q_extensions") > 0, F.transform("q_extensions", lambda e: key("e:", e)))
             .when(F.size("q_types") > 0, F.transform("q_types", lambda t: key("t:", t)))
-            .otherwise(F.array(F.lit("*"))))
-    keyed = queries.filter("q_mention is null").withColumn("_key", F.explode(keys))
-    offered = F.filter(F.array(key("c:", F.col("ai_category")), key("e:", ext_norm(F.col("extension"))),
-                               key("t:", F.col("type")), F.lit("*")), lambda k: k.isNotNull())
-    by_key = (findings.withColumn("_key", F.explode(offered))
-              .join(F.broadcast(keyed) if small else keyed, "_key").drop("_key").filter(_row_matches()))
-    named = mention_hits(queries, entities).join(queries, "query_id")
-    by_name = findings.join(named, "finding_id").filter(_row_matches())
+            .otherwise(F.array(F.lit("t:duplicate"))))
+    path = F.col("_path")
+    return F.array_distinct(F.when(path == "keys", same).when(path == "days", day_range_keys(F.col("q_from"), F.col("q_to")))
+                            .when(path == "sizes", size_range_keys(F.col("q_min"), F.col("q_max")))
+                            .when(path == "text", F.array(key("r:", F.col("_run"))))
+                            .otherwise(F.transform(F.sequence(F.lit(0), F.lit(SALTS - 1)), lambda i: key("*", i.cast("string")))))
+
+
+def _offered_keys(sizes: list[int]) -> Column:
+    """Keys of a finding; a query asks for some of one kind, so it meets a finding once."""
+    def key(kind, *values):
+        return F.concat(F.lit(kind), *values)
+
+    ext = ext_norm(F.col("extension"))
+    share = F.pmod(F.xxhash64("finding_id"), F.lit(SALTS)).cast("string")
+    single = F.filter(F.array(key("b:", F.col("ai_category"), F.lit("|"), ext), key("c:", F.col("ai_category")), key("e:", ext),
+                              key("t:", F.col("type")), key("*", share)), lambda k: k.isNotNull())
+    runs = F.transform(offered_runs(["name", "path"], sizes), lambda r: key("r:", r))
+    return F.concat(single, day_keys(F.col("modified_at")), size_keys(F.col("size_bytes")), runs)
+
+
+def batch_matches(interpreted: DataFrame, findings: DataFrame, entities: DataFrame) -> DataFrame:
+    """All (query, finding) matches of a table of interpreted queries.
+
+    Each query meets the findings of one access path only: the entities that hold its name, the rarest
+    run of letters of its text, its category, extensions or types, or the buckets of its dates or
+    sizes. The full filter then decides. A query without any condition matches every finding; it
+    meets them by shares.
+    """
+    queries = cut_lineage(_paths(resolved_queries(interpreted)))  # read several times below
+    runs = cut_lineage(queries.filter("_path = 'text'").select("query_id", F.explode(asked_runs(F.col("q_plain"))).alias("run")))
+    sizes = run_sizes(runs)
+    best = rarest_run(runs, findings, ["name", "path"], sizes).withColumnRenamed("run", "_run")
+    asked = (queries.filter("_path <> 'name'").join(best, "query_id", "left").filter("_path <> 'text' or _run is not null")
+             .withColumn("_key", F.explode(_asked_keys())).drop("_path", "_run"))
+    by_key = meet(findings, _offered_keys(sizes), asked, "finding_id").filter(_row_matches())
+    named = queries.filter("_path = 'name'").drop("_path")
+    by_name = findings.join(mention_hits(named, entities).join(named, "query_id"), "finding_id").filter(_row_matches())
     return by_key.unionByName(by_name)
 
 
+def batch_totals(interpreted: DataFrame, findings: DataFrame, entities: DataFrame) -> DataFrame:
+    """(query_id, total): number of matches of each query, 0 included (T1 for many requests)."""
+    n = batch_matches(interpreted, findings, entities).groupBy("query_id").agg(F.count("*").alias("total"))
+    return interpreted.select("query_id").join(n, "query_id", "left").select("query_id", F.coalesce("total", F.lit(0)).alias("total"))
+
+
 def batch_search(interpreted: DataFrame, findings: DataFrame, entities: DataFrame,
                  limit: int = 100) -> DataFrame:
     """First page of scored results for every query of a table."""

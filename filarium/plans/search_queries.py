@@ -215,6 +215,11 @@ def _(spark, sf):
     return S.batch_matches(interpreted(spark, sf), searchable(spark, sf), entities(spark, sf)).select("query_id", "finding_id")
 
 
+@query("J18_T1_batch_totals", _SEARCH + ", " + _Q + ", " + X11 + ", " + _RES + ", " + _MATCH + " SELECT query_id, count(finding_id) AS total FROM rq LEFT JOIN bm USING (query_id) GROUP BY 1")
+def _(spark, sf):
+    return S.batch_totals(interpreted(spark, sf), searchable(spark, sf), entities(spark, sf))
+
+
 _FINAL3, _RAW3 = _score("query", "q_category", "NULL", "q_extensions", "NULL", "q_dup")
 
 

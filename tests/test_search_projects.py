@@ -1,13 +1,14 @@
 """Query interpretation, search, project grouping, review and streams."""
 
+import collections
 import random
-from datetime import datetime, timedelta
+from datetime import date, datetime, timedelta
 
 import pytest
 from pyspark.sql import functions as F
 
 from filarium import constants as K
-from filarium.operators import nlquery as N, projects as P, reports as R, review as RV, search as S
+from filarium.operators import lookup as L, nlquery as N, projects as P, reports as R, review as RV, search as S
 from filarium.streaming import streams as ST
 
 NOW = datetime(2025, 7, 15, 10, 30)
@@ -117,6 +118,57 @@ def test_batch_equals_single_searches(spark, found):
         assert [x[1:] for x in sorted(got.get(i, []))] == [(r.finding_id, r.relevance_score) for r in page.collect()], q
 
 
+def test_batch_by_every_access_path_without_broadcast(spark):
+    rng = random.Random(5)
+    names = ["invoice", "clip", "a", "b_1", "100%", "Résumé", "plan"]
+    rows = [finding(i, f"{rng.choice(names)}-{i}.{rng.choice(['pdf', 'mov', 'txt'])}", extension=rng.choice([".pdf", ".mov", "txt", ""]),
+                    ai_category=rng.choice(["Invoices", "Video", None]), type=rng.choice(["duplicate", "installer", "none"]),
+                    size_bytes=rng.choice([0, 1, 5, 10, 800]) * MB, modified_at=NOW - timedelta(days=rng.randint(0, 900), hours=rng.randint(0, 23)))
+            for i in range(1, 300)]
+    found = spark.createDataFrame(rows)
+    tags, _ = side(spark)
+    ents = spark.createDataFrame([(i, "organization", f"{'Zed' if i % 3 else 'Alpha Hair'} {i % 7} Q") for i in range(1, 300)],
+                                 "finding_id long, type string, value string")
+    qs = ["", "  ", "a", "b_1", "%", "_", "0%", "ré", "plan-2", "zzzz", "over 5 mb", "under 2 mb", "from this week", "from last month", "over 1 mb from 2023",
+          "invoices from 2023", "invoice pdfs", "pdfs over 1 mb", "duplicates", "installers", "files related to Alpha Hair", "files related to Q", "large files"]
+    table = N.interpret_queries(spark.createDataFrame(list(enumerate(qs)), "query_id long, query string"), NOW)
+    kept = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        got = collections.defaultdict(list)
+        for r in S.batch_matches(table, found, ents).select("query_id", "finding_id").collect():
+            got[r.query_id].append(r.finding_id)
+        totals = {r.query_id: r.total for r in S.batch_totals(table, found, ents).collect()}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", kept)
+    paths = {r._path for r in S._paths(S.resolved_queries(table)).collect()}
+    assert paths == {"all", "text", "keys", "days", "sizes", "name"}
+    for i, q in enumerate(qs):
+        f = S.resolve_filters({}, S.interpret_one(spark, q, NOW) if q.strip() else None)
+        want = S.apply_filters(found, tags, ents, f, S.plain_text_fallback(q, f))
+        assert sorted(got[i]) == sorted(r.finding_id for r in want.select("finding_id").collect()), q
+        assert totals[i] == len(got[i])
+
+
+def test_day_ranges_are_cut_exactly(spark):
+    rng = random.Random(9)
+    spans = [(None, None), ("0001-01-01", "0001-01-01"), ("1969-12-30", "1970-01-02")]
+    for _ in range(60):
+        a = date(1900, 1, 1) + timedelta(days=rng.randint(0, 70000))
+        spans.append((str(a), str(a + timedelta(days=rng.choice([-1, 0, 3, 15, 16, 40, 300, 5000])))))
+    spans += [("1999-05-05", None), (None, "1999-05-05")]
+    days = [str(date(1890, 1, 1) + timedelta(days=rng.randint(0, 80000))) for _ in range(200)] + [d for s in spans for d in s if d]
+    q = spark.createDataFrame([(i, *s) for i, s in enumerate(spans)], "i int, a string, b string")
+    q = q.select("i", L.day_range_keys(F.col("a").cast("timestamp"), F.col("b").cast("timestamp")).alias("k"))
+    d = spark.createDataFrame([(x,) for x in set(days)], "d string").select("d", L.day_keys(F.col("d").cast("timestamp")).alias("k"))
+    asked = {r.i: r.k for r in q.collect()}
+    assert all(len(k) <= 150 and len(set(k)) == len(k) for k in asked.values())
+    for r in d.collect():
+        for i, (a, b) in enumerate(spans):
+            shared = len(set(r.k) & set(asked[i]))
+            assert shared == int((a is None or r.d >= a) and (b is None or r.d <= b)), (r.d, a, b)
+
+
 # ---- projects ------------------------------------------------------------------------
 
 def random_findings(n, seed):

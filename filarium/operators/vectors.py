@@ -11,12 +11,14 @@ from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from filarium import constants as K
 from filarium.functions import percent_text, strings
+from filarium.operators.search import batch_search
 from filarium.operators.skew import latest
 from filarium.operators.textops import chunk_text
 
-# Query vectors sent to every task at once; a larger set is cut into blocks.
+# Queries of a block and chunks of a slice, about; scores that a task holds at once.
 QUERY_BLOCK = 4096
-CHUNK_TILE = 50_000
+CHUNK_TILE = 8192
+SCORES = 1 << 22
 
 
 def tokenize(text: Column) -> Column:
@@ -139,97 +141,113 @@ def purge(table: DataFrame, ids: DataFrame | None = None, key: str = "finding_id
 
 _HITS = T.StructType([T.StructField("query_id", T.LongType()), T.StructField("finding_id", T.LongType()),
                       T.StructField("chunk_id", T.LongType()), T.StructField("score", T.DoubleType())])
-_EMPTY = pd.DataFrame({f.name: pd.Series(dtype=f.dataType.simpleString().replace("bigint", "int64")
-                                         .replace("double", "float64")) for f in _HITS})
+# scores count to this many decimals, so that equal texts tie
+DECIMALS = 9
 
 
-def _as_matrix(vectors) -> np.ndarray:
-    return np.vstack([np.asarray(v, dtype=np.float64) for v in vectors])
+class _Top:
+    """The best findings so far of a block of queries, each by its best chunk; ties go to smaller ids.
 
-
-def _best(findings, chunks, vectors, query_ids, queries, min_score, k) -> pd.DataFrame:
-    """Best chunk per finding and query within a batch, cut to the best k findings.
-
-    The cut loses nothing: a finding behind k others here is behind them overall.
+    Chunks come in the order of finding and chunk. Without ``k`` nothing is held back.
     """
-    scores = vectors @ queries.T
-    order = np.lexsort((chunks, findings))
-    findings, chunks, scores = findings[order], chunks[order], scores[order]
-    starts = np.flatnonzero(np.r_[True, findings[1:] != findings[:-1]])
-    top = np.maximum.reduceat(scores, starts, axis=0)
-    owner = np.repeat(np.arange(len(starts)), np.diff(np.r_[starts, len(findings)]))
-    out = []
-    for q, qid in enumerate(query_ids):
-        hit = np.flatnonzero(top[:, q] >= min_score)
-        if k is not None and len(hit) > k:
-            hit = hit[np.lexsort((findings[starts[hit]], -top[hit, q]))[:k]]
-        if len(hit) == 0:
-            continue
-        is_best = scores[:, q] == top[owner, q]
-        rows = np.flatnonzero(is_best & np.isin(owner, hit))
-        rows = rows[np.r_[True, owner[rows][1:] != owner[rows][:-1]]]
-        out.append(pd.DataFrame({"query_id": qid, "finding_id": findings[rows],
-                                 "chunk_id": chunks[rows], "score": scores[rows, q]}))
-    return pd.concat(out) if out else _EMPTY
+
+    def __init__(self, ids: np.ndarray, queries: np.ndarray, k: int | None, min_score: float):
+        self.ids, self.queries, self.k = ids, queries, k
+        self.floor = np.full(len(ids), np.nextafter(min_score, -np.inf))
+        self.kept = [np.zeros(0, np.int64)] * 3 + [np.zeros(0)]  # query's place, finding, chunk, score
+        self.cold = k is not None
+
+    def add(self, findings: np.ndarray, chunks: np.ndarray, vectors: np.ndarray):
+        step = max(1, SCORES // len(self.ids))
+        for at in range(0, len(findings), step):
+            yield from self._tile(findings[at:at + step], chunks[at:at + step], vectors[at:at + step])
+
+    def _tile(self, findings, chunks, vectors):
+        scores = np.round(vectors @ self.queries.T, DECIMALS)
+        starts = np.flatnonzero(np.r_[True, findings[1:] != findings[:-1]])
+        sizes = np.diff(np.r_[starts, len(findings)])
+        top = np.maximum.reduceat(scores, starts, axis=0)
+        fits = top > self.floor
+        if self.cold and len(starts) > self.k:
+            fits &= top >= np.partition(top, len(starts) - self.k, axis=0)[len(starts) - self.k]
+        self.cold = False
+        group, query = np.nonzero(fits)
+        if len(group) == 0:
+            return
+        pair = np.repeat(np.arange(len(group)), sizes[group])
+        row = np.arange(len(pair)) - np.repeat(np.cumsum(sizes[group]) - sizes[group] - starts[group], sizes[group])
+        same = np.flatnonzero(scores[row, query[pair]] == top[group, query][pair])
+        row = row[same[np.r_[True, pair[same][1:] != pair[same][:-1]]]]  # the first chunk with the score
+        new = [query, findings[row], chunks[row], scores[row, query]]
+        if self.k is None:
+            yield self._rows(new)
+            return
+        query, finding, chunk, score = (np.concatenate(x) for x in zip(self.kept, new))
+        order = np.lexsort((chunk, -score, finding, query))
+        query, finding, chunk, score = query[order], finding[order], chunk[order], score[order]
+        one = np.r_[True, (query[1:] != query[:-1]) | (finding[1:] != finding[:-1])]
+        query, finding, chunk, score = query[one], finding[one], chunk[one], score[one]
+        order = np.lexsort((finding, -score, query))
+        query, finding, chunk, score = query[order], finding[order], chunk[order], score[order]
+        rank = np.arange(len(query)) - np.searchsorted(query, query)
+        last = rank == self.k - 1
+        self.floor[query[last]] = score[last]  # full: a later finding must be better
+        self.kept = [x[rank < self.k] for x in (query, finding, chunk, score)]
+
+    def _rows(self, kept) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(self.ids[kept[0]]), *map(pa.array, kept[1:])], names=_HITS.names)
+
+    def rows(self):
+        for at in range(0, len(self.kept[0]), 10_000):
+            yield self._rows([x[at:at + 10_000] for x in self.kept])
+
+
+def _matrix(column: pa.Array, rows: int) -> np.ndarray:
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(rows, -1).astype(np.float64)
 
 
 def score_chunks(chunks: DataFrame, queries: DataFrame, k: int | None, min_score: float) -> DataFrame:
     """Scored (query, finding, chunk) candidates for the best k findings (J19), or for all of them.
 
-    ``chunks``: finding_id, chunk_id, vector. ``queries``: query_id, vector.
-    Up to QUERY_BLOCK query vectors travel to the tasks and the chunks are not
-    shuffled. Beyond that both sides are cut into tiles of bounded size.
-    Vectors of another length than the query are skipped.
+    ``chunks``: finding_id, chunk_id, vector. ``queries``: query_id, vector. Blocks of queries meet
+    slices of findings in tasks; a task keeps the best k findings of each query over its whole
+    slice, and a finding behind k others there is behind them overall. Vectors meet only those of
+    their own length; missing and empty ones are skipped.
     """
-    n = queries.count()
-    slim = chunks.select("finding_id", "chunk_id", "vector")
-    if n == 0:
-        return chunks.sparkSession.createDataFrame([], _HITS)
-    if n <= QUERY_BLOCK:
-        rows = queries.select("query_id", "vector").collect()
-        by_dim = {}
-        for r in rows:
-            by_dim.setdefault(len(r["vector"]), []).append(r)
-        blocks = {d: ([r["query_id"] for r in rs], _as_matrix([r["vector"] for r in rs]))
-                  for d, rs in by_dim.items()}
-        shared = chunks.sparkSession.sparkContext.broadcast(blocks)
-
-        def run(batches):
-            for batch in batches:
-                vecs = batch.column("vector")
-                sizes = vecs.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
-                ids = batch.column("finding_id").to_numpy(zero_copy_only=False)
-                cids = batch.column("chunk_id").to_numpy(zero_copy_only=False)
-                for dim, (qids, mat) in shared.value.items():
-                    use = sizes == dim
-                    if not use.any():
-                        continue
-                    flat = vecs.filter(pa.array(use)).flatten().to_numpy(zero_copy_only=False)
-                    best = _best(ids[use], cids[use], flat.reshape(-1, dim).astype(np.float64),
-                                 qids, mat, min_score, k)
-                    if len(best):
-                        yield pa.RecordBatch.from_pandas(best.astype(_EMPTY.dtypes), preserve_index=False)
-
-        return slim.mapInArrow(run, _HITS)
-
-    q_blocks = -(-n // QUERY_BLOCK)
-    c_tiles = -(-chunks.count() // CHUNK_TILE)
-    left = (slim.withColumn("_c", F.pmod(F.xxhash64("chunk_id"), F.lit(c_tiles)))
-            .withColumn("_q", F.explode(F.sequence(F.lit(0), F.lit(q_blocks - 1)))))
-    right = (queries.select("query_id", "vector").withColumn("_q", F.pmod(F.xxhash64("query_id"), F.lit(q_blocks)).cast("int"))
-             .withColumn("_c", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(c_tiles - 1).cast("bigint")))))
-
-    def tile(cs: pd.DataFrame, qs: pd.DataFrame) -> pd.DataFrame:
-        parts = []
-        for dim, qd in qs.groupby(qs["vector"].map(len)):
-            cd = cs[cs["vector"].map(lambda v: 0 if v is None else len(v)) == dim]
-            if len(cd):
-                parts.append(_best(cd["finding_id"].to_numpy(), cd["chunk_id"].to_numpy(), _as_matrix(cd["vector"]),
-                                   qd["query_id"].tolist(), _as_matrix(qd["vector"]), min_score, k))
-        return pd.concat(parts) if parts else _EMPTY
-
-    return (left.groupBy("_c", "_q").cogroup(right.groupBy("_c", "_q"))
-            .applyInPandas(tile, _HITS))
+    chunks = chunks.select("finding_id", "chunk_id", "vector").filter("size(vector) > 0")
+    queries = queries.select("query_id", "vector").filter("size(vector) > 0")
+    blocks, slices = max(1, -(-queries.count() // QUERY_BLOCK)), max(1, -(-chunks.count() // CHUNK_TILE))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    share = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+    rows = (queries.select(F.size("vector").alias("width"), share("query_id", blocks).alias("block"), every(slices).alias("slice"), F.lit(0).alias("role"),
+                           F.col("query_id").cast("bigint").alias("finding_id"), F.lit(0).cast("bigint").alias("chunk_id"), "vector")
+            .union(chunks.select(F.size("vector"), every(blocks), share("finding_id", slices), F.lit(1),
+                                 F.col("finding_id").cast("bigint"), F.col("chunk_id").cast("bigint"), "vector")))
+    rows = (rows.withColumn("cell", F.xxhash64("width", "block", "slice")).repartition("cell")
+            .sortWithinPartitions("width", "block", "slice", "role", "finding_id", "chunk_id"))
+
+    def run(batches):
+        now, asked, open_ = None, [], None
+        for t in batches:
+            keys = np.stack([t.column(i).to_numpy() for i in range(4)], 1)
+            cuts = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1).tolist(), len(keys)] if len(keys) else []
+            for a, b in zip(cuts, cuts[1:]):
+                cell, part = tuple(keys[a][:3].tolist()), t.slice(a, b - a)
+                if cell != now:
+                    if open_:
+                        yield from open_.rows()
+                    now, asked, open_ = cell, [], None
+                ids, more, vectors = part.column(4).to_numpy(), part.column(5).to_numpy(), _matrix(part.column(6), part.num_rows)
+                if keys[a][3] == 0:
+                    asked.append((ids, vectors))
+                elif asked or open_:
+                    if not open_:
+                        open_, asked = _Top(*map(np.concatenate, zip(*asked)), k, min_score), []
+                    yield from open_.add(ids, more, vectors)
+        if open_:
+            yield from open_.rows()
+
+    return rows.drop("cell").mapInArrow(run, _HITS)
 
 
 def best_chunk(hits: DataFrame) -> DataFrame:
@@ -253,6 +271,33 @@ def semantic_search(index: DataFrame, queries: DataFrame, k: int = K.SEMANTIC_TO
     return top_hits(best_chunk(score_chunks(index, queries, k, min_score)), k, min_score)
 
 
+def search_texts(index: DataFrame, queries: DataFrame, k: int = K.SEMANTIC_TOP_K, min_score: float = K.SEMANTIC_MIN_SCORE,
+                 embedder: Column | None = None) -> DataFrame:
+    """Top findings of each query text, with the passage that matched and its model.
+
+    ``index`` as ``build_index`` makes it; ``queries``: query_id, query. The texts are embedded as the index
+    was; ``embedder`` is a column over ``query`` for another model. A text without tokens has no hits.
+    """
+    asked = queries.select("query_id", (embed_text(F.col("query")) if embedder is None else embedder).alias("vector"))
+    place = F.col("chunk_index").cast("bigint").alias("chunk_id")
+    hits = semantic_search(index.select("finding_id", place, "vector"), asked, k, min_score)
+    passages = index.select("finding_id", place, F.col("chunk_text").alias("passage"), "model")
+    return hits.join(passages, ["finding_id", "chunk_id"]).withColumnRenamed("chunk_id", "chunk_index")
+
+
+def hybrid_search(interpreted: DataFrame, findings: DataFrame, entities: DataFrame, index: DataFrame, hybrid: bool = True,
+                  lexical_limit: int = 100, k: int = K.SEMANTIC_TOP_K, min_score: float = K.SEMANTIC_MIN_SCORE) -> DataFrame:
+    """Filtered search and search of texts in one list for every query of a table.
+
+    ``interpreted`` as ``interpret_queries`` makes it. The first ``lexical_limit`` findings of a query's filtered
+    search count by their place, the ``k`` best of the texts by their score. Findings of the filtered search
+    alone have no passage and no model. Without ``hybrid`` only hits of the texts are listed.
+    """
+    listed = batch_search(interpreted, findings, entities, lexical_limit).select("query_id", "finding_id", "position")
+    lexical = rank_score(listed, ["position"])
+    return hybrid_merge(lexical, search_texts(index, interpreted.select("query_id", "query"), k, min_score), hybrid, k)
+
+
 def rank_score(ranked: DataFrame, order: list, by: str = "query_id") -> DataFrame:
     """Linear rank score of an already limited result list per query."""
     w = Window.partitionBy(by)

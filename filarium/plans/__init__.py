@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ["file_queries", "report_queries", "text_queries", "search_queries", "project_queries",
+MODULES = ["file_queries", "report_queries", "text_queries", "search_queries", "hybrid_queries", "project_queries",
            "review_queries"]
 
 

@@ -186,6 +186,67 @@ def test_semantic_search_broadcast_and_tiles_agree_with_brute_force(spark, monke
     assert run() == expected
 
 
+def test_best_findings_are_held_over_batches_and_tiles(spark, monkeypatch):
+    """Findings with many chunks, equal scores, more tiles than one in a slice, and nothing cut without k."""
+    rng = np.random.default_rng(11)
+    chunks = [(int(rng.integers(0, 60)), i, [float(x) for x in rng.integers(-2, 3, size=3)]) for i in range(900)]
+    queries = [(q, [float(x) for x in rng.integers(-2, 3, size=3)]) for q in range(9)]
+    c = spark.createDataFrame(chunks, "finding_id long, chunk_id long, vector array<float>")
+    q = spark.createDataFrame(queries, "query_id long, vector array<float>")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "64")
+    monkeypatch.setattr(V, "SCORES", 100)
+    try:
+        for k in (1, 6, None):
+            hits = V.best_chunk(V.score_chunks(c, q, k, 0.05))
+            got = {(r.query_id, r.finding_id, r.chunk_id, round(r.score, 9)) for r in (hits if k is None else V.top_hits(hits, k, 0.05)).collect()}
+            assert got == brute_force(chunks, queries, k or 1000, 0.05)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert V.score_chunks(c, q.limit(0), 3, 0.05).count() == V.score_chunks(c.limit(0), q, 3, 0.05).count() == 0
+
+
+def text_index(spark):
+    texts = ["the kitchen sink needs a new tap and a new washer soon", "invoice for the bathroom tap and its fitting in spring",
+             "holiday photos of the lake and the hills near the border", "", None, "kitchen tap kitchen tap kitchen tap kitchen tap"]
+    rows = [(i, 0, i, t) for i, t in enumerate(texts)]
+    return texts, V.build_index(spark.createDataFrame(rows, "finding_id long, created_at int, extracted_id long, text string"))
+
+
+def test_search_texts_gives_passages(spark):
+    texts, index = text_index(spark)
+    asked = spark.createDataFrame([(1, "kitchen tap"), (2, "LAKE hills"), (3, ""), (4, None), (5, "the of and"), (6, "zzzzqq")], "query_id long, query string")
+    got = {}
+    for r in V.search_texts(index, asked, k=2).orderBy("rank").collect():
+        got.setdefault(r.query_id, []).append(r)
+    assert got[1][0].finding_id == 5 and got[2][0].finding_id == 2 and len(got[1]) == 2
+    assert all(r.passage == texts[r.finding_id] and r.model == K.EMBED_MODEL for rs in got.values() for r in rs)
+    assert not {3, 4, 5} & set(got)
+    one = V.search_texts(index, asked, k=2, embedder=V.embed_text(F.lit("lake hills"))).filter("query_id = 6 and rank = 1").first()
+    assert one.finding_id == 2
+
+
+def test_hybrid_search_blends_both_lists(spark):
+    from datetime import datetime
+
+    from filarium.operators import nlquery as N
+
+    _, index = text_index(spark)
+    now = datetime(2025, 7, 15)
+    names = ["tap-kitchen.pdf", "invoice.pdf", "lake.jpg", "kitchen tap.txt", "old.txt", "note.txt"]
+    found = spark.createDataFrame([(i, 1, "none", f"/docs/{n}", n, "." + n[-3:], 10, "low", now, now, None, None) for i, n in enumerate(names)],
+                                  "finding_id long, scan_id int, type string, path string, name string, extension string, size_bytes long, risk_level string,"
+                                  " modified_at timestamp, created_at timestamp, ai_category string, ai_confidence int")
+    ents = spark.createDataFrame([], "finding_id long, type string, value string")
+    table = N.interpret_queries(spark.createDataFrame([(1, "kitchen tap"), (2, "lake")], "query_id long, query string"), now)
+    rows = {(r.query_id, r.finding_id): r for r in V.hybrid_search(table, found, ents, index, k=10).collect()}
+    name_only, both, text_only = rows[1, 3], rows[2, 2], rows[1, 5]
+    assert (name_only.semantic_score, name_only.lexical_score, name_only.passage, name_only.model) == (0.0, 1.0, None, None)
+    assert both.lexical_score == 1.0 and both.passage.startswith("holiday") and abs(both.combined_score - 0.7 * both.semantic_score - 0.3) < 1e-12
+    assert text_only.lexical_score == 0.0 and text_only.combined_score == 0.7 * text_only.semantic_score
+    plain = V.hybrid_search(table, found, ents, index, hybrid=False, k=10).collect()
+    assert all(r.combined_score == r.semantic_score > 0 for r in plain) and (1, 3) not in {(r.query_id, r.finding_id) for r in plain}
+
+
 def test_hybrid_merge(spark):
     lex = V.rank_score(spark.createDataFrame([(0, 1), (0, 2), (0, 3)], "query_id long, finding_id long"), ["finding_id"])
     sem = spark.createDataFrame([(0, 2, 10, .85), (0, 4, 11, .70)], "query_id long, finding_id long, chunk_id long, score double")

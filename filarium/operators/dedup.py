@@ -7,11 +7,18 @@ so a group of any size is never gathered in one place.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+import hashlib
+from urllib.parse import quote
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from filarium.operators.skew import join_hot
 from filarium.session import cut_lineage
 
+#: Rows of the bitmap that tells a scan which contents to hash; 4 KB each.
+MARK_BUCKETS = 512
+
 
 def size_groups(entries: DataFrame) -> DataFrame:
     """Non-empty files whose size occurs more than once."""
@@ -56,14 +63,63 @@ def hash_table(entries: DataFrame) -> DataFrame:
     return cut_lineage(hash_contents(entries.filter("size_bytes > 0")))
 
 
+def marks_of(paths: DataFrame) -> DataFrame:
+    """Bitmap rows over hashes of the paths: MARK_BUCKETS rows of 4 KB at most, whatever the number of paths."""
+    n = _mark()
+    return (paths.select(F.bitmap_bucket_number(n).alias("_bucket"), F.bitmap_bit_position(n).alias("_p"))
+            .groupBy("_bucket").agg(F.bitmap_construct_agg("_p").alias("_bits")))
+
+
+def _mark() -> Column:
+    return F.pmod(F.xxhash64("path"), F.lit(MARK_BUCKETS * 32768)) + 1
+
+
+def listed_hashes(listed: DataFrame, contents: DataFrame) -> DataFrame:
+    """(path, hash) of the contents whose paths are listed, and of few others that share a mark.
+
+    A bitmap of the listed paths goes to the scan of ``contents`` (path, content), which hashes the rows
+    it marks and leaves the contents behind.
+    """
+    place = F.bitmap_bit_position(_mark())
+    byte = F.conv(F.hex(F.substring("_bits", F.floor(place / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    marked = F.call_function("shiftright", byte, F.pmod(place, F.lit(8)).cast("int")) % 2 == 1
+    return (contents.withColumn("_bucket", F.bitmap_bucket_number(_mark())).join(F.broadcast(marks_of(listed)), "_bucket")
+            .filter(marked).select("path", content_hash(F.col("content")).alias("hash")))
+
+
 def hash_files(candidates: DataFrame, contents: DataFrame) -> DataFrame:
-    """Hash the contents of candidates only, read from another source (D3).
+    """Hash the contents of candidates only, read from another table (D3); paths and hashes alone are shuffled."""
+    return candidates.join(listed_hashes(candidates, contents), "path", "left")
+
+
+def hash_paths(files: DataFrame) -> DataFrame:
+    """Add ``hash``, read from the files that the paths name (D3).
 
-    ``contents`` has (path, content). The paths are unique, so the join is even.
+    A task opens the files of its rows and reads them piece by piece, so no content is ever whole in
+    memory or in a row. A file that cannot be read gets a null hash.
     """
-    hashes = contents.join(candidates.select("path"), "path", "left_semi").select(
-        "path", content_hash(F.col("content")).alias("hash"))
-    return candidates.join(hashes, "path", "left")
+    def run(batches):
+        for t in batches:
+            found = [_digest(p) for p in t.column(t.schema.get_field_index("path")).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*t.columns, pa.array(found, pa.string())], names=[*t.schema.names, "hash"])
+
+    return files.mapInArrow(run, T.StructType([*files.schema.fields, T.StructField("hash", T.StringType())]))
+
+
+def _digest(path: str | None) -> str | None:
+    from pyarrow import fs
+
+    if not path:
+        return None
+    sha = hashlib.sha256()
+    try:
+        store, place = fs.FileSystem.from_uri(path if "://" in path else "file://" + quote(path))
+        with store.open_input_stream(place) as f:
+            while piece := f.read(1 << 20):
+                sha.update(piece)
+    except OSError:
+        return None
+    return sha.hexdigest()
 
 
 def probe_hash_cache(candidates: DataFrame, cache: DataFrame) -> DataFrame:
@@ -76,15 +132,22 @@ def probe_hash_cache(candidates: DataFrame, cache: DataFrame) -> DataFrame:
             .drop("_size", "_at", "_hash"))
 
 
-def hash_with_cache(candidates: DataFrame, cache: DataFrame) -> tuple[DataFrame, DataFrame]:
+def hash_with_cache(candidates: DataFrame, cache: DataFrame, contents: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """(hashed candidates, updated cache).
 
-    ``candidates`` bring their own hash of the content, computed lazily; it is
-    used only where the cache has none.
+    Metadata decides first which hashes the cache has; only contents of the others are hashed. They are
+    read from the files that the paths name, or from ``contents`` (path, content) if given, unless
+    the candidates bring a hash. One whose content cannot be read keeps a null hash and leaves the cache as it is.
     """
-    probed = probe_hash_cache(candidates.withColumnRenamed("hash", "_fresh"), cache)
-    hashed = (probed.withColumn("cache_hit", F.col("cached_hash").isNotNull())
-              .withColumn("hash", F.coalesce("cached_hash", "_fresh")).drop("cached_hash", "_fresh"))
+    probed = cut_lineage(probe_hash_cache(candidates.drop("content"), cache))
+    hits = (probed.filter("cached_hash is not null").withColumn("hash", F.col("cached_hash")).drop("cached_hash")
+            .withColumn("cache_hit", F.lit(True)))
+    missed = probed.filter("cached_hash is null").drop("cached_hash")
+    if "hash" not in candidates.columns:
+        # misses are dealt anew: those of a new folder tend to lie together
+        missed = hash_paths(missed.repartition("path")) if contents is None else hash_files(missed, contents)
+    missed = missed.select(*hits.drop("cache_hit").columns)
+    hashed = cut_lineage(hits.unionByName(missed.withColumn("cache_hit", F.lit(False))))  # read by both results
     updates = (hashed.filter("hash is not null")
                .select("path", "size_bytes", "modified_at", "hash", F.lit("sha256").alias("algo")))
     fresh_cache = (cache.select("path", "size_bytes", "modified_at", "hash", "algo")

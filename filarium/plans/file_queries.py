@@ -109,7 +109,8 @@ def _(spark, sf):
 
 @query("D4_hash_with_cache", with_(V.FILES, V.HASHED, _CACHE, body="SELECT path, coalesce(hit, false) AS cache_hit, CASE WHEN hit THEN old ELSE fresh END AS hash FROM probed"))
 def _(spark, sf):
-    done, cache = D.hash_with_cache(hashed(spark, sf), cached_half(spark, sf))
+    files = views.files_v(spark, sf)
+    done, cache = D.hash_with_cache(files.filter("size_bytes > 0").drop("content"), cached_half(spark, sf), files.select("path", "content"))
     return cache.join(done.select("path", "cache_hit"), "path").select("path", "cache_hit", "hash")
 
 
@@ -310,7 +311,7 @@ h AS (SELECT scan_id, count(*) AS hashes_total FROM hashed GROUP BY 1)""", body=
   FROM f LEFT JOIN g USING (scan_id) LEFT JOIN h USING (scan_id)"""))
 def _(spark, sf):
     files = views.files_v(spark, sf, False)
-    h = hashed(spark, sf)
+    h = hash_table(spark, sf)
     groups = h.groupBy("scan_id", "hash").agg(F.count("*").alias("n")).filter("n > 1")
     return FN.scan_totals(files, FN.detect_findings(files), groups, h)
 

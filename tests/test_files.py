@@ -1,5 +1,6 @@
 """Findings, duplicates, classification, paths and extraction on small inputs."""
 
+import hashlib
 from datetime import datetime
 
 from pyspark.sql import functions as F
@@ -50,6 +51,43 @@ def test_canonical_is_oldest_then_smallest_path(spark):
     assert got == {3: "/z/old.txt", 2: "/a/tie.txt"}
 
 
+def cache_of(spark, rows):
+    return spark.createDataFrame(rows, "path string, size_bytes long, modified_at timestamp, hash string, algo string")
+
+
+def test_only_files_the_cache_misses_are_opened(spark, tmp_path):
+    at, later = datetime(2024, 1, 1), datetime(2024, 2, 2)
+    big = b"0123456789abcdef" * 300_000
+    for name, data in (("miss é.bin", big), ("moved.txt", b"new text"), ("grown.txt", b"more")):
+        (tmp_path / name).write_bytes(data)
+    p = str(tmp_path)
+    rows = [(f"{p}/hit.txt", 5, at), (f"{p}/miss é.bin", len(big), at), (f"{p}/moved.txt", 8, later), (f"{p}/grown.txt", 4, None), (f"{p}/lost.txt", 3, at)]
+    candidates = spark.createDataFrame(rows, "path string, size_bytes long, modified_at timestamp")
+    cache = cache_of(spark, [(f"{p}/hit.txt", 5, at, "h" * 64, "sha256"), (f"{p}/moved.txt", 8, at, "o" * 64, "sha256"),
+                             (f"{p}/grown.txt", 3, None, "g" * 64, "sha256"), ("/other", 1, at, "x" * 64, "sha256")])
+    hashed, fresh = D.hash_with_cache(candidates, cache)  # hit.txt does not exist: it could not be opened
+    got = {r.path.rsplit("/", 1)[1]: (r.cache_hit, r.hash) for r in hashed.collect()}
+    assert got == {"hit.txt": (True, "h" * 64), "miss é.bin": (False, hashlib.sha256(big).hexdigest()), "lost.txt": (False, None),
+                   "moved.txt": (False, hashlib.sha256(b"new text").hexdigest()), "grown.txt": (False, hashlib.sha256(b"more").hexdigest())}
+    kept = {r.path.rsplit("/", 1)[1]: r.hash for r in fresh.collect()}
+    assert kept == {"other": "x" * 64, **{n: h for n, (_, h) in got.items() if h}}
+    again, _ = D.hash_with_cache(candidates, fresh)
+    assert {r.path.rsplit("/", 1)[1] for r in again.filter("not cache_hit").collect()} == {"lost.txt"}
+
+
+def test_contents_of_hits_are_not_hashed_and_stay_in_the_scan(spark):
+    at = datetime(2024, 1, 1)
+    meta = spark.createDataFrame([(f"/f{i}", 9, at) for i in range(40)], "path string, size_bytes long, modified_at timestamp")
+    cache = cache_of(spark, [(f"/f{i}", 9, at, f"{i:064d}", "sha256") for i in range(37)])
+    contents = meta.select("path", F.concat(F.lit("text "), "path").alias("content"))
+    hashed, _ = D.hash_with_cache(meta, cache, contents)
+    got = {r.path: r.hash for r in hashed.collect()}
+    assert got == {f"/f{i}": f"{i:064d}" if i < 37 else hashlib.sha256(f"text /f{i}".encode()).hexdigest() for i in range(40)}
+    assert {r.path for r in D.listed_hashes(meta.limit(3), contents).collect()} == {"/f0", "/f1", "/f2"}
+    plan = D.hash_files(meta, meta.withColumn("content", F.lit("x").cast("binary")))._jdf.queryExecution().executedPlan().toString()
+    assert "content" not in "".join(line for line in plan.splitlines() if "Exchange" in line and "Broadcast" not in line)
+
+
 def test_cached_hash_is_used_and_time_must_agree(spark):
     at = datetime(2024, 1, 1)
     f = D.hash_contents(files(spark, [("/cache-a.txt", "same", at), ("/cache-b.txt", "same", at)]))

@@ -148,10 +148,15 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20) -> DataFrame:
     """Rows (query_id, rank, vec_id, score): each query's ``k`` nearest found by inner product, itself left out.
 
     ``vectors`` and ``queries`` have (vec_id, embedding). Rows without id or with an unfit vector
-    take no part; vectors must agree in length. Rows of one id and vector count once; ties go to
-    the smaller id. With few vectors all candidates come back.
+    take no part. Vectors that differ in length meet over the components that both have. Rows of one
+    id and vector count once; ties go to the smaller id. With few vectors all candidates come back.
     """
-    base, asked = stored(clean(vectors).withColumn("h", F.xxhash64("v")), "vectors"), clean(queries).withColumn("h", F.xxhash64("v"))
+    base, asked = stored(clean(vectors), "vectors"), clean(queries)
+    width = F.size("v").alias("n")
+    least, most = base.select(width).union(asked.select(width)).agg(F.min("n"), F.max("n")).first()
+    if least != most:  # zeros at the end change no product
+        base, asked = (t.withColumn("v", F.concat("v", F.array_repeat(F.lit(0.0), F.lit(most) - F.size("v")))) for t in (base, asked))
+    base, asked = (t.withColumn("h", F.xxhash64("v")) for t in (base, asked))
     alike = Window.partitionBy("h", "v").orderBy("vec_id")
     first = (base.distinct().withColumn("r", F.row_number().over(alike)).where(F.col("r") <= k + 1).drop("r"))
     once = asked.groupBy("h", "v").agg(F.min("vec_id").alias("vec_id"))

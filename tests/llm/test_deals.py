@@ -12,7 +12,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from filarium.llm import hard_negatives, queries, sharding, token_alignment
+from filarium.llm import ann, hard_negatives, line_dedup, queries, sharding, token_alignment
 from filarium.llm.common import table
 
 DOC = "doc_id long, text string, size int, shard string, v int"
@@ -233,6 +233,32 @@ def test_alignment_long_and_empty(spark, paths):
     assert [(r[1], r[2]) for r in rows] == [(len(aligner.a.encode(" " + t)), len(aligner.b.encode(" " + t))) for t in texts]
 
 
+# ---- earlier operators: rows of one doc_id, vectors of several lengths
+
+def test_rows_of_one_id_lose_only_their_own_lines(spark):
+    a, b, c = ("line %s of the text with words enough" % w for w in ("alpha seven", "bravo eleven nights", "charlie under green trees"))
+    for one in (None, 3):
+        rows = [(one, f"{a}\n{b}"), (one, f"{c}\n{a}"), (9, f"{b}\n{c} tail end of it all")]
+        got = line_dedup.drop_repeated_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+        lines = sorted(x for r in got for x in r.text.split("\n"))
+        assert lines.count(a) == 1 and {a, b, c} <= set(lines) and lines.count(b) == 1
+    twice = spark.createDataFrame([(1, f"{a}\n{b}"), (1, f"{a}\n{b}"), (2, a)], "doc_id long, text string")
+    assert sorted((r.doc_id, r.text) for r in line_dedup.drop_repeated_lines(twice).collect()) == [(1, f"{a}\n{b}")] * 2
+
+
+def test_vectors_of_several_lengths(spark):
+    rng = np.random.default_rng(2)
+    rows = [(i, [float(np.float32(x)) for x in rng.normal(size=(2, 3, 7)[i % 3])]) for i in range(60)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    got = {}
+    for r in ann.search(df, df.where("vec_id < 9"), k=4).collect():
+        got.setdefault(r.query_id, []).append((r.rank, r.vec_id, round(r.score, 9)))
+    wide = {i: np.array(v + [0.0] * (7 - len(v))) for i, v in rows}
+    for q in range(9):
+        near = sorted((-float(wide[q] @ v), i) for i, v in wide.items() if i != q)
+        assert [x[2] for x in sorted(got[q])][0] == round(-near[0][0], 9) and len(got[q]) == 4
+
+
 # ---- hard negatives
 
 def plain_mine(rows, every, positives=5, negatives=10, low=30, high=90):

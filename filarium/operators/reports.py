@@ -62,9 +62,13 @@ def dashboard_summary(files: DataFrame, groups: DataFrame, findings: DataFrame,
 
 
 def share_of(df: DataFrame, column: str, of: str = "total") -> DataFrame:
-    """Share of the total or of the largest value, for already grouped rows."""
+    """Share of the total or of the largest value.
+
+    The one number is an aggregate that combines before the shuffle and goes to every task, so no
+    task gets all rows.
+    """
     agg = F.sum(column) if of == "total" else F.max(column)
-    return df.withColumn("share", F.col(column) / agg.over(Window.partitionBy()))
+    return df.withColumn("share", F.col(column) / df.agg(agg.alias("whole")).scalar())
 
 
 def label_category(df: DataFrame, icons: bool = True) -> DataFrame:

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import json
 from datetime import datetime
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from filarium import constants as K
 from filarium.functions import SPACE_CLASS, ext_norm, sql_like, strings, trim_ws
@@ -22,6 +23,39 @@ def page(df: DataFrame, order: list, limit: int, offset: int = 0) -> DataFrame:
     return df.orderBy(*order).offset(offset).limit(limit)
 
 
+def numbered(df: DataFrame, order: list) -> DataFrame:
+    """Adds ``row_number``, from 1 on in the given order, without a task that sees all rows.
+
+    Rows are sorted by ranges and written; each range is numbered on its own from the sum of the counts
+    before it. Of each range only its count reaches the driver. Give an id as the last order key.
+    """
+    ranged = cut_lineage(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_range", F.spark_partition_id()))
+    counts = {r["_range"]: r["n"] for r in ranged.groupBy("_range").agg(F.count("*").alias("n")).collect()}
+    starts, before = [], 0
+    for place in range(max(counts, default=-1) + 1):
+        starts.append(before)
+        before += counts.get(place, 0)
+    first = F.get(F.array(*[F.lit(x) for x in starts]).cast("array<bigint>"), F.col("_range"))
+    own = F.row_number().over(Window.partitionBy("_range").orderBy(*order))
+    return ranged.withColumn("row_number", first + own).drop("_range")
+
+
+def write_pages(df: DataFrame, order: list, out: str, block: int = 10_000) -> None:
+    """Write an ordered list for paging: numbered rows by blocks, and their total."""
+    rows = numbered(df, order).withColumn("block", F.floor((F.col("row_number") - 1) / block))
+    rows.write.mode("overwrite").partitionBy("block").parquet(f"{out}/rows")
+    rows.agg(F.count("*").alias("total"), F.lit(block).alias("block_rows"), F.lit(rows.schema.json()).alias("columns")).write.mode("overwrite").parquet(f"{out}/total")
+
+
+def read_page(spark, out: str, limit: int, offset: int = 0) -> tuple[DataFrame, int]:
+    """(rows of a page in order, total) of a written list (T1); only the blocks of the page are read."""
+    total, block, columns = spark.read.parquet(f"{out}/total").first()
+    rows = spark.read.schema(T.StructType.fromJson(json.loads(columns))).parquet(f"{out}/rows")
+    blocks = F.col("block").between(offset // block, (offset + limit - 1) // block)
+    page_ = rows.filter(blocks & F.col("row_number").between(offset + 1, offset + limit))
+    return page_.orderBy("row_number").drop("block"), total
+
+
 def most_recent(df: DataFrame, ts: str, k: int, tie: str) -> DataFrame:
     """Newest k rows."""
     return df.orderBy(F.desc(ts), tie).limit(k)

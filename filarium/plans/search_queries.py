@@ -193,6 +193,16 @@ def _(spark, sf):
     return S.score_findings(searchable(spark, sf), "Invoice Documents 1", f).select("finding_id", "matched_factors", "match_explanation")
 
 
+@query("T1_numbered_page", _SEARCH + """SELECT finding_id, row_number, total FROM (SELECT finding_id, row_number() OVER (ORDER BY size_bytes DESC, finding_id) AS row_number,
+  count(*) OVER () AS total FROM sr) WHERE row_number BETWEEN 301 AND 340""")
+def _(spark, sf):
+    from filarium.session import checkpoint_path
+    out = checkpoint_path(spark, "pages")
+    S.write_pages(searchable(spark, sf), [F.desc("size_bytes"), F.asc("finding_id")], out, block=100)
+    rows, total = S.read_page(spark, out, 40, 300)
+    return rows.select("finding_id", "row_number", F.lit(total).cast("bigint").alias("total"))
+
+
 _FINAL2, _RAW2 = _score("'invoices over 1 MB'", "'Invoices'", "NULL", "[]::VARCHAR[]", "NULL", "false")
 
 

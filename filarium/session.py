@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -20,13 +21,8 @@ def local_session(cores: int | None = None, app: str = "filarium") -> SparkSessi
             .getOrCreate())
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Checkpoint into the folder the cluster names in ``spark.checkpoint.dir``.
-
-    The folder must outlive executors, so a temporary one is made only for a
-    local master.
-    """
-    spark = df.sparkSession
+def checkpoint_folder(spark: SparkSession) -> str:
+    """The folder the cluster names in ``spark.checkpoint.dir``; a temporary one only for a local master without it."""
     sc = spark.sparkContext
     if not sc._jsc.sc().getCheckpointDir().isDefined():
         folder = spark.conf.get("spark.checkpoint.dir", None)
@@ -35,4 +31,19 @@ def cut_lineage(df: DataFrame) -> DataFrame:
                 raise RuntimeError("set spark.checkpoint.dir to a shared folder")
             folder = tempfile.mkdtemp(prefix="run-")
         sc.setCheckpointDir(folder)
+    return sc._jsc.sc().getCheckpointDir().get()
+
+
+def checkpoint_path(spark: SparkSession, name: str) -> str:
+    """A new path for a written table in the shared folder."""
+    return f"{checkpoint_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Checkpoint into the folder the cluster names in ``spark.checkpoint.dir``.
+
+    The folder must outlive executors, so a temporary one is made only for a
+    local master.
+    """
+    checkpoint_folder(df.sparkSession)
     return df.checkpoint(eager=True)

@@ -2,6 +2,7 @@
 
 import collections
 import random
+import shutil
 from datetime import date, datetime, timedelta
 
 import pytest
@@ -362,3 +363,60 @@ def test_stream_windows_equal_batch(spark, tmp_path):
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(src)
     got = latest_rows(spark, ST.activity_windows(stream, "1 hour", "2 hours"), "win", tmp_path, ["window_start", "event_type"])
     assert sorted(map(str, got.values())) == sorted(str(r.asDict()) for r in ST.activity_windows(spark.read.parquet(src), "1 hour").collect())
+
+
+def test_duplicates_with_state_that_expires(spark, tmp_path):
+    t0 = datetime(2024, 1, 1)
+    schema = "path string, size_bytes long, hash string, modified_at timestamp, seen_at timestamp"
+    hours = [[("/a", "h1", 0, t0), ("/b", "h2", 0, None), ("/z", "h3", 0, t0)], [("/c", "h1", 1, t0 - timedelta(days=1)), ("/y", "h3", 1, None), ("/x", "h3", 1, t0)],
+             [("/d", "h4", 9, t0)], [("/e", "h2", 10, t0), ("/f", "h1", 10, t0)], [("/g", "h2", 11, t0)]]
+    src = str(tmp_path / "src")
+    for part in hours:
+        rows = [(p, 10, h, m, t0 + timedelta(hours=at)) for p, h, at, m in part]
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(src)
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(src)
+    seen = []
+    q = (ST.recent_duplicates(stream, "3 hours").writeStream.outputMode("update").trigger(availableNow=True)
+         .option("checkpointLocation", str(tmp_path / "short")).foreachBatch(lambda b, _: seen.extend(map(tuple, b.drop("last_seen").collect()))).start())
+    q.awaitTermination()
+    # of h1 and h2 the state was gone when more copies came at 10; h2 met its next copy at 11
+    assert sorted(seen) == [(10, "h1", 2, "/c"), (10, "h2", 2, "/e"), (10, "h3", 3, "/x")]
+    state = max((p.stateOperators[0].numRowsTotal for p in [q.lastProgress]), default=0)
+    assert state <= 3
+    held = latest_rows(spark, ST.recent_duplicates(stream, "30 days").drop("last_seen"), "long", tmp_path, ["hash"])
+    batch = {(r.hash,): (r.copies, r.canonical_path) for r in ST.stream_duplicates(spark.read.parquet(src)).collect()}
+    assert {k: (v["copies"], v["canonical_path"]) for k, v in held.items()} == batch and len(batch) == 3
+
+
+def test_progress_of_the_hashing_phase(spark, tmp_path):
+    stream, batch = entry_stream(spark, tmp_path, entries())
+    events = "scan_id long, to_hash long, path string"
+    rows = [(1, 8, None), *[(1, None, f"/d/{i}") for i in range(6)], (2, 0, None)]
+    src = str(tmp_path / "hashing")
+    spark.createDataFrame(rows, events).coalesce(1).write.parquet(src)
+    hashing = spark.readStream.schema(events).parquet(src)
+    got = latest_rows(spark, ST.scan_progress(stream, hashing), "progress2", tmp_path, ["scan_id"])
+    want = {(r.scan_id,): r.asDict() for r in ST.scan_progress(batch, spark.read.parquet(src)).collect()}
+    assert got == want
+    assert (got[1,]["progress_percent"], got[1,]["files_hashed"], got[1,]["files_to_hash"], got[1,]["files_scanned"]) == (85 + 11, 6, 8, 30)
+    assert got[2,]["progress_percent"] == 99 and got[2,]["files_scanned"] == 0
+    alone = ST.scan_progress(batch).first()
+    assert alone.progress_percent < 85 and "files_hashed" not in alone.asDict()
+
+
+def test_pages_read_only_their_blocks(spark, tmp_path):
+    rng = random.Random(3)
+    rows = [(i, rng.randint(0, 50)) for i in range(2500)]
+    df = spark.createDataFrame(rows, "id long, score int").repartition(7)
+    order = [F.desc("score"), F.asc("id")]
+    want = sorted(rows, key=lambda r: (-r[1], r[0]))
+    assert [(r.id, r.score) for r in S.numbered(df, order).orderBy("row_number").collect()] == want
+    out = str(tmp_path / "pages")
+    S.write_pages(df, order, out, block=100)
+    for block in range(26):  # a page needs none of the others
+        if block not in (19, 20):
+            shutil.rmtree(f"{out}/rows/block={block}", ignore_errors=True)
+    page, total = S.read_page(spark, out, 60, 1970)
+    assert total == 2500 and [(r.id, r.score) for r in page.collect()] == want[1970:2030]
+    S.write_pages(df.limit(0), order, out)
+    assert S.read_page(spark, out, 5)[1] == 0 and R.share_of(df, "score").agg(F.sum("share")).first()[0] > 0.999

@@ -189,11 +189,12 @@ SCHEMA = ("finding_id long, scan_id long, path string, name string, modified_at
           "tags array<string>, entities array<string>, vector array<float>")
 
 
-def all_pairs(spark, aug, approved, rejected):
+def all_pairs(spark, aug, approved, rejected, per_scan):
     """Links of all pairs by the column form of the signals."""
     a = aug.select(F.col("finding_id").alias("i"), "scan_id", F.struct("*").alias("a"))
     b = aug.select(F.col("finding_id").alias("j"), "scan_id", F.struct("*").alias("b"))
-    rows = P.score_pairs(a.join(b, "scan_id").filter("i < j")).select("i", "j", "score", "signals").collect()
+    pairs = a.join(b, "scan_id") if per_scan else a.drop("scan_id").crossJoin(b.drop("scan_id"))
+    rows = P.score_pairs(pairs.filter("i < j")).select("i", "j", "score", "signals").collect()
 
     def together(groups, i, j):
         return any(i in g and j in g for g in groups)
@@ -217,16 +218,16 @@ def union_find(pairs):
     return {x: root(x) for x in parent}
 
 
-@pytest.mark.parametrize("tile_rows", [512, 7])
-def test_links_and_components_equal_all_pairs(spark, tile_rows):
+@pytest.mark.parametrize("tile_rows, per_scan", [(512, True), (7, True), (7, False), (512, False)])
+def test_links_and_components_equal_all_pairs(spark, tile_rows, per_scan):
     aug = spark.createDataFrame(random_findings(90, 5), SCHEMA)
     approved, rejected = [set(range(0, 90, 9))], [set(range(1, 90, 4)), {2, 3, 5}]
 
     def table(groups):
         return spark.createDataFrame([(g, i) for g, s in enumerate(groups) for i in s], "group_id long, finding_id long")
 
-    links = all_pairs(spark, aug, approved, rejected)
-    groups = P.link_groups(aug, table(approved), table(rejected), tile_rows=tile_rows).cache()
+    links = all_pairs(spark, aug, approved, rejected, per_scan)
+    groups = P.link_groups(aug, table(approved), table(rejected), per_scan=per_scan, tile_rows=tile_rows).cache()
     total = groups.agg(F.sum("links").alias("n"), *[F.sum(s).alias(s) for s in P.SIGNALS]).first()
     assert total.n == len(links) > 0
     for s in P.SIGNALS:

@@ -22,8 +22,8 @@ from .common import stored
 
 SAMPLE = 8192
 PARTS = 16
-#: Queries of a block; vectors of a slice, about, with the least and most slices.
-BLOCK, SLICE, SLICES = 2048, 16_384, (4, 64)
+#: Queries of a block; vectors of a slice, about, and the least number of slices.
+BLOCK, SLICE, SLICES = 2048, 16_384, 4
 RECALL = 0.97
 GRAPH = 12
 
@@ -185,7 +185,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20) -> DataFrame:
     placed = first.select("h", "vec_id", "v").mapInArrow(place, "h long, vec_id long, v array<double>, part int")
     routed = stored(once.select("h", "vec_id", "v").mapInArrow(route, "h long, vec_id long, v array<double>, parts array<int>"), "routed")
     blocks = max(1, -(-routed.count() // BLOCK))
-    slices = max(SLICES[0], min(SLICES[1], -(-total // SLICE)))
+    slices = max(SLICES, -(-total // SLICE))
     turn = lambda n: F.pmod(F.xxhash64("vec_id", "h"), F.lit(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     nothing = F.array().cast("array<int>")

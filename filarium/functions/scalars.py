@@ -14,43 +14,56 @@ _SPACE_CODES = [9, 10, 11, 12, 13, 32, 0xA0, 0x1680, *range(0x2000, 0x200B),
 SPACES = "".join(map(chr, _SPACE_CODES))
 SPACE_CLASS = "[" + "".join(rf"\x{{{code:X}}}" for code in _SPACE_CODES) + "]"
 _SPACE_BODY = SPACE_CLASS[1:-1]
-# ASCII word boundary, whatever the JDK takes \b to mean.
-_EDGES = {
-    "<": r"(?<![A-Za-z0-9_])",
-    ">": r"(?![A-Za-z0-9_])",
-    "@": r"(?:(?<=[A-Za-z0-9_])(?![A-Za-z0-9_])|(?<![A-Za-z0-9_])(?=[A-Za-z0-9_]))",
-}
+# ASCII word boundary, whatever the JDK takes \b to mean; the short form stands before what begins a word.
+_EDGE = r"(?:(?<=[A-Za-z0-9_])(?![A-Za-z0-9_])|(?<![A-Za-z0-9_])(?=[A-Za-z0-9_]))"
+_START = r"(?<![A-Za-z0-9_])"
+_WORD_FIRST = re.compile(r"[A-Za-z0-9](?![?*{])|\\d(?![?*])|\[A-Z\](?![?*])")
+_GROUP = re.compile(r"\((?:\?:)?")
+
+
+def _begins_word(rest: str) -> bool:
+    """Whether whatever the pattern matches begins with a letter or a digit, as far as that is easy to see."""
+    if _WORD_FIRST.match(rest):
+        return True
+    opened = _GROUP.match(rest)
+    if not opened:
+        return False
+    depth, first, i = 1, [opened.end()], opened.end()
+    while i < len(rest) and depth:
+        if rest[i] == "\\":
+            i += 1
+        elif rest[i] == "|" and depth == 1:
+            first.append(i + 1)
+        else:
+            depth += (rest[i] == "(") - (rest[i] == ")")
+        i += 1
+    return rest[i:i + 1] not in ("?", "*", "{") and all(_begins_word(rest[x:]) for x in first)
 
 
 def java_regex(pattern: str, ignore_case: bool = False) -> str:
-    """Spell a pattern for Java: ``<``, ``>`` and ``@`` are the start, the end and any
-    edge of an ASCII word, ``\\s`` is any white space."""
+    """Spell a pattern for Java: ``\\b`` is an edge of an ASCII word, ``\\s`` any white space."""
     out, in_class, i = [], False, 0
     while i < len(pattern):
         two = pattern[i:i + 2]
         if two == r"\s":
             out.append(_SPACE_BODY if in_class else SPACE_CLASS)
-            i += 2
         elif two == r"\S":
             out.append("[^" + _SPACE_BODY + "]")
-            i += 2
+        elif two == r"\b":
+            out.append(_START if _begins_word(pattern[i + 2:]) else _EDGE)
         elif two[0] == "\\":
             out.append(two)
-            i += 2
         else:
-            ch = pattern[i]
-            if ch == "[":
-                in_class = True
-            elif ch == "]":
-                in_class = False
-            out.append(ch if in_class else _EDGES.get(ch, ch))
-            i += 1
+            in_class = two[0] == "[" or (in_class and two[0] != "]")
+            out.append(two[0])
+            i -= 1
+        i += 2
     return ("(?i)" if ignore_case else "") + "".join(out)
 
 
 def re2_regex(pattern: str, ignore_case: bool = False) -> str:
     """The same pattern for an RE2 engine, whose ``\\b`` is ASCII already."""
-    return ("(?i)" if ignore_case else "") + re.sub("[@<>]", lambda m: r"\b", pattern)
+    return ("(?i)" if ignore_case else "") + pattern
 
 
 def sql_literal(v) -> str:

@@ -88,31 +88,31 @@ def date_range(q: Column, now: Column) -> Column:
     def whole_year(y: Column) -> Column:
         return span(F.make_date(y, F.lit(1), F.lit(1)), F.make_date(y, F.lit(12), F.lit(31)), y.cast("string"))
 
-    named_year = F.regexp_extract(q, java_regex(r"@(?:in|from|during)?\s*(20\d{2}|19\d{2})@"), 1)
-    word = F.regexp_extract(q, java_regex(rf"@(?:from|in|during)?\s*({K.MONTH_PATTERN})@"), 1)
+    named_year = F.regexp_extract(q, java_regex(r"\b(?:in|from|during)?\s*(20\d{2}|19\d{2})\b"), 1)
+    word = F.regexp_extract(q, java_regex(rf"\b(?:from|in|during)?\s*({K.MONTH_PATTERN})\b"), 1)
     number = lookup(F.substring(word, 1, 3), {m[:3]: i for i, m in enumerate(K.MONTH_WORDS, start=1)})
     month_year = F.when(number > F.month(now), year - 1).otherwise(year)
     month_start = F.make_date(month_year, number, F.lit(1))
 
-    return (F.when(_matches(q, r"@last\s+week@"), span(F.date_sub(week, 7), F.date_sub(week, 1), F.lit("last week")))
-            .when(_matches(q, r"@this\s+week@"), span(week, today, F.lit("this week")))
-            .when(_matches(q, r"@last\s+month@"),
+    return (F.when(_matches(q, r"\blast\s+week\b"), span(F.date_sub(week, 7), F.date_sub(week, 1), F.lit("last week")))
+            .when(_matches(q, r"\bthis\s+week\b"), span(week, today, F.lit("this week")))
+            .when(_matches(q, r"\blast\s+month\b"),
                   span(F.add_months(month, -1), F.date_sub(month, 1), F.lit("last month")))
-            .when(_matches(q, r"@this\s+month@"), span(month, today, F.lit("this month")))
-            .when(_matches(q, r"@last\s+year@"), whole_year(year - 1))
-            .when(_matches(q, r"@this\s+year@"), span(this_year, today, year.cast("string")))
+            .when(_matches(q, r"\bthis\s+month\b"), span(month, today, F.lit("this month")))
+            .when(_matches(q, r"\blast\s+year\b"), whole_year(year - 1))
+            .when(_matches(q, r"\bthis\s+year\b"), span(this_year, today, year.cast("string")))
             .when(named_year != "", whole_year(F.nullif(named_year, F.lit("")).cast("int")))
             .when(word != "", span(month_start, F.last_day(month_start),
                                    F.concat(capitalise(word), F.lit(" "), month_year.cast("string"))))
-            .when(_matches(q, r"@today@"), span(today, today, F.lit("today")))
-            .when(_matches(q, r"@yesterday@"), span(F.date_sub(today, 1), F.date_sub(today, 1), F.lit("yesterday"))))
+            .when(_matches(q, r"\btoday\b"), span(today, today, F.lit("today")))
+            .when(_matches(q, r"\byesterday\b"), span(F.date_sub(today, 1), F.date_sub(today, 1), F.lit("yesterday"))))
 
 
 def mention(query: Column) -> Column:
     """Name the query asks about, in its original case (X11g)."""
     text = trim_ws(query)
-    found = [F.nullif(trim_ws(F.regexp_extract(text, java_regex(head + K.MENTION_TAIL, True).replace("|$)", r"|\z)"), 1)),
-                      F.lit("")) for head in K.MENTION_HEADS]
+    found = [F.nullif(trim_ws(F.regexp_extract(text, java_regex(pattern, True).replace("|$)", r"|\z)"), 1)),
+                      F.lit("")) for pattern in K.MENTION_PATTERNS]
     return F.coalesce(*found)
 
 

@@ -46,7 +46,7 @@ _VAGUE = "greatest(" + ", ".join(f"CASE WHEN {_rx(p)} THEN {b} END" for p, b in
 _EXTS = "list_distinct(flatten(list_filter([" + ", ".join(f"CASE WHEN {_rx(p)} THEN {lst(e)} END" for p, e, _ in K.QUERY_EXTENSIONS) + "], lambda x: x IS NOT NULL)))"
 _LABELS = "len(list_filter([" + ", ".join(f"CASE WHEN {_rx(p)} THEN 1 END" for p, _, _ in K.QUERY_EXTENSIONS) + "], lambda x: x IS NOT NULL))"
 _STATUSES = "list_filter([" + ", ".join(f"CASE WHEN {_rx(p)} THEN {q(s)} END" for s, p in K.QUERY_STATUSES) + "], lambda x: x IS NOT NULL)"
-_MENTION = "coalesce(" + ", ".join("nullif(trim(regexp_extract(trim(query), {}, 1)), '')".format(q(re2_regex(h + K.MENTION_TAIL, True))) for h in K.MENTION_HEADS) + ")"
+_MENTION = "coalesce(" + ", ".join("nullif(trim(regexp_extract(trim(query), {}, 1)), '')".format(q(re2_regex(p, True))) for p in K.MENTION_PATTERNS) + ")"
 _YEAR = "regexp_extract(q, '\\b(?:in|from|during)?\\s*(20\\d{2}|19\\d{2})\\b', 1)"
 _MONTH = f"regexp_extract(q, '\\b(?:from|in|during)?\\s*({K.MONTH_PATTERN})\\b', 1)"
 _MNUM = "list_position(['jan','feb','mar','apr','may','jun','jul','aug','sep','oct','nov','dec'], substr(mon, 1, 3))"

@@ -175,6 +175,17 @@ def _(spark, sf):
     return E.index_coverage(x, E.build_index(x, lossless=False))
 
 
+@query("E6_index_whole_texts", with_(_LAST, chunk_ctes("lastx", "finding_id", lossless=True), body=f"SELECT finding_id, chunk_index, extracted_id, md5(chunk_text) AS passage, '{K.EMBED_MODEL}' AS model, 128 AS dimensionality FROM ck JOIN lastx USING (finding_id)"))
+def _(spark, sf):
+    return E.build_index(views.extracted_v(spark, sf)).select("finding_id", "chunk_index", "extracted_id", F.md5("chunk_text").alias("passage"), "model", "dimensionality")
+
+
+@query("E6_coverage_whole_texts", with_(_LAST, chunk_ctes("lastx", "finding_id", lossless=True), body="SELECT count(DISTINCT k.finding_id) AS indexed, (SELECT count(*) FROM lastx) - count(DISTINCT k.finding_id) AS skipped FROM ck k"))
+def _(spark, sf):
+    x = views.extracted_v(spark, sf)
+    return E.index_coverage(x, E.build_index(x))
+
+
 @query("A15_index_stats", with_(V.CHUNKS, body="SELECT 'stored' AS model, count(*) AS total_chunks, count(DISTINCT finding_id) AS embedded_findings FROM chunks"))
 def _(spark, sf):
     return E.index_stats(views.chunks_v(spark, sf))

@@ -8,6 +8,7 @@ from filarium import constants as K
 from filarium.operators import classify as C, dedup as D, findings as FN, paths as P
 from filarium.plans import sqlviews as V
 from filarium.plans.registry import ins, lst, q, query, with_
+from filarium.session import checkpoint_path, cut_lineage
 from filarium.sources import files as S, views
 from filarium.streaming.streams import stream_files
 
@@ -392,13 +393,13 @@ def contents(spark, sf):
 
 
 _KIND = "CASE " + " ".join(f"WHEN ltrim(extension, '.') IN {ins(e)} THEN {q(k)}" for k, e in K.EXTRACTOR_KINDS.items()) + " END"
-_TEXTS = f"""texts0 AS (SELECT finding_id, extension, scan_id, content, {_KIND} AS extractor FROM files),
+TEXTS = f"""texts0 AS (SELECT finding_id, extension, scan_id, content, {_KIND} AS extractor FROM files),
 texts AS (SELECT finding_id, extractor, CASE WHEN extractor IS NULL THEN NULL
   WHEN extension = '.json' AND finding_id % 2 = 0 THEN '{{' || chr(10) || '  "n": ' || length(content) || ',' || chr(10) || '  "scan": [' || chr(10) || '    ' || scan_id || chr(10) || '  ]' || chr(10) || '}}'
   WHEN extractor = 'pdf' THEN NULL ELSE content END AS text FROM texts0)"""
 
 
-@query("S3_S4_S6_extract_text", with_(V.FILES, _TEXTS, body="SELECT finding_id, extractor, md5(text) AS digest, length(text) AS chars FROM texts WHERE extractor IS DISTINCT FROM 'pdf'"))
+@query("S3_S4_S6_extract_text", with_(V.FILES, TEXTS, body="SELECT finding_id, extractor, md5(text) AS digest, length(text) AS chars FROM texts WHERE extractor IS DISTINCT FROM 'pdf'"))
 def _(spark, sf):
     t = S.extract_text(contents(spark, sf)).filter("extractor is null or extractor <> 'pdf'")
     return t.select("finding_id", "extractor", F.md5("text").alias("digest"), F.length("text").cast("bigint").alias("chars"))
@@ -424,6 +425,29 @@ def _(spark, sf):
     return c.select("scan_id", "finding_id", F.explode("ai.tags").alias("tag")).dropDuplicates(["finding_id", "tag"])
 
 
+@query("S9_written_scan", with_(V.FILES, V.TYPED, V.ruled("typed"), """rows AS (SELECT 'files' AS table_name, scan_id, finding_id, '' AS value FROM files
+  UNION ALL SELECT 'findings', scan_id, finding_id, finding_type FROM typed WHERE finding_type IS NOT NULL
+  UNION ALL SELECT 'ai_classifications', scan_id, finding_id, ai_category FROM ruled WHERE finding_type IS NOT NULL
+  UNION ALL SELECT DISTINCT 'semantic_tags', scan_id, finding_id, unnest(ai_tags) FROM ruled WHERE finding_type IS NOT NULL)""",
+       body="SELECT table_name, scan_id, finding_id, value FROM rows"))
+def _(spark, sf):
+    # written twice: the second write replaces the partitions of the first
+    out = checkpoint_path(spark, "scan")
+    found = cut_lineage(classified(spark, sf).filter("finding_type is not null").select("scan_id", "finding_id", "finding_type", "ai"))
+    findings = found.select("scan_id", "finding_id", F.col("finding_type").alias("value"))
+    kinds = found.select("scan_id", "finding_id", F.col("ai.category").alias("value"))
+    tags = found.select("scan_id", "finding_id", F.explode("ai.tags").alias("tag"))
+    files = views.files_v(spark, sf).select("scan_id", "finding_id", F.lit("").alias("value"))
+    for half in (findings.filter("scan_id = 1"), findings):
+        S.write_scan(out, half, kinds, tags, files)
+    back = None
+    for name in ("files", "findings", "ai_classifications", "semantic_tags"):
+        part = spark.read.parquet(f"{out}/{name}").withColumnRenamed("tag", "value")
+        part = part.select(F.lit(name).alias("table_name"), F.col("scan_id").cast("bigint"), "finding_id", "value")
+        back = part if back is None else back.unionByName(part)
+    return back
+
+
 @query("S10_to_json_rows", "SELECT CAST(to_json({doc_id: doc_id, lang: lang, source: source, n_chars: n_chars}) AS VARCHAR) AS value FROM documents")
 def _(spark, sf):
     return S.to_json_rows(S.load(spark, sf, "documents").select("doc_id", "lang", "source", "n_chars"))

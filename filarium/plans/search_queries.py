@@ -187,10 +187,22 @@ def _(spark, sf):
     return S.score_findings(searchable(spark, sf), "Invoice Documents 1 ", f).select("finding_id", "relevance_score")
 
 
-@query("E10_match_explanations")
+_FACTORS = """list_filter([
+   CASE WHEN lower(name) = 'invoice documents 1' THEN 'exact filename match "' || name || '"' WHEN contains(lower(name), 'invoice documents 1') THEN 'filename contains "Invoice Documents 1"'
+     WHEN len(hits) > 1 THEN 'filename matched terms "' || array_to_string(hits, ', ') || '"' WHEN len(hits) = 1 THEN 'filename matched term "' || hits[1] || '"' END,
+   CASE WHEN contains(lower(path), 'invoice documents 1') THEN 'path match' WHEN contains(lower(path), 'invoice') OR contains(lower(path), 'documents') THEN 'partial path match' END,
+   CASE WHEN ai_category = 'Invoices' THEN 'AI category: Invoices' END, CASE WHEN nx = 'pdf' THEN '.pdf extension' END,
+   CASE WHEN nx IN ('pdf', 'txt') THEN '.' || nx || ' extension' END, CASE WHEN risk_level = 'low' THEN 'risk: low' END], lambda x: x IS NOT NULL)"""
+
+
+@query("E10_match_explanations", _SEARCH + f""", h AS (SELECT *, list_filter(['invoice', 'documents'], lambda t: contains(lower(name), t)) AS hits FROM sr),
+e AS (SELECT *, {_FACTORS} AS factors FROM h)
+SELECT finding_id, array_to_string(factors, '; ') AS factors, CASE WHEN len(factors) > 0 THEN 'Ranked because: ' || array_to_string(factors, '; ') || '.' ELSE 'Matched by applied filter.' END
+  || CASE WHEN coalesce(ai_category, '') <> '' THEN ' File is classified as "' || ai_category || '"' || CASE WHEN ai_confidence > 0 THEN ' (' || ai_confidence || '% confidence)' ELSE '' END || '.' ELSE '' END AS match_explanation FROM e""")
 def _(spark, sf):
     f = {"ai_category": "Invoices", "extension": ".pdf", "extensions": ["pdf", "txt"], "risk_level": "low"}
-    return S.score_findings(searchable(spark, sf), "Invoice Documents 1", f).select("finding_id", "matched_factors", "match_explanation")
+    s = S.score_findings(searchable(spark, sf), "Invoice Documents 1", f)
+    return s.select("finding_id", F.array_join("matched_factors", "; ").alias("factors"), "match_explanation")
 
 
 @query("T1_numbered_page", _SEARCH + """SELECT finding_id, row_number, total FROM (SELECT finding_id, row_number() OVER (ORDER BY size_bytes DESC, finding_id) AS row_number,

@@ -6,10 +6,12 @@ from pyspark.sql import functions as F
 
 from filarium import constants as K
 from filarium.functions import re2_regex
-from filarium.operators import textops as X, vectors as E
+from filarium.operators import index_store as I, textops as X, vectors as E
+from filarium.operators.skew import latest
 from filarium.plans import sqlviews as V
-from filarium.plans.file_queries import contents
+from filarium.plans.file_queries import TEXTS, contents
 from filarium.plans.registry import lst, q, query, with_
+from filarium.session import checkpoint_path
 from filarium.sources import files as S, views
 
 
@@ -103,10 +105,19 @@ def _(spark, sf):
     return X.summarize(views.extracted_v(spark, sf)).select("finding_id", "summary")
 
 
-@query("X10_extraction_job")
+_KNOWN = """job AS (SELECT finding_id, t.extractor, CASE WHEN t.extractor = 'pdf' THEN trim(CASE WHEN length(content) >= 2 THEN regexp_replace(content, '[()\\\\]', ' ', 'g') || ' ' ELSE '' END || 'second part', e' \\t\\n\\r') ELSE text END AS text
+  FROM texts t JOIN files USING (finding_id))"""
+_JOB_LABELS = f"list_aggregate(list_sort(list_distinct(list_filter([{_LABELS}], lambda x: x IS NOT NULL))), 'string_agg', ',')"
+
+
+@query("X10_extraction_job", with_(V.FILES, TEXTS, _KNOWN, V.entity_rows("job", "finding_id", "text"), "found AS (SELECT finding_id, count(*) AS n FROM ents GROUP BY finding_id)",
+       body=f"""SELECT finding_id, extractor, CASE WHEN extractor IS NOT NULL THEN false END AS truncated, coalesce({_JOB_LABELS}, '') AS sensitive_categories, coalesce(n, 0) AS entities,
+  CASE WHEN extractor IS NULL THEN 'no extractor for this file type' END AS skip_reason FROM job LEFT JOIN found USING (finding_id)"""))
 def _(spark, sf):
     j = X.extraction_job(contents(spark, sf))
-    return j.select("finding_id", "extractor", "truncated", "sensitive_categories", F.size("entities").alias("entities"), "skip_reason")
+    labels = F.coalesce(F.array_join(F.array_sort("sensitive_categories"), ","), F.lit(""))
+    return j.select("finding_id", "extractor", "truncated", labels.alias("sensitive_categories"),
+                    F.greatest(F.size("entities"), F.lit(0)).cast("bigint").alias("entities"), "skip_reason")
 
 
 @query("W3_latest_extraction", "SELECT conv_id AS finding_id, turn AS extracted_id, md5(text) AS digest FROM conversations QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) = 1")
@@ -186,6 +197,29 @@ def _(spark, sf):
     return E.index_coverage(x, E.build_index(x))
 
 
+_REBUILT = f"SELECT finding_id, chunk_index, md5(chunk_text) AS passage, '{K.EMBED_MODEL}' AS model, 128 AS dimensionality FROM ck"
+
+
+def rebuilt(spark, sf) -> str:
+    """Folder of an index of the oldest extractions that was then brought to the newest ones."""
+    out, x = checkpoint_path(spark, "index"), views.extracted_v(spark, sf)
+    I.update(out, latest(x, ["finding_id"], ["created_at", "extracted_id"], oldest=True))
+    I.update(out, x)
+    return out
+
+
+@query("E6_index_rebuilt", with_(_LAST, chunk_ctes("lastx", "finding_id", lossless=True), body=_REBUILT))
+def _(spark, sf):
+    return I.read(spark, rebuilt(spark, sf)).select("finding_id", "chunk_index", F.md5("chunk_text").alias("passage"), "model", "dimensionality")
+
+
+@query("E13_index_removed", with_(_LAST, chunk_ctes("lastx", "finding_id", lossless=True), body=_REBUILT + " WHERE finding_id NOT IN (SELECT doc_id FROM labels WHERE toxic >= 1)"))
+def _(spark, sf):
+    out = rebuilt(spark, sf)
+    I.remove(spark, out, views.load(spark, sf, "labels").where("toxic >= 1").select(F.col("doc_id").alias("finding_id")))
+    return I.read(spark, out).select("finding_id", "chunk_index", F.md5("chunk_text").alias("passage"), "model", "dimensionality")
+
+
 @query("A15_index_stats", with_(V.CHUNKS, body="SELECT 'stored' AS model, count(*) AS total_chunks, count(DISTINCT finding_id) AS embedded_findings FROM chunks"))
 def _(spark, sf):
     return E.index_stats(views.chunks_v(spark, sf))

@@ -87,3 +87,56 @@ def prose(seed, n):
     r = random.Random(seed)
     words = ["".join(r.choice("aeioulnrst") for _ in range(r.randint(2, 9))) for _ in range(max(40, n // 3))]
     return " ".join(r.choice(words) + ("\n" if i % 17 == 16 else "") for i in range(n))
+
+
+def url_templates(urls, prior=10.0, children=12, each=4, deviate=1.96):
+    """{(host, segments): (template, purity)} from rows (host, segments, label or None), by recursion."""
+    labelled = [x for _, _, x in urls if x is not None]
+    good = 1 - sum(labelled) / len(labelled) if labelled else 1.0
+    smooth = lambda n, bad, above: (n - bad + prior * above) / (n + prior)
+    out = {}
+
+    def counts(rows):
+        known = [x for _, _, x in rows if x is not None]
+        return len(known), sum(known)
+
+    def grow(host, node, rows, purity):
+        n, bad = counts(rows)
+        if not 0 < bad < n:
+            for full, rest, _ in rows:
+                out[host, full] = (node + ("/**" if rest else ""), purity)
+            return
+        kids = defaultdict(list)
+        for row in rows:
+            kids[row[1][0] if row[1] else ""].append(row)
+        rare = {s for s, r in kids.items() if s and len(r) < each}
+        pieces = defaultdict(list)
+        for s, r in kids.items():
+            pieces["*" if s in rare and len(rare) >= children else s.replace("*", "%2A")] += r
+
+        def apart(m, b):
+            if m == 0 or m == n:
+                return False
+            share = bad / n
+            error = (max(share * (1 - share), 1e-3) * (1 / m + 1 / (n - m))) ** 0.5
+            return abs(b / m - (bad - b) / (n - m)) > deviate * error
+
+        differ = {p: apart(*counts(r)) for p, r in pieces.items()}
+        alike = counts([x for p, r in pieces.items() if not differ[p] for x in r])
+        for p, r in pieces.items():
+            own = smooth(*counts(r), purity) if differ[p] else smooth(*alike, purity) if any(differ.values()) else purity
+            if p == "":
+                for full, _, _ in r:
+                    out[host, full] = (node, own)
+                continue
+            tails = [rest[1:] for _, rest, _ in r]
+            shared = 0
+            while all(len(t) > shared for t in tails) and len({t[shared] for t in tails}) == 1:
+                shared += 1
+            path = [p] + [s.replace("*", "%2A") for s in tails[0][:shared]]
+            grow(host, node + "/" + "/".join(path), [(full, rest[1 + shared:], x) for full, rest, x in r], own)
+
+    for host in {h for h, _, _ in urls}:
+        rows = [(s, s, x) for h, s, x in urls if h == host]
+        grow(host, "", rows, smooth(*counts(rows), good))
+    return out

@@ -1,6 +1,7 @@
 """Archives, secrets, urls, pseudonyms, neighbours, and the pipeline."""
 
 import io
+import random
 import re
 import zipfile
 
@@ -167,6 +168,43 @@ def test_url_odd_and_templates(spark):
     assert all("*" in r.template for r in out)
 
 
+def _templates(spark, rows):
+    """Templates by the operator and by the plain version, of rows (url, number, poor or None)."""
+    pages = spark.createDataFrame([(i, u) for i, (u, _, _) in enumerate(rows)], "page_id long, url string")
+    labels = spark.createDataFrame([(n, x) for _, n, x in rows if x is not None], "number long, poor int")
+    got = {r.page_id: r for r in url_filter.judge(pages, labels, rules=[]).collect()}
+    plain = []
+    for u, _, x in rows:
+        m = re.match(r"(?s).*?://([^/?#]*)([^?#]*)", u)
+        plain.append((m[1], tuple(s for s in m[2].split("/") if s), x))
+    want = brute.url_templates(plain)
+    for i, (h, s, _) in enumerate(plain):
+        template, purity = want[h, s]
+        assert (got[i].template, got[i].purity) == (template, pytest.approx(purity, abs=2e-6)), rows[i]
+        assert got[i].verdict == ("block" if purity < url_filter.PURITY else "allow")
+    return got
+
+
+def test_url_tree_equals_recursion(spark):
+    rnd = random.Random(4)
+    rows = []
+    for i in range(1500):
+        deep = [rnd.choice(["news", "ads", "v1", "v2", "a*b", "日本"]) for _ in range(rnd.randrange(7))]
+        poor = int("ads" in deep[:3] and "v2" in deep) if rnd.random() < 0.9 else rnd.randrange(2)
+        rows.append((f"http://h{min(i % 7, 3)}.com/{i}/" + "/".join(deep) + rnd.choice(["", "/", "//x"]), i, poor if i % 3 else None))
+    _templates(spark, rows)
+
+
+def test_url_branches_below_the_fifth_segment(spark):
+    rows = [(f"http://s.com/{i}/a/b/c/d/e/f/v{1 + i % 2}/" + "x/" * (i % 5), i, i % 2 if i % 3 else None) for i in range(600)]
+    # poor and good trade places between two branches that are alike on the whole
+    rows += [(f"http://t.org/{i}/{'ab'[i % 2]}/v{i // 2 % 2}/page", i, (i + i // 2) % 2) for i in range(1000, 1400)]
+    got = _templates(spark, rows)
+    assert all(got[i].verdict == ("block" if i % 2 else "allow") for i in range(600))
+    assert all(got[i].verdict == ("block" if (i + i // 2) % 2 else "allow") for i in range(600, 1000))
+    assert {r.template for r in got.values() if r.host == "s.com"} == {"/*/a/b/c/d/e/f/v1", "/*/a/b/c/d/e/f/v1/**", "/*/a/b/c/d/e/f/v2", "/*/a/b/c/d/e/f/v2/**"}
+
+
 # ---- pseudonyms
 
 VALUES = ["4619371987058971", "4619 3719 8705 8971", "DE89370400440532013000", "GB82 WEST 1234 5698 7654 32", "123-45-6789", "+1 (264) 555-1012",

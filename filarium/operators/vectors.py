@@ -50,15 +50,21 @@ def _tokens(text: str | None) -> list[str]:
             if len(t) >= 2 and t not in _STOPS]
 
 
-def _hash_on(state: np.ndarray, code: np.ndarray, chars: np.ndarray, length: np.ndarray) -> np.ndarray:
-    """Carry FNV states on over the characters of the words ``code``."""
-    state, live, prime = state.copy(), np.arange(len(code)), np.uint32(K.FNV_PRIME)
-    for j in range(chars.shape[1]):
-        live = live[length[code[live]] > j]
-        if len(live) == 0:
-            break
-        state[live] = (state[live] ^ chars[code[live], j]) * prime
-    return state
+class _Words:
+    """Distinct words of a batch, end to end: memory is their total length, however long one is."""
+
+    def __init__(self, words):
+        self.chars = np.frombuffer("".join(words).encode("ascii"), np.uint8).astype(np.uint32)
+        self.length = np.array([len(w) for w in words], np.int64)
+        self.start = np.cumsum(self.length) - self.length
+
+    def hash_on(self, state: np.ndarray, code: np.ndarray) -> np.ndarray:
+        """Carry FNV states on over the characters of the words ``code``."""
+        state, live, prime = state.copy(), np.arange(len(code)), np.uint32(K.FNV_PRIME)
+        for j in range(int(self.length[code].max(initial=0))):
+            live = live[self.length[code[live]] > j]
+            state[live] = (state[live] ^ self.chars[self.start[code[live]] + j]) * prime
+        return state
 
 
 def embed_batch(texts) -> np.ndarray:
@@ -69,15 +75,12 @@ def embed_batch(texts) -> np.ndarray:
     if count.sum() == 0:
         return out.astype(np.float32)
     code, vocabulary = pd.factorize(np.array([w for t in per_text for w in t], dtype=object))
-    packed = np.array(vocabulary, dtype="S")
-    chars = packed.view(np.uint8).reshape(len(packed), -1).astype(np.uint32)
-    length = np.array([len(w) for w in vocabulary])
-    start = np.full(len(packed), K.FNV_OFFSET, dtype=np.uint32)
-    word = _hash_on(start, np.arange(len(packed)), chars, length)
+    words = _Words(vocabulary)
+    word = words.hash_on(np.full(len(vocabulary), K.FNV_OFFSET, dtype=np.uint32), np.arange(len(vocabulary)))
     owner = np.repeat(np.arange(len(count)), count)
     pair = np.flatnonzero(owner[1:] == owner[:-1])  # neighbours within a text
     colon = (word[code[pair]] ^ np.uint32(ord(":"))) * np.uint32(K.FNV_PRIME)
-    first = np.concatenate([word[code], _hash_on(colon, code[pair + 1], chars, length)])
+    first = np.concatenate([word[code], words.hash_on(colon, code[pair + 1])])
     owner = np.concatenate([owner, owner[pair]])
     second = first
     for ch in "_b":

@@ -43,15 +43,19 @@ def _(spark, sf):
 
 
 @query("X4_split_sentences", """WITH m AS (SELECT conv_id, turn, regexp_replace(text, '([.!?])\\s+', '\\1' || chr(1), 'g') AS t FROM conversations)
-SELECT conv_id, turn, len(list_filter(list_transform(regexp_split_to_array(t, '[\\x01\\n]'), lambda s: trim(s, e' \\t\\n\\r')), lambda s: s <> '')) AS sentences FROM m""")
+SELECT conv_id, turn, len(s) AS sentences, md5(array_to_string(s, chr(1))) AS digest
+FROM (SELECT *, list_filter(list_transform(regexp_split_to_array(t, '[\\x01\\n]'), lambda s: trim(s, e' \\t\\n\\r')), lambda s: s <> '') AS s FROM m)""")
 def _(spark, sf):
     c = views.load(spark, sf, "conversations")
-    return c.select("conv_id", "turn", F.size(X.split_sentences(F.col("text"))).cast("bigint").alias("sentences"))
+    parts = X.split_sentences(F.col("text"))
+    return c.select("conv_id", "turn", F.size(parts).cast("bigint").alias("sentences"), F.md5(F.array_join(parts, "\x01")).alias("digest"))
 
 
-@query("X5_split_paragraphs", "SELECT doc_id, len(list_filter(list_transform(regexp_split_to_array(text, '\\n{2,}'), lambda s: trim(s, e' \\t\\n\\r')), lambda s: s <> '')) AS paragraphs FROM documents")
+@query("X5_split_paragraphs", """SELECT doc_id, len(p) AS paragraphs, md5(array_to_string(p, chr(1))) AS digest
+FROM (SELECT doc_id, list_filter(list_transform(regexp_split_to_array(text, '\\n{2,}'), lambda s: trim(s, e' \\t\\n\\r')), lambda s: s <> '') AS p FROM documents)""")
 def _(spark, sf):
-    return docs(spark, sf).select("doc_id", F.size(X.split_paragraphs(F.col("text"))).cast("bigint").alias("paragraphs"))
+    parts = X.split_paragraphs(F.col("text"))
+    return docs(spark, sf).select("doc_id", F.size(parts).cast("bigint").alias("paragraphs"), F.md5(F.array_join(parts, "\x01")).alias("digest"))
 
 
 _WS = "e' \\t\\n\\r'"

@@ -5,7 +5,10 @@ from __future__ import annotations
 import json
 import re
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from filarium import constants as K
@@ -144,14 +147,27 @@ def to_json_rows(df: DataFrame) -> DataFrame:
     return df.select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("value"))
 
 
-@F.pandas_udf(T.BinaryType())
-def pack_vector(vectors: pd.Series) -> pd.Series:
-    """array<float> to little-endian float32 bytes."""
-    return vectors.map(lambda v: None if v is None else pd.array(v).to_numpy("<f4").tobytes())
+def _column(kind: pa.DataType, column: pa.Array, ends: np.ndarray, *data: pa.Buffer | pa.Array) -> pa.Array:
+    """Array of lists or bytes with the nulls of ``column``, from the ends of its rows and all their values."""
+    known = pa.py_buffer(np.packbits(column.is_valid().to_numpy(zero_copy_only=False), bitorder="little").tobytes())
+    offsets = pa.py_buffer(np.r_[0, ends].astype("<i4").tobytes())
+    buffers, children = ([known, offsets, *data], []) if pa.types.is_binary(kind) else ([known, offsets], list(data))
+    return pa.Array.from_buffers(kind, len(column), buffers, children=children)
 
 
-@F.pandas_udf(T.ArrayType(T.FloatType()))
-def unpack_vector(blobs: pd.Series) -> pd.Series:
-    """Little-endian float32 bytes to array<float>."""
-    import numpy as np
-    return blobs.map(lambda b: None if b is None else np.frombuffer(b, "<f4"))
+@F.arrow_udf(T.BinaryType())
+def pack_vector(vectors: pa.Array) -> pa.Array:
+    """array<float> to little-endian float32 bytes, a batch at a time; a null component becomes NaN."""
+    values = vectors.flatten().cast(pa.float32()).fill_null(float("nan")).to_numpy().astype("<f4")
+    sizes = pc.fill_null(pc.list_value_length(vectors), 0).to_numpy().astype(np.int64)
+    return _column(pa.binary(), vectors, np.cumsum(sizes) * 4, pa.py_buffer(values.tobytes()))
+
+
+@F.arrow_udf(T.ArrayType(T.FloatType()))
+def unpack_vector(blobs: pa.Array) -> pa.Array:
+    """Little-endian float32 bytes to array<float>, a batch at a time."""
+    sizes = pc.fill_null(pc.binary_length(blobs), 0).to_numpy().astype(np.int64)
+    if (sizes % 4).any():
+        raise ValueError("packed vectors are whole 4-byte numbers")
+    values = np.frombuffer(b"".join(blobs.drop_null().to_pylist()), "<f4")
+    return _column(pa.list_(pa.float32()), blobs, np.cumsum(sizes) // 4, pa.array(values, pa.float32()))

@@ -264,3 +264,26 @@ def test_summary_and_chunk_ranking(spark):
     c = spark.createDataFrame([(1, 1, 0, "sink and tap", "kitchen sink"), (1, 1, 1, "nothing here", "kitchen sink"), (1, 1, 2, "sink", "kitchen sink")],
                               "doc_id long, query_id long, chunk_index int, chunk_text string, query string")
     assert [r.chunk_index for r in X.top_chunks(c, 2).orderBy("rank").collect()] == [2, 0]
+
+
+def test_embedding_of_a_very_long_token():
+    long = "ab" * 50_000
+    texts = [" ".join(f"w{i}x{j}" for j in range(40)) for i in range(50)]
+    mixed = V.embed_batch(texts + [long, f"{long} sink"])
+    assert np.allclose(mixed[:50], V.embed_batch(texts)) and np.allclose(mixed[50:], V.embed_batch([long, f"{long} sink"]))
+    assert np.allclose((mixed * mixed).sum(axis=1), 1, atol=1e-5)
+
+
+def test_packed_vectors(spark):
+    import struct
+
+    from filarium.sources import files as S
+    rows = [(1, [1.0, -2.5]), (2, None), (3, []), (4, [0.1]), (5, [None, 3.0]), (6, None)]
+    df = spark.createDataFrame(rows, "id int, v array<float>").repartition(2)
+    packed = df.select("id", S.pack_vector("v").alias("b"))
+    got = {r.id: r.b and bytes(r.b) if r.b is not None else None for r in packed.collect()}
+    assert got[1] == struct.pack("<2f", 1.0, -2.5) and got[2] is None and got[3] == b"" and got[6] is None
+    assert got[4] == struct.pack("<f", 0.1) and got[5][4:] == struct.pack("<f", 3.0) and math.isnan(struct.unpack("<2f", got[5])[0])
+    back = {r.id: r.v for r in packed.select("id", S.unpack_vector("b").alias("v")).collect()}
+    assert back[1] == [1.0, -2.5] and back[2] is None and back[3] == [] and math.isnan(back[5][0]) and back[5][1] == 3.0
+    assert packed.limit(0).select(S.unpack_vector("b").alias("v")).count() == 0

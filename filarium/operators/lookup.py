@@ -9,7 +9,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from filarium.operators.skew import SALTS
+from filarium.operators.skew import join_hot
+from filarium.session import cut_lineage
 
 RUN = 3
 #: Days of a date bucket at each level; a range is cut into the largest buckets that lie in it.
@@ -61,14 +62,13 @@ def offered_runs(texts: list[str], sizes: list[int]) -> Column:
 def meet(rows: DataFrame, offered: Column, asked: DataFrame, row_id: str) -> DataFrame:
     """Rows beside the queries that ask for one of their keys; ``asked`` has a row for each ``_key`` of a query.
 
-    Only keys that are asked for are offered. Rows of a key are dealt to SALTS sub-keys by a hash of the
-    row, so that a hot one is spread over tasks; the queries, far fewer, go to each.
+    Only keys that are asked for are offered. Rows of a hot key are dealt to sub-keys by a hash of the
+    row, so that it is spread over tasks; the queries, far fewer, go to each.
     """
     wanted = asked.select("_key").distinct()
-    posts = (rows.withColumn("_key", F.explode(offered)).join(wanted, "_key", "left_semi")
-             .withColumn("_salt", F.pmod(F.xxhash64(row_id), F.lit(SALTS)).cast("int")))
-    return (posts.join(asked.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), ["_key", "_salt"])
-            .drop("_key", "_salt"))
+    posts = rows.withColumn("_key", F.explode(offered)).join(wanted, "_key", "left_semi")
+    sizes = cut_lineage(rows.select(F.explode(offered).alias("_key")).join(wanted, "_key", "left_semi").groupBy("_key").agg(F.count("*").alias("_n")))
+    return join_hot(posts, asked, ["_key"], "_n", [row_id], weights=sizes).drop("_key")
 
 
 def day_of(ts: Column) -> Column:

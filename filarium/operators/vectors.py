@@ -11,12 +11,16 @@ from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from filarium import constants as K
 from filarium.functions import percent_text, strings
-from filarium.operators.search import batch_search
+from filarium.operators.search import ask_once, batch_search, for_alike
 from filarium.operators.skew import latest
 from filarium.operators.textops import chunk_text
+from filarium.session import cut_lineage
 
-# Queries of a block and chunks of a slice, about; scores that a task holds at once.
+# Queries that meet a slice in one task, and of those the ones that are scored together, about.
+QUERY_SHARE = 32768
 QUERY_BLOCK = 4096
+# Chunks of a slice, about: fewer for each core to have one; scores that a task holds at once.
+CHUNK_SLICE = 65536
 CHUNK_TILE = 8192
 SCORES = 1 << 22
 
@@ -219,7 +223,8 @@ def score_chunks(chunks: DataFrame, queries: DataFrame, k: int | None, min_score
     """
     chunks = chunks.select("finding_id", "chunk_id", "vector").filter("size(vector) > 0")
     queries = queries.select("query_id", "vector").filter("size(vector) > 0")
-    blocks, slices = max(1, -(-queries.count() // QUERY_BLOCK)), max(1, -(-chunks.count() // CHUNK_TILE))
+    n, cores = chunks.count(), chunks.sparkSession.sparkContext.defaultParallelism
+    blocks, slices = max(1, -(-queries.count() // QUERY_SHARE)), max(1, -(-n // CHUNK_SLICE), min(cores, -(-n // CHUNK_TILE)))
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     share = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
     rows = (queries.select(F.size("vector").alias("width"), share("query_id", blocks).alias("block"), every(slices).alias("slice"), F.lit(0).alias("role"),
@@ -230,25 +235,28 @@ def score_chunks(chunks: DataFrame, queries: DataFrame, k: int | None, min_score
             .sortWithinPartitions("width", "block", "slice", "role", "finding_id", "chunk_id"))
 
     def run(batches):
-        now, asked, open_ = None, [], None
+        now, asked, open_ = None, [], []
         for t in batches:
             keys = np.stack([t.column(i).to_numpy() for i in range(4)], 1)
             cuts = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1).tolist(), len(keys)] if len(keys) else []
             for a, b in zip(cuts, cuts[1:]):
                 cell, part = tuple(keys[a][:3].tolist()), t.slice(a, b - a)
                 if cell != now:
-                    if open_:
-                        yield from open_.rows()
-                    now, asked, open_ = cell, [], None
+                    for top in open_:
+                        yield from top.rows()
+                    now, asked, open_ = cell, [], []
                 ids, more, vectors = part.column(4).to_numpy(), part.column(5).to_numpy(), _matrix(part.column(6), part.num_rows)
                 if keys[a][3] == 0:
                     asked.append((ids, vectors))
                 elif asked or open_:
                     if not open_:
-                        open_, asked = _Top(*map(np.concatenate, zip(*asked)), k, min_score), []
-                    yield from open_.add(ids, more, vectors)
-        if open_:
-            yield from open_.rows()
+                        of, wanted = map(np.concatenate, zip(*asked))
+                        open_ = [_Top(of[i:i + QUERY_BLOCK], wanted[i:i + QUERY_BLOCK], k, min_score) for i in range(0, len(of), QUERY_BLOCK)]
+                        asked = []
+                    for top in open_:
+                        yield from top.add(ids, more, vectors)
+        for top in open_:
+            yield from top.rows()
 
     return rows.drop("cell").mapInArrow(run, _HITS)
 
@@ -281,9 +289,14 @@ def search_texts(index: DataFrame, queries: DataFrame, k: int = K.SEMANTIC_TOP_K
     ``index`` as ``build_index`` makes it; ``queries``: query_id, query. The texts are embedded as the index
     was; ``embedder`` is a column over ``query`` for another model. A text without tokens has no hits.
     """
-    asked = queries.select("query_id", (embed_text(F.col("query")) if embedder is None else embedder).alias("vector"))
+    asked, alike = ask_once(queries.select("query_id", "query"))
+    return for_alike(_search_asked(index, asked, k, min_score, embedder), alike)
+
+
+def _search_asked(index: DataFrame, asked: DataFrame, k: int, min_score: float, embedder: Column | None = None) -> DataFrame:
+    asked = cut_lineage(asked.select("query_id", (embed_text(F.col("query")) if embedder is None else embedder).alias("vector")))
     place = F.col("chunk_index").cast("bigint").alias("chunk_id")
-    hits = semantic_search(index.select("finding_id", place, "vector"), asked, k, min_score)
+    hits = cut_lineage(semantic_search(index.select("finding_id", place, "vector"), asked, k, min_score))
     passages = index.select("finding_id", place, F.col("chunk_text").alias("passage"), "model")
     return hits.join(passages, ["finding_id", "chunk_id"]).withColumnRenamed("chunk_id", "chunk_index")
 
@@ -296,9 +309,11 @@ def hybrid_search(interpreted: DataFrame, findings: DataFrame, entities: DataFra
     search count by their place, the ``k`` best of the texts by their score. Findings of the filtered search
     alone have no passage and no model. Without ``hybrid`` only hits of the texts are listed.
     """
-    listed = batch_search(interpreted, findings, entities, lexical_limit).select("query_id", "finding_id", "position")
+    asked, alike = ask_once(cut_lineage(interpreted))
+    listed = batch_search(asked, findings, entities, lexical_limit).select("query_id", "finding_id", "position")
     lexical = rank_score(listed, ["position"])
-    return hybrid_merge(lexical, search_texts(index, interpreted.select("query_id", "query"), k, min_score), hybrid, k)
+    merged = hybrid_merge(lexical, _search_asked(index, asked.select("query_id", "query"), k, min_score), hybrid, k)
+    return for_alike(cut_lineage(merged), alike)
 
 
 def rank_score(ranked: DataFrame, order: list, by: str = "query_id") -> DataFrame:

@@ -119,6 +119,20 @@ def test_batch_equals_single_searches(spark, found):
         assert [x[1:] for x in sorted(got.get(i, []))] == [(r.finding_id, r.relevance_score) for r in page.collect()], q
 
 
+def test_alike_queries_are_asked_once(spark, found, monkeypatch):
+    _, ents = side(spark)
+    qs = ["invoices over 500 kb", "PDFs", "files related to Alpha Hair"] * 40
+    table = N.interpret_queries(spark.createDataFrame(list(enumerate(qs)), "query_id long, query string"), NOW)
+    met, plain = [], S.meet
+    monkeypatch.setattr(S, "meet", lambda rows, offered, asked, row_id: met.append(asked.count()) or plain(rows, offered, asked, row_id))
+    pairs, pages = (collections.Counter((r.query_id, r.finding_id) for r in f(table, found, ents).collect()) for f in (S.batch_matches, S.batch_search))
+    assert max(met) <= 10 and pairs == pages and set(pairs.values()) == {1}
+    totals = {r.query_id: r.total for r in S.batch_totals(table, found, ents).collect()}
+    for i, q in enumerate(qs):
+        mine = {f for n, f in pairs if n == i}
+        assert mine == {f for n, f in pairs if n == i % 3} and totals[i] == len(mine) > 0, q
+
+
 def test_batch_by_every_access_path_without_broadcast(spark):
     rng = random.Random(5)
     names = ["invoice", "clip", "a", "b_1", "100%", "Résumé", "plan"]

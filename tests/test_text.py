@@ -225,6 +225,16 @@ def test_search_texts_gives_passages(spark):
     assert one.finding_id == 2
 
 
+def test_texts_asked_often_are_embedded_once(spark, monkeypatch):
+    texts, index = text_index(spark)
+    asked = spark.createDataFrame([(i, ["kitchen tap", "LAKE hills"][i % 2]) for i in range(60)], "query_id long, query string")
+    met, plain = [], V.semantic_search
+    monkeypatch.setattr(V, "semantic_search", lambda index, queries, *a: met.append(queries.count()) or plain(index, queries, *a))
+    got = sorted((r.query_id, r.rank, r.finding_id, r.passage) for r in V.search_texts(index, asked, k=2).collect())
+    assert met == [2] and {q for q, *_ in got} == set(range(60))
+    assert got == sorted((q, r, f, p) for q in range(60) for n, r, f, p in got if n == q % 2)
+
+
 def test_hybrid_search_blends_both_lists(spark):
     from datetime import datetime
 

@@ -495,13 +495,17 @@ def project_members(links: DataFrame, findings: DataFrame) -> DataFrame:
 
 
 def project_facets(members: DataFrame, entities: DataFrame) -> DataFrame:
-    """Distinct people, organisations and categories per project as rows."""
+    """Distinct people, organisations and categories per project as rows.
+
+    Hardly two members name the same person, so those rows are dealt out before they are told apart:
+    the task that joins keeps no list of them.
+    """
     people = (members.select("project_id", "finding_id")
               .join(entities.filter(F.col("type").isin("person", "organization") & (F.col("value") != "")), "finding_id")
               .select("project_id", F.col("type").alias("facet"), "value"))
     cats = members.filter("ai_category <> ''").select("project_id", F.lit("category").alias("facet"),
                                                       F.col("ai_category").alias("value"))
-    return people.unionByName(cats).distinct()
+    return people.repartition("project_id", "facet", "value").distinct().unionByName(cats.distinct())
 
 
 def project_timeline(members: DataFrame) -> DataFrame:

@@ -435,3 +435,13 @@ def test_pages_read_only_their_blocks(spark, tmp_path):
     assert total == 2500 and [(r.id, r.score) for r in page.collect()] == want[1970:2030]
     S.write_pages(df.limit(0), order, out)
     assert S.read_page(spark, out, 5)[1] == 0 and R.share_of(df, "score").agg(F.sum("share")).first()[0] > 0.999
+
+
+def test_facets_are_dealt_out_before_they_are_told_apart(spark):
+    from filarium.operators import projects as PR
+    members = spark.createDataFrame([(1, 10, "Legal"), (1, 11, "Legal"), (2, 10, ""), (2, 12, None)], "project_id long, finding_id long, ai_category string")
+    ents = spark.createDataFrame([(10, "person", "Ann"), (11, "person", "Ann"), (12, "organization", "Acme"), (12, "place", "Rome"), (10, "person", "")],
+                                 "finding_id long, type string, value string")
+    out = PR.project_facets(members, ents)
+    assert sorted(tuple(r) for r in out.collect()) == [(1, "category", "Legal"), (1, "person", "Ann"), (2, "organization", "Acme"), (2, "person", "Ann")]
+    assert "REPARTITION_BY_COL" in out._jdf.queryExecution().executedPlan().toString()

@@ -9,7 +9,7 @@ from filarium.operators import vectors as E
 from filarium.plans.registry import query, with_
 from filarium.plans.search_queries import _FINAL3, _MATCH, _Q, _RAW3, _RES, _SEARCH, X11, entities, interpreted, searchable
 from filarium.plans.text_queries import _TOK, chunk_ctes
-from filarium.session import cut_lineage
+from filarium.session import write_table
 from filarium.sources import views
 
 
@@ -17,7 +17,7 @@ def index(spark, sf):
     """Index over the whole texts of the files, as a written table."""
     d = views.load(spark, sf, "documents").select(F.col("doc_id").alias("finding_id"), F.lit(0).alias("created_at"),
                                                   F.col("doc_id").alias("extracted_id"), "text")
-    return cut_lineage(E.build_index(d))
+    return write_table(E.build_index(d), "index")
 
 
 # vectors of chunks and queries: counts by FNV bucket, made unit vectors of single precision

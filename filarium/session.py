@@ -47,3 +47,10 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """
     checkpoint_folder(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def write_table(df: DataFrame, name: str) -> DataFrame:
+    """The rows as compressed Parquet in the shared folder, for tables with long values; a checkpoint is not compressed."""
+    out = checkpoint_path(df.sparkSession, name)
+    df.write.option("compression", "zstd").parquet(out)
+    return df.sparkSession.read.schema(df.schema).parquet(out)

@@ -297,3 +297,45 @@ def test_packed_vectors(spark):
     back = {r.id: r.v for r in packed.select("id", S.unpack_vector("b").alias("v")).collect()}
     assert back[1] == [1.0, -2.5] and back[2] is None and back[3] == [] and math.isnan(back[5][0]) and back[5][1] == 3.0
     assert packed.limit(0).select(S.unpack_vector("b").alias("v")).count() == 0
+
+
+def shuffled_bytes(spark):
+    sc = spark.sparkContext
+    sc._jsc.sc().listenerBus().waitUntilEmpty()
+    none = sc._gateway.new_array(sc._jvm.double, 0)
+    stages = sc._jsc.sc().statusStore().stageList(None, False, False, none, sc._jvm.java.util.ArrayList())
+    return sum(stages.apply(i).shuffleWriteBytes() for i in range(stages.size()))
+
+
+def test_index_leaves_single_texts_in_place(spark):
+    import random
+    r = random.Random(5)
+    rows = [(i, 0, i, " ".join("%016x" % r.getrandbits(64) for _ in range(200))) for i in range(300)]
+    rows += [(7, 1, 900, "newer text"), (None, 1, 901, "b"), (None, 0, 902, "a")]
+    df = spark.createDataFrame(rows, "finding_id long, created_at long, extracted_id long, text string").repartition(4).cache()
+    df.count()
+    before = shuffled_bytes(spark)
+    got = {x.finding_id: x.extracted_id for x in V.build_index(df).select("finding_id", "extracted_id").distinct().collect()}
+    assert got == {**{i: i for i in range(300)}, 7: 900, None: 901}
+    assert shuffled_bytes(spark) - before < sum(len(x[3]) for x in rows) / 4
+    old = {x.finding_id: x.extracted_id for x in V.build_index(df, oldest=True).select("finding_id", "extracted_id").distinct().collect()}
+    assert old == {**{i: i for i in range(300)}, None: 902}
+
+
+def test_search_leaves_other_passages_in_place(spark):
+    import random
+    r = random.Random(6)
+    texts = [" ".join("%016x" % r.getrandbits(64) for _ in range(60)) for _ in range(2000)]
+    df = spark.createDataFrame([(i, 0, i, t) for i, t in enumerate(texts)], "finding_id long, created_at long, extracted_id long, text string")
+    index = V.build_index(df).cache()
+    vectors = index.count() * K.EMBED_DIM * 4
+    before = shuffled_bytes(spark)
+    queries = spark.createDataFrame([(1, texts[3]), (2, texts[4])], "query_id long, query string")
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        hits = V.search_texts(index, queries, k=1).collect()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    assert {(h.query_id, h.finding_id) for h in hits} == {(1, 3), (2, 4)} and all(h.passage in texts[h.finding_id] for h in hits)
+    assert shuffled_bytes(spark) - before < vectors + sum(map(len, texts)) / 4

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from filarium.operators.skew import join_hot
+from filarium.operators.skew import join_hot, with_mark
 from filarium.session import cut_lineage
 
 RUN = 3
@@ -66,8 +66,14 @@ def meet(rows: DataFrame, offered: Column, asked: DataFrame, row_id: str) -> Dat
     row, so that it is spread over tasks; the queries, far fewer, go to each.
     """
     wanted = asked.select("_key").distinct()
-    posts = rows.withColumn("_key", F.explode(offered)).join(wanted, "_key", "left_semi")
-    sizes = cut_lineage(rows.select(F.explode(offered).alias("_key")).join(wanted, "_key", "left_semi").groupBy("_key").agg(F.count("*").alias("_n")))
+
+    def posted(*columns):
+        # a bitmap drops the keys that nobody asks for before they are shuffled
+        posts = with_mark(rows.select(*columns, F.explode(offered).alias("_key")), wanted, ["_key"])
+        return posts.filter("_marked").drop("_marked").join(wanted, "_key", "left_semi")
+
+    posts = posted("*")
+    sizes = cut_lineage(posted().groupBy("_key").agg(F.count("*").alias("_n")))
     return join_hot(posts, asked, ["_key"], "_n", [row_id], weights=sizes).drop("_key")
 
 

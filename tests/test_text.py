@@ -339,3 +339,18 @@ def test_search_leaves_other_passages_in_place(spark):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
     assert {(h.query_id, h.finding_id) for h in hits} == {(1, 3), (2, 4)} and all(h.passage in texts[h.finding_id] for h in hits)
     assert shuffled_bytes(spark) - before < vectors + sum(map(len, texts)) / 4
+
+
+def test_keys_that_nobody_asks_for_are_not_shuffled(spark):
+    from filarium.operators import lookup as L
+    rows = spark.range(0, 20_000, 1, 4).withColumn("keys", F.transform(F.sequence(F.lit(0), F.lit(39)), lambda i: F.xxhash64("id", i).cast("string")))
+    asked = rows.filter("id < 50").select(F.col("id").alias("query_id"), F.get("keys", F.lit(3)).alias("_key"))
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    before = shuffled_bytes(spark)
+    try:
+        got = L.meet(rows, F.col("keys"), asked, "id").select("query_id", "id").collect()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    assert sorted((r.query_id, r.id) for r in got) == [(i, i) for i in range(50)]
+    assert shuffled_bytes(spark) - before < 1_000_000

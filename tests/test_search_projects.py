@@ -445,3 +445,39 @@ def test_facets_are_dealt_out_before_they_are_told_apart(spark):
     out = PR.project_facets(members, ents)
     assert sorted(tuple(r) for r in out.collect()) == [(1, "category", "Legal"), (1, "person", "Ann"), (2, "organization", "Acme"), (2, "person", "Ann")]
     assert "REPARTITION_BY_COL" in out._jdf.queryExecution().executedPlan().toString()
+
+
+def tile_rows_of(n, side=None):
+    import numpy as np
+    import pandas as pd
+    rng = random.Random(n)
+    rows = []
+    for i in range(n):
+        folder = [rng.randrange(5), 10 + rng.randrange(20)]
+        rows.append((i, np.array([folder[0], 100 * folder[0] + folder[1], 10**6 + i]), np.array(rng.sample(range(8), rng.randrange(1, 4))),
+                     np.array(rng.sample(range(30), rng.randrange(2))), np.array([rng.randrange(9), 10**6 + i]), rng.randrange(6), True, i * 3_600_000,
+                     np.array([rng.random() for _ in range(4)], "f4") if i % 3 == 0 else None, np.array([i // 9][:i % 2]), np.array([i // 7][:i % 2]),
+                     np.array([1, 5, 9 + i % 3]), 5, 0, 0 if side is None else 1, 0 if side is None else side(i)))
+    return pd.DataFrame(rows, columns="id prefixes tags ents toks cat has_cat ms vector approved rejected keys key lo hi side".split())
+
+
+@pytest.mark.parametrize("side", [None, lambda i: i % 5 // 3])
+def test_tile_in_pieces(monkeypatch, side):
+    rows = tile_rows_of(300, side).assign(key=1)  # no pair counts in an earlier block
+    want = sorted(P._score_tiles(rows))
+    assert sum(r[2] for r in want) > 100
+    monkeypatch.setattr(P, "CHUNK", 37)
+    got = sorted(P._score_tiles(rows))
+    assert [r[:3] for r in got] == [r[:3] for r in want]
+    assert all(abs(x - y) < 1e-6 for a, b in zip(got, want) for x, y in zip(a[3:], b[3:]))
+    assert sum(r[2] for r in P._score_tiles(rows.assign(key=5))) == 0  # all share key 1, which is smaller
+
+
+def test_large_tile_takes_bounded_memory():
+    import tracemalloc
+    rows = tile_rows_of(3000)
+    tracemalloc.start()
+    P._score_tiles(rows)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 250e6

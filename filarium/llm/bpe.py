@@ -175,12 +175,14 @@ def _plainer(texts: pa.Array) -> pa.Array:
     return pc.ascii_lower(texts)
 
 
-def token_stream(batches, encode: Callable[[list[str]], list[bytes]], name: str = "text") -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
+def token_stream(batches, encode: Callable[[list[str]], list[bytes]], name: str = "text",
+                 cache: dict[str, bytes] | None = None) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
     """Batches of bounded size with the ids of each row's whole text; null counts as empty.
 
-    ``encode`` takes pieces without ASCII white space. Short pieces are kept for later batches.
+    ``encode`` takes pieces without ASCII white space. Short pieces are kept for later batches,
+    and in a given ``cache`` for later calls with the same encoder.
     """
-    cache: dict[str, bytes] = {}
+    cache = {} if cache is None else cache
     for batch in batches:
         column = batch.column(batch.schema.get_field_index(name))
         sizes = pc.fill_null(pc.utf8_length(column), 0).to_numpy(zero_copy_only=False)
@@ -192,7 +194,8 @@ def token_stream(batches, encode: Callable[[list[str]], list[bytes]], name: str
             pieces, index = coded.dictionary.to_pylist(), coded.indices.to_numpy()
             new = [p for p in pieces if p not in cache]
             if len(cache) + len(new) > _CACHE_WORDS:
-                cache, new = {}, pieces
+                cache.clear()
+                new = pieces
             fresh = dict(zip(new, encode(new)))
             ids = [fresh[p] if p in fresh else cache[p] for p in pieces]
             cache.update((p, v) for p, v in fresh.items() if len(p) <= _CACHE_CHARS)

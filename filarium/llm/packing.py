@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import os
 import zlib
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -59,13 +60,20 @@ def library_encoder(path: str, group: int = 2000):
     return encode
 
 
+@lru_cache(maxsize=1)
+def worker_encoder(path: str):
+    """Encoder of a file and the pieces it has met, kept by a Python worker from task to task."""
+    return library_encoder(path), {}
+
+
 def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, with_ids: bool = False) -> DataFrame:
     """Rows (doc_id, piece, start, length, ids_crc32): a text's ids and an end id, cut at the capacity.
 
     Null and empty texts give the end id alone. ``with_ids`` adds the ids.
     """
     def run(batches):
-        for part, rows in token_stream(batches, library_encoder(path)):
+        encode, met = worker_encoder(path)
+        for part, rows in token_stream(batches, encode, cache=met):
             owner, number, start, length, crc, ids = [], [], [], [], [], []
             for r, tokens in enumerate(rows):
                 tokens = np.append(tokens, np.uint32(END)).astype("<u4")

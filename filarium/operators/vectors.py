@@ -23,6 +23,8 @@ QUERY_BLOCK = 4096
 CHUNK_SLICE = 65536
 CHUNK_TILE = 8192
 SCORES = 1 << 22
+# Characters of the texts that are embedded together, about.
+EMBED_CHARS = 1 << 20
 
 
 def tokenize(text: Column) -> Column:
@@ -72,7 +74,17 @@ class _Words:
 
 
 def embed_batch(texts) -> np.ndarray:
-    """Unit vectors of a batch of texts; a text without tokens has a zero vector."""
+    """Unit vectors of a batch of texts; a text without tokens has a zero vector.
+
+    Texts are taken together up to EMBED_CHARS characters, so memory does not grow with the batch.
+    """
+    texts = list(texts)
+    group = np.cumsum([len(t or "") for t in texts]) // EMBED_CHARS
+    cuts = [0, *(np.flatnonzero(np.diff(group)) + 1).tolist(), len(texts)]
+    return np.concatenate([_embed(texts[a:b]) for a, b in zip(cuts, cuts[1:])])
+
+
+def _embed(texts: list) -> np.ndarray:
     per_text = [_tokens(t) for t in texts]
     count = np.array([len(t) for t in per_text], dtype=np.int64)
     out = np.zeros((len(per_text), K.EMBED_DIM))

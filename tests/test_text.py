@@ -354,3 +354,18 @@ def test_keys_that_nobody_asks_for_are_not_shuffled(spark):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
     assert sorted((r.query_id, r.id) for r in got) == [(i, i) for i in range(50)]
     assert shuffled_bytes(spark) - before < 1_000_000
+
+
+def test_embedding_memory_does_not_grow_with_the_batch():
+    import random
+    import tracemalloc
+    r = random.Random(7)
+    words = ["%05x" % i for i in range(3000)]
+    texts = [" ".join(r.choices(words, k=100)) for _ in range(8000)] + [None, ""]
+    tracemalloc.start()
+    vectors = V.embed_batch(texts)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 60e6
+    assert (vectors[[5, 7999, 8001]] == V.embed_batch([texts[5], texts[7999], ""])).all()
+    assert V.embed_batch([]).shape == (0, K.EMBED_DIM)

@@ -9,10 +9,12 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from filarium import constants as K
 from filarium.functions import ext_norm, extension, lookup, trim_ws
+from filarium.session import cut_lineage
 
 
 def load(spark: SparkSession, folder: str, table: str) -> DataFrame:
@@ -128,18 +130,44 @@ def extract_with(files: DataFrame, reader: Column) -> DataFrame:
 
 def write_scan(out: str, findings: DataFrame, classifications: DataFrame, tags: DataFrame,
                files: DataFrame, mode: str = "overwrite") -> None:
-    """Write the tables of a scan, partitioned by scan.
+    """Write the tables of a scan, a folder for each 64 neighbouring scans.
 
-    A scan written again replaces its own partitions and leaves those of other scans; tables
-    without a scan are replaced as a whole, or grow with ``mode="append"``.
+    A scan written again replaces its own rows and leaves those of other scans, which are written
+    anew with their folder: one writer at a time. Tables without a scan are replaced as a whole. All
+    tables grow with ``mode="append"``.
     """
     tables = {"findings": findings, "ai_classifications": classifications,
               "semantic_tags": tags.dropDuplicates(["finding_id", "tag"]), "files": files}
     for name, df in tables.items():
-        writer = df.write.mode(mode)
+        path = f"{out}/{name}"
         if "scan_id" in df.columns:
-            writer = writer.partitionBy("scan_id").option("partitionOverwriteMode", "dynamic")
-        writer.parquet(f"{out}/{name}")
+            if mode == "overwrite":
+                df = _with_neighbours(df, path)
+            # a folder's rows come together, so that files follow the folders and not tasks times folders; a large one is split
+            df = df.withColumn("scan_block", _scan_block()).hint("rebalance", "scan_block")
+            df.write.mode(mode).partitionBy("scan_block").option("partitionOverwriteMode", "dynamic").parquet(path)
+        else:
+            df.write.mode(mode).parquet(path)
+
+
+def _scan_block() -> Column:
+    return F.shiftright("scan_id", 6)
+
+
+def _with_neighbours(df: DataFrame, path: str) -> DataFrame:
+    """The rows, and those of other scans in the folders of the table at ``path`` that they replace."""
+    try:
+        old = df.sparkSession.read.option("mergeSchema", "true").parquet(path)
+    except AnalysisException as e:  # no table, or one without rows
+        if e.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            raise
+        return df
+    df = cut_lineage(df)  # used three times, and must name the same scans each time
+    scans = df.select(F.col("scan_id").alias("_scan"), _scan_block().alias("_block")).distinct()
+    blocks = scans.select("_block").distinct()
+    others = (old.join(blocks, F.col("scan_block").eqNullSafe(F.col("_block")), "left_semi")
+              .join(scans.select("_scan"), F.col("scan_id").eqNullSafe(F.col("_scan")), "left_anti").drop("scan_block"))
+    return df.unionByName(others, allowMissingColumns=True)
 
 
 def to_json_rows(df: DataFrame) -> DataFrame:

@@ -293,3 +293,20 @@ def test_scan_written_again_replaces_itself(spark, tmp_path):
     got = spark.read.parquet(f"{out}/findings")
     assert sorted((r.scan_id, r.finding_id) for r in got.collect()) == [(1, 10), (1, 11), (2, 20)]
     assert spark.read.parquet(f"{out}/semantic_tags").count() == 2
+
+
+def test_scans_share_folders(spark, tmp_path):
+    """Files follow blocks of 64 scans, however the rows were dealt; a scan written again leaves its neighbours whole."""
+    rows = spark.range(0, 2000).select((F.col("id") % 200).alias("scan_id"), F.col("id").alias("finding_id"), F.lit("a").alias("tag"))
+    rows = rows.union(rows.selectExpr("cast(null as long)", "finding_id + 10000", "tag").limit(3)).repartition(8)
+    out = str(tmp_path / "blocks")
+    S.write_scan(out, rows, rows, rows, rows)
+    for table in ("findings", "ai_classifications", "semantic_tags", "files"):
+        assert len(list((tmp_path / "blocks" / table).glob("*/*.parquet"))) <= 5 * 4
+    again = spark.createDataFrame([(7, 99), (300, 98)], "scan_id long, finding_id long")
+    S.write_scan(out, again, again, again.withColumn("tag", F.lit("b")), again)
+    for table in ("findings", "semantic_tags"):
+        got = [(r.scan_id, r.finding_id, r.tag) for r in spark.read.parquet(f"{out}/{table}").collect()]
+        new = None if table == "findings" else "b"
+        want = [(r.scan_id, r.finding_id, r.tag) for r in rows.collect() if r.scan_id != 7] + [(7, 99, new), (300, 98, new)]
+        assert sorted(got, key=str) == sorted(want, key=str)

@@ -1,6 +1,7 @@
 """Text analysis, embedding and vector search on small inputs."""
 
 import math
+import re
 
 import numpy as np
 from hypothesis import given, settings, strategies as st
@@ -369,3 +370,20 @@ def test_embedding_memory_does_not_grow_with_the_batch():
     assert peak < 60e6
     assert (vectors[[5, 7999, 8001]] == V.embed_batch([texts[5], texts[7999], ""])).all()
     assert V.embed_batch([]).shape == (0, K.EMBED_DIM)
+
+
+def test_entities_in_one_pass_per_pattern(spark):
+    """No pattern runs as the hint of another; what a match begins with drops none. A null text has no entities."""
+    texts = ["Dec 1, 2024 x2024-05-01 2024-05-01 MAR 3 2024 mar 3 2024 May. 12 2023 1/2/24 é1/2/24", "INV#ABCD-1 inv 2024X Invoice:ZZZZ1 xinv AAAA",
+             "DOCKET no. 12345 Matter CV-99999 case abcd mcase 1234", "Ann Lee of Acme Corp. and éAnn Lee aBob Ray Zoë Kim Bob Ray", "$ 5 $1,250.00 $12x", "", None]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    out = df.select("doc_id", X.entity_arrays(F.col("text")).alias("e"))
+    assert "RLIKE" not in out._jdf.queryExecution().analyzed().toString().upper()
+    got = {r.doc_id: [(e.type, e.value) for e in r.e] for r in out.collect()}
+    for i, text in enumerate(texts):
+        want = {}
+        for kind, pattern, group, ic in K.ENTITY_PATTERNS:
+            found = [m.group(group).strip() for m in re.finditer(pattern, text or "", re.ASCII | (re.I if ic else 0))]
+            want[kind] = list(dict.fromkeys(v for v in found if v))
+        want["person"] = [p for p in want["person"] if not any(p in o for o in want["organization"])]
+        assert got[i] == [(kind, v) for kind, values in want.items() for v in values], text

@@ -1,7 +1,10 @@
 """Sets of lines: characters beyond the 16-bit range, lines of null and empty texts."""
 
+import random
+
 from pyspark.sql import functions as F
 
+import brute
 from filarium.llm import line_dedup
 
 
@@ -17,3 +20,33 @@ def test_last_character_of_a_word_beyond_16_bits_counts(spark):
 def test_lines_of_null_and_empty_texts(spark):
     lines = line_dedup.split_lines(spark.createDataFrame([(1, "a b\n \nc"), (2, None), (3, "")], "doc_id long, text string"))
     assert sorted((r.doc_id, r.line_no, r.line) for r in lines.collect()) == [(1, 0, "a b"), (1, 2, "c")]
+
+
+def test_long_words_are_compared_whole(spark):
+    """Lines of long words count by all runs of 12 characters in them, six to the weight of a word's end."""
+    r = random.Random(5)
+    letters = [chr(0x4E00 + i) for i in range(3000)]
+    texts = []
+    for k in range(120):
+        x = "".join(r.choice(letters) for _ in range(r.randint(13, 160))) + (" and a few words behind" if k % 3 == 0 else "")
+        at = r.randrange(1, len(x))
+        texts += [x, x[:at] + "".join(r.choice(letters) for _ in range(r.randint(1, max(1, len(x) // 9)))) + x[at:]]
+
+    def weights(x):
+        out = {}
+        for m in brute.WORD.finditer(x):
+            w = m.group()
+            out.update({x[m.start():m.start() + 12]: 6, w[-12:] if len(w) > 12 else x[m.start():m.start() + 12]: 6})
+            out.update({("in", w[i:i + 12]): 1 for i in range(len(w) - 11 if len(w) > 12 else 0)})
+        return out
+
+    sets, want, near = [weights(x) for x in texts], set(), 0
+    for k in range(0, len(texts), 2):
+        a, b = sets[k], sets[k + 1]
+        shared = sum(v for s, v in a.items() if s in b)
+        union = sum(a.values()) + sum(b.values()) - shared
+        want |= {k + 1} if shared >= 0.8 * union else set()
+        near += 0.7 * union < shared < 0.9 * union
+    got = line_dedup.line_classes(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    gone = {g.doc_id for g in got.collect() if not g.kept}
+    assert near >= 20 and gone <= want and len(gone) >= 0.97 * len(want) and 20 < len(want) < 100, (near, len(want), len(gone))

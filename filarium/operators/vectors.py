@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import re
-
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -49,30 +47,36 @@ def term_frequency(df: DataFrame, key: str, text: str = "chunk_text") -> DataFra
             .groupBy(key, "term").agg(F.count("*").alias("tf")))
 
 
-_NOT_TOKEN = re.compile(r"[^a-z0-9'-]+")
-_STOPS = frozenset(K.STOP_WORDS)
-
-
-def _tokens(text: str | None) -> list[str]:
-    return [t for t in (p.strip("'-") for p in _NOT_TOKEN.split((text or "").lower()))
-            if len(t) >= 2 and t not in _STOPS]
+def _packed(words) -> np.ndarray:
+    """Words of up to eight letters as numbers."""
+    return np.array([int.from_bytes(w.encode("ascii").ljust(8, b"\0"), "little") for w in words], np.uint64)
 
 
-class _Words:
-    """Distinct words of a batch, end to end: memory is their total length, however long one is."""
+_LETTER, _INSIDE = np.zeros(256, bool), np.zeros(256, bool)
+_LETTER[list(b"abcdefghijklmnopqrstuvwxyz0123456789")] = True
+_INSIDE[:] = _LETTER
+_INSIDE[list(b"'-")] = True
+_STOPS = np.sort(_packed(K.STOP_WORDS))
 
-    def __init__(self, words):
-        self.chars = np.frombuffer("".join(words).encode("ascii"), np.uint8).astype(np.uint32)
-        self.length = np.array([len(w) for w in words], np.int64)
-        self.start = np.cumsum(self.length) - self.length
 
-    def hash_on(self, state: np.ndarray, code: np.ndarray) -> np.ndarray:
-        """Carry FNV states on over the characters of the words ``code``."""
-        state, live, prime = state.copy(), np.arange(len(code)), np.uint32(K.FNV_PRIME)
-        for j in range(int(self.length[code].max(initial=0))):
-            live = live[self.length[code[live]] > j]
-            state[live] = (state[live] ^ self.chars[self.start[code[live]] + j]) * prime
-        return state
+def _tokens(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(place, length) of the tokens of lower-case bytes: as ``tokenize`` finds them, whatever the bytes beyond ASCII."""
+    letters = np.flatnonzero(_LETTER[data])
+    if len(letters) == 0:
+        return letters, letters
+    # a token goes from the first to the last letter of a run of letters and marks
+    gaps = np.cumsum(~_INSIDE[data])
+    run = gaps[letters]
+    cut = np.flatnonzero(run[1:] != run[:-1])
+    start = letters[np.r_[0, cut + 1]]
+    length = letters[np.r_[cut, len(letters) - 1]] + 1 - start
+    key = np.zeros(len(start), np.uint64)
+    for j in range(8):
+        live = np.flatnonzero(length > j)
+        key[live] |= data[start[live] + j].astype(np.uint64) << np.uint64(8 * j)
+    stop = (length <= 8) & np.isin(key, _STOPS)
+    use = (length >= 2) & ~stop
+    return start[use], length[use]
 
 
 def embed_batch(texts) -> np.ndarray:
@@ -87,23 +91,34 @@ def embed_batch(texts) -> np.ndarray:
 
 
 def _embed(texts: list) -> np.ndarray:
-    per_text = [_tokens(t) for t in texts]
-    count = np.array([len(t) for t in per_text], dtype=np.int64)
-    out = np.zeros((len(per_text), K.EMBED_DIM))
-    if count.sum() == 0:
+    parts = [(t or "").lower().encode("utf-8", "surrogatepass") for t in texts]
+    out = np.zeros((len(parts), K.EMBED_DIM))
+    data = np.frombuffer(b" ".join(parts), np.uint8)
+    start, length = _tokens(data)
+    if len(start) == 0:
         return out.astype(np.float32)
-    code, vocabulary = pd.factorize(np.array([w for t in per_text for w in t], dtype=object))
-    words = _Words(vocabulary)
-    word = words.hash_on(np.full(len(vocabulary), K.FNV_OFFSET, dtype=np.uint32), np.arange(len(vocabulary)))
-    owner = np.repeat(np.arange(len(count)), count)
-    pair = np.flatnonzero(owner[1:] == owner[:-1])  # neighbours within a text
-    colon = (word[code[pair]] ^ np.uint32(ord(":"))) * np.uint32(K.FNV_PRIME)
-    first = np.concatenate([word[code], words.hash_on(colon, code[pair + 1])])
-    owner = np.concatenate([owner, owner[pair]])
+    owner = np.searchsorted(np.cumsum([len(p) + 1 for p in parts]), start, side="right")
+    follows = np.r_[False, owner[1:] == owner[:-1]]  # neighbours within a text
+    order = np.argsort(-length, kind="stable")
+
+    def hash_on(state: np.ndarray) -> np.ndarray:
+        """Carry an FNV state for each token on over its characters, the longest tokens first."""
+        state, at, size = state[order], start[order], -length[order]
+        for j in range(int(length.max())):
+            n = np.searchsorted(size, -j)  # tokens with more than j characters
+            state[:n] = (state[:n] ^ data[at[:n] + j]) * np.uint32(K.FNV_PRIME)
+        back = np.empty_like(state)
+        back[order] = state
+        return back
+
+    word = hash_on(np.full(len(start), K.FNV_OFFSET, dtype=np.uint32))
+    colon = (np.r_[word[:1], word[:-1]] ^ np.uint32(ord(":"))) * np.uint32(K.FNV_PRIME)
+    first = np.concatenate([word, hash_on(colon)[follows]])
+    owner = np.concatenate([owner, owner[follows]])
     second = first
     for ch in "_b":
         second = (second ^ np.uint32(ord(ch))) * np.uint32(K.FNV_PRIME)
-    size = len(count) * K.EMBED_DIM
+    size = len(parts) * K.EMBED_DIM
     for bucket, weight in ((first, 1.0), (second, 0.5)):
         at = owner * K.EMBED_DIM + bucket % K.EMBED_DIM
         out += weight * np.bincount(at, minlength=size).reshape(out.shape)

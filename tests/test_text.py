@@ -1,6 +1,7 @@
 """Text analysis, embedding and vector search on small inputs."""
 
 import math
+import random
 import re
 
 import numpy as np
@@ -387,3 +388,15 @@ def test_entities_in_one_pass_per_pattern(spark):
             want[kind] = list(dict.fromkeys(v for v in found if v))
         want["person"] = [p for p in want["person"] if not any(p in o for o in want["organization"])]
         assert got[i] == [(kind, v) for kind, values in want.items() for v in values], text
+
+
+def test_tokens_are_found_without_a_loop_over_texts():
+    """Tokens of bytes are those of the rule, also around marks and beyond ASCII, and none is handled in Python."""
+    rng = random.Random(4)
+    texts = ["".join(rng.choice("abcK '-0\n\tİKßé日_.\U0001F600") for _ in range(rng.randrange(40))) for _ in range(500)]
+    texts += ["the and of", "--'", "-a-b-", "x's the'", "", "être_naïve résumé"]
+    for t in texts:
+        data = np.frombuffer(t.lower().encode(), np.uint8)
+        got = [data[a:a + n].tobytes().decode() for a, n in zip(*V._tokens(data))]
+        want = [w.strip("'-") for w in re.split(r"[^a-z0-9'-]+", t.lower())]
+        assert got == [w for w in want if len(w) >= 2 and w not in K.STOP_WORDS], t
